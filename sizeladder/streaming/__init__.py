@@ -1,0 +1 @@
+"""Incremental recomputation. The reference has no streams; stored results are extended batch by batch."""

@@ -1,0 +1,49 @@
+"""Reuse of stored scores: only missing (run, n, seed, hyperparameters) are computed and appended."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators.grids import grid_points, params_key
+
+
+def with_params_key(scores: DataFrame) -> DataFrame:
+    return scores.withColumn("_point", params_key(F.col("params")))
+
+
+def first_scores(existing: DataFrame, run: list[str]) -> DataFrame:
+    """One stored row per (run, n, s, hyperparameters): the first by grid position."""
+    w = Window.partitionBy(*run, "n", "s", "_point").orderBy("grid_index")
+    return (with_params_key(existing).withColumn("_p", F.row_number().over(w)).where("_p = 1").drop("_p"))
+
+
+def plan_points(cells: DataFrame, grid: dict) -> DataFrame:
+    """Cells (run..., n, s) x grid points; the grid is a literal."""
+    points = F.array(*[F.struct(F.lit(i).alias("grid_index"), F.map_from_arrays(
+        F.array(*[F.lit(k) for k in p]).cast("array<string>"),
+        F.array(*[F.lit(float(v)) for v in p.values()]).cast("array<double>")).alias("params"))
+        for i, p in enumerate(grid_points(grid))])
+    return with_params_key(cells.select("*", F.inline(points)))
+
+
+def split_points(points: DataFrame, existing: DataFrame, run: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(stored scores of the wanted points, points still to be computed)."""
+    key = [*run, "n", "s", "_point"]
+    stored = first_scores(existing, run)
+    reused = points.join(stored.drop("grid_index", "params"), key).drop("_point")
+    return reused, points.join(stored, key, "left_anti").drop("_point")
+
+
+def pending_points(long: DataFrame, grid: dict, existing: DataFrame, run: list[str]):
+    """Reused scores, points to compute and the cells they belong to (None, None when nothing is left)."""
+    cells = long.select(*run, "n", F.col("seed").alias("s")).distinct()
+    reused, todo = split_points(plan_points(cells, grid), existing, run)
+    if todo.isEmpty():
+        return reused, None, None
+    return reused, todo, todo.select(*run, "n", F.col("s").alias("seed")).distinct()
+
+
+def append_scores(scores: DataFrame, path: str, partitions: list[str]) -> None:
+    """Add new score rows to the partitioned results table."""
+    scores.write.mode("append").partitionBy(*partitions).parquet(path)
