@@ -12,7 +12,7 @@ def local_session(cores: str | int = 8, memory: str = "8g", **conf) -> SparkSess
     """A session for tests and benchmarks; on a cluster use the session the cluster provides."""
     b = (SparkSession.builder.master(f"local[{cores}]").appName("sizeladder")
          .config("spark.driver.memory", memory)
-         .config("spark.ui.enabled", "false")
+         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(cores))
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))

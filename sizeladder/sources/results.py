@@ -47,6 +47,6 @@ def curve_documents(points: DataFrame, fit: DataFrame, run: list[str]) -> DataFr
     """One JSON-ready row per curve with its arrays in size order; a curve has one entry per size."""
     entry = F.struct("n", "y_mean", "y_std", "y_sem", "mask")
     arrays = points.groupBy(*run).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
-    names = {"n": "x", "y_mean": "y_mean", "y_std": "y_std", "y_sem": "y_sem", "mask": "mask"}
-    return arrays.select(*run, *[F.transform("_p", lambda p, k=k: p[k]).alias(v) for k, v in names.items()]) \
+    p = F.col("_p")  # a field of an array of structs is the array of that field
+    return arrays.select(*run, p["n"].alias("x"), *[p[k].alias(k) for k in ("y_mean", "y_std", "y_sem", "mask")]) \
         .join(fit, run)
