@@ -156,17 +156,13 @@ def match_cases(cases: DataFrame, pool: DataFrame, weights: list[float], k: int
     `cases` is (cell, grp, prio, sample_id, c) with `prio` 1..m in every cell, `pool` is
     (grp, sample_id, tie, c). Returns (cell, prio, case_id, control_id, dist).
     """
-    pending = materialise(cases)
+    pending, left = cases, cases.count()
     pool_size = None
     matched = None
-    while True:
-        counts = pending.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.min("prio").alias("p"))
-        widest = counts.agg(F.max("m").alias("m")).first()["m"]
-        if not widest:
-            break
+    while left:
         block = max(1, LIST_ENTRIES // k)
-        head = counts.withColumnRenamed("p", "_first").drop("m")  # one row per cell
-        now = pending.join(F.broadcast(head), "cell").where(F.col("prio") < F.col("_first") + block).drop("_first")
+        first = pending.groupBy("cell").agg(F.min("prio").alias("_first"))  # one row per cell
+        now = pending.join(F.broadcast(first), "cell").where(F.col("prio") < F.col("_first") + block).drop("_first")
         lists = nearest_controls(now.select("grp", SAMPLE, "c").distinct(), pool, weights, k)
         offers = (now.select("cell", "grp", "prio", F.col(SAMPLE).alias("case_id"))
                   .join(lists, ["grp", "case_id"], "left"))
@@ -179,16 +175,16 @@ def match_cases(cases: DataFrame, pool: DataFrame, weights: list[float], k: int
         done = materialise(offers.groupBy("cell").applyInArrow(
             _resolve, "cell INT, prio BIGINT, case_id BIGINT, control_id BIGINT, dist DOUBLE")
             .where("control_id is not null"))
+        served = done.count()
         matched = done if matched is None else materialise(matched.unionByName(done))
-        rest = pending.join(done.select("cell", "prio"), ["cell", "prio"], "left_anti")
-        if rest.isEmpty():
-            break
-        if pool_size is None:
-            pool_size = pool.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-        if k >= pool_size and done.isEmpty():
-            raise ValueError("The majority class is too small to match every case.")
-        pending = materialise(rest)
-        k = min(4 * k, max(pool_size, 1))
+        left -= served
+        if left:
+            if pool_size is None:
+                pool_size = pool.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+            if k >= pool_size and not served:
+                raise ValueError("The majority class is too small to match every case.")
+            pending = materialise(pending.join(done.select("cell", "prio"), ["cell", "prio"], "left_anti"))
+            k = min(4 * k, max(pool_size, 1))
     return matched
 
 

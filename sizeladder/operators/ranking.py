@@ -28,7 +28,8 @@ def rank_by_draw(df: DataFrame, groups: list[str], key: str, tie: str, limit: in
     """Add the 1-based rank of each row in its group by (key, tie); keep ranks up to `limit`."""
     keyed, starts = _bucketed(df, groups, key, digits)
     if limit is not None:
-        starts = starts.where(F.col("_start") < limit)
+        # every bucket holds a row, so at most `limit` (and 16**digits) buckets per group are left
+        starts = F.broadcast(starts.where(F.col("_start") < limit))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(key, tie)
     ranked = (keyed.join(starts.drop("_rows"), [*groups, "_bucket"])
               .withColumn("_inside", F.row_number().over(inside)))

@@ -60,35 +60,43 @@ def _seed_array(seeds: list[int]) -> Column:
     return F.array(*[F.lit(int(s)) for s in seeds])
 
 
-def class_counts(samples: DataFrame, run: list[str]) -> DataFrame:
+DOMAIN_SKETCH = 64  # targets with a larger estimated domain are surely not within the class limit
+
+
+def class_counts(samples: DataFrame, run: list[str], small: DataFrame | None = None) -> DataFrame:
     """Rows per class for the runs whose target has a small domain.
 
     A sketch (fixed memory) rules out continuous targets first, so the exact count never shuffles a
-    large number of distinct values. The cut at 64 is far from the limit of 10 classes, where the
-    sketch is exact for practical purposes.
+    large number of distinct values. The cut is far from the limit of 10 classes, where the sketch is
+    exact for practical purposes.
     """
-    sketch = samples.groupBy(*run).agg(F.approx_count_distinct("y").alias("_about"))
-    small = F.broadcast(sketch.where(F.col("_about") <= 64).select(*run))  # one row per run
-    return samples.join(small, run).groupBy(*run, "y").agg(F.count(F.lit(1)).alias("cnt"))
+    if small is None:
+        small = run_sizes(samples, run).where(F.col("_about") <= DOMAIN_SKETCH)
+    few = F.broadcast(small.select(*run))  # one row per run
+    return samples.join(few, run).groupBy(*run, "y").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def run_sizes(samples: DataFrame, run: list[str]) -> DataFrame:
+    return samples.groupBy(*run).agg(F.count(F.lit(1)).alias("n_rows"), F.approx_count_distinct("y").alias("_about"))
 
 
 def task_kind(samples: DataFrame, run: list[str], method: str, stratify: bool, balanced: bool) -> DataFrame:
     """One row per run: class count, rows, and the effective `stratify` / `balanced` flags."""
     if method not in METHODS:
         raise ValueError(f"Invalid confound correction method: {method}. Valid methods are: {', '.join(METHODS)}")
-    counts = class_counts(samples, run)
+    rows = run_sizes(samples, run)
+    counts = class_counts(samples, run, rows.where(F.col("_about") <= DOMAIN_SKETCH))
     classes = counts.groupBy(*run).agg(
         F.count(F.lit(1)).alias("n_classes"), F.min("cnt").alias("minority_count"),
         F.min_by("y", F.struct("cnt", "y")).alias("minority"),
         F.bool_and(F.col("y").isin(0.0, 1.0)).alias("_zero_one"))
-    rows = samples.groupBy(*run).agg(F.count(F.lit(1)).alias("n_rows"))
     many = F.lit(method in REGRESSION_METHODS) | F.coalesce(F.col("n_classes") > MAX_CLASSES, F.lit(True))
-    return (rows.join(classes, run, "left")
-            .withColumn("regression", many)
-            .withColumn("stratify", F.lit(True) if method == "matching" else F.lit(stratify) & ~many)
-            .withColumn("balanced", F.lit(balanced) & ~many)
-            .withColumn("binary", F.coalesce(F.col("_zero_one") & (F.col("n_classes") == 2), F.lit(False)))
-            .drop("_zero_one"))
+    return (rows.join(F.broadcast(classes), run, "left")  # one row per run on both sides
+            .withColumns({"regression": many,
+                          "stratify": F.lit(True) if method == "matching" else F.lit(stratify) & ~many,
+                          "balanced": F.lit(balanced) & ~many,
+                          "binary": F.coalesce(F.col("_zero_one") & (F.col("n_classes") == 2), F.lit(False))})
+            .drop("_zero_one", "_about"))
 
 
 def undersample(drawn: DataFrame, kinds: DataFrame, run: list[str]) -> DataFrame:

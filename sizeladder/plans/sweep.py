@@ -10,6 +10,7 @@ from ..operators.prepare import feature_mode
 from ..operators.select import select_best
 from ..operators.splits import Size, make_splits
 from ..schema import SAMPLE
+from ..session import materialise
 from ..streaming.incremental import pending_points
 from .models import MODELS
 
@@ -44,11 +45,16 @@ def sweep(long: DataFrame, model: str, grid: dict, run: list[str], existing: Dat
 def learning_curve(samples: DataFrame, sizes: list[Size], seeds: list[int], run: list[str], model: str, grid: dict,
                    method: str = "none", stratify: bool = False, balanced: bool = False,
                    repeats: int = 100) -> dict[str, DataFrame]:
-    """Every table of a learning curve, from samples (run..., sample_id, x, y, [c], valid)."""
+    """Every table of a learning curve, from stored samples (run..., sample_id, x, y, [c], valid).
+
+    The gathered rows and the scores are written once: both are small next to the samples, and every
+    later step reads them several times.
+    """
     splits, status = make_splits(samples, sizes, seeds, run, method, stratify, balanced)
     mode = method if method in ("with-cni", "only-cni") else "normal"
-    scores = sweep(gather(samples, splits, run, mode), model, grid, run)
+    long = materialise(gather(samples, splits, run, mode))
+    scores = materialise(sweep(long, model, grid, run))
     best = select_best(scores, run)
     metric = "r2_test" if MODELS[model].regression else "acc_test"
-    return {"splits": splits, "status": status, "scores": scores, "best": best,
+    return {"splits": long.select(*run, "n", "seed", SAMPLE, "set"), "status": status, "scores": scores, "best": best,
             **statistics(best, run, metric, repeats)}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.splits import Size, make_sizes
+from ..session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Prepared samples and gathered splits are written once; every later step reads them several times."""
+    return materialise(df)
+
+
 def rounded(column, digits: int = 6):
     return F.round(column, digits)
 
@@ -168,14 +174,16 @@ splits AS (
 
 def order_splits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from ..operators.splits import make_splits
-    return make_splits(order_samples(spark, sf), ORDER_SIZES, ORDER_SEEDS, RUN)
+    return make_splits(stored(order_samples(spark, sf)), ORDER_SIZES, ORDER_SEEDS, RUN)
 
 
 def order_long(spark: SparkSession, sf: str, features: tuple[str, ...] = ("qty", "lines"),
                mode: str = "normal") -> DataFrame:
     """Split rows with inputs and target."""
+    from ..operators.splits import make_splits
     from ..plans.sweep import gather
-    return gather(order_samples(spark, sf, features), order_splits(spark, sf)[0], RUN, mode)
+    samples = stored(order_samples(spark, sf, features))
+    return stored(gather(samples, make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)[0], RUN, mode))
 
 
 ORDER_LONG = ORDER_SPLITS + """,
@@ -189,7 +197,7 @@ def vector_splits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def vector_long(spark: SparkSession, sf: str, width: int | None = None) -> DataFrame:
     from ..plans.sweep import gather
-    return gather(embedding_samples(spark, sf, width), vector_splits(spark, sf)[0], RUN)
+    return stored(gather(embedding_samples(spark, sf, width), vector_splits(spark, sf)[0], RUN))
 
 
 VECTOR_LONG = VECTOR_SIZES_SQL + ",\n" + VECTOR_SEEDS_SQL + """,

@@ -13,7 +13,7 @@ from ..operators.prepare import align, feature_mode, flatten_target, require_val
 from ..operators.select import complete_columns, test_metric, union_scores, validation_metric
 from ..operators.splits import held_out_size, make_sizes, split_status, task_kind
 from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_ROWS, SCORE_ROWS, best_rows, embedding_samples,
-                   document_samples, order_rows, points, query, rounded, score_rows, table)
+                   document_samples, order_rows, points, query, rounded, score_rows, stored, table)
 
 # event values with some of them broken on purpose: the tables hold no NaN or infinity
 BROKEN = """CASE WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 13 = 0 THEN 'Infinity'::DOUBLE
@@ -285,7 +285,7 @@ def distance(spark, sf):
 f AS (SELECT regr_slope(y, c_price) AS b, regr_intercept(y, c_price) AS a FROM order_rows)
 SELECT sample_id, round(y - (a + b * c_price), 3) + 0.0 AS residual FROM order_rows, f""")
 def linear_residual(spark, sf):
-    o = order_rows(spark, sf)
+    o = stored(order_rows(spark, sf))
     y = with_mask(o.select("sample_id", F.array("y").alias("data")))
     c = with_mask(o.select("sample_id", F.array("c_price").alias("data")))
     return regress_out(y, c).select("sample_id", rounded(F.col("data")[0], 3).alias("residual"))

@@ -12,7 +12,7 @@ from ..operators.splits import drawn_samples, make_sizes, make_splits, sorted_in
 from ..operators.prepare import to_matrix
 from .base import (BEST_ROWS, ORDER_ROWS, ORDER_SEEDS, ORDER_SPLITS, RUN, SEEDS_SQL, VECTOR_SEEDS, VECTOR_SEEDS_SQL,
                    VECTOR_SIZES, VECTOR_SIZES_SQL, best_rows, document_samples, embedding_samples, order_samples,
-                   order_splits, query, rounded, table)
+                   order_splits, query, rounded, stored, table)
 
 
 @query("w01_best_hyperparameters", "WITH " + BEST_ROWS + """
@@ -133,7 +133,7 @@ pairs AS (SELECT * FROM m WHERE prio > 0)"""
 
 
 def matched(spark, sf):
-    return matched_splits(document_samples(spark, sf, "toxic"), MATCH_SIZES, MATCH_SEEDS, RUN)
+    return matched_splits(stored(document_samples(spark, sf, "toxic")), MATCH_SIZES, MATCH_SEEDS, RUN)
 
 
 @query("w07_minority_half_split", "WITH " + MATCH_CASES + """
@@ -162,7 +162,7 @@ def matching_distance(spark, sf):
 def matched_two(spark, sf):
     """Orders with many or few lines, matched on two covariates; balanced first."""
     samples = order_samples(spark, sf, ("qty",)).withColumn("y", (F.col("x")[0] > 160).cast("double"))
-    splits, _ = matched_splits(samples, make_sizes([64, 256]), [0], RUN, balanced=True)
+    splits, _ = matched_splits(stored(samples), make_sizes([64, 256]), [0], RUN, balanced=True)
     return splits
 
 
