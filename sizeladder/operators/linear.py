@@ -71,6 +71,7 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
     if supports is not None:
         g = g.join(F.broadcast(supports), cell)  # (cell, supports) : one row per cell
     label_list = list(classes) if classifier else []
+    eliminated = supports is not None
 
     def solve(key, table):
         m = gram_matrix(table.select(["i", "row"]))
@@ -78,7 +79,7 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
         n, mean, sd, scaled, cross = standardised(m, d)
         values, vectors = spectrum(scaled)
         chosen = None
-        if supports is not None:
+        if eliminated:
             chosen = {int(s["size"]): s["features"] for s in table.column("supports")[0].as_py()}
         present = [j for j in range(outputs) if not classifier or mean[d + j] > -1.0 + 1e-9]
         if classifier and len(present) == 2:

@@ -9,10 +9,9 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,30 +51,53 @@ def forest_regressor(p, n, classes):
                                  featureSubsetStrategy=_subset(p.get("max_features"), "all"))
 
 
-def _boost(cls, label, p):
-    return cls(featuresCol="features", labelCol=label, predictionCol="yhat", seed=42,
-               maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)),
-               subsamplingRate=float(p.get("subsample", 1.0)),
+class OneVsRest:
+    """One two-class model per class; the class with the largest margin wins, the first on ties.
+
+    Unlike the estimator of the same name it keeps all input columns, which early stopping needs.
+    """
+
+    def __init__(self, make, classes: list[float]):
+        self.make, self.classes, self.models = make, classes, []
+
+    def fit(self, df: DataFrame) -> "OneVsRest":
+        self.models = [self.make(f"_is_{i}", f"_raw_{i}").fit(df.withColumn(f"_is_{i}", (F.col("y") == c).cast("double")))
+                       for i, c in enumerate(self.classes)]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, margins = df, []
+        for i, model in enumerate(self.models):
+            out = model.transform(out).drop("_p", "probability")
+            margins.append(vector_to_array(f"_raw_{i}")[1])
+        best = F.array_position(F.array(*margins), F.array_max(F.array(*margins))).cast("int")
+        labels = F.array(*[F.lit(float(c)) for c in self.classes])
+        return out.withColumn("yhat", F.get(labels, best - 1))
+
+
+def _boost(cls, label, p, **columns):
+    return cls(featuresCol="features", labelCol=label, seed=42, maxIter=int(p.get("n_estimators", 100)),
+               stepSize=float(p.get("learning_rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)),
                maxDepth=min(int(p.get("max_depth", 3)), MAX_DEPTH), validationIndicatorCol="held_back",
-               featureSubsetStrategy=_subset(p.get("max_features"), "all"))
+               featureSubsetStrategy=_subset(p.get("max_features"), "all"), **columns)
 
 
 def boosting_classifier(p, n, classes):
     """Early stopping is by relative improvement on a held-back tenth, not by ten flat rounds."""
-    one = _boost(GBTClassifier, "y", p)
-    return one if len(classes) <= 2 else OneVsRest(classifier=one, featuresCol="features", labelCol="y",
-                                                   predictionCol="yhat")
+    if set(classes) <= {0.0, 1.0}:
+        return _boost(GBTClassifier, "y", p, predictionCol="yhat")
+    return OneVsRest(lambda label, raw: _boost(GBTClassifier, label, p, predictionCol="_p", rawPredictionCol=raw), classes)
 
 
 def boosting_regressor(p, n, classes):
-    return _boost(GBTRegressor, "y_scaled", p)
+    return _boost(GBTRegressor, "y_scaled", p, predictionCol="yhat")
 
 
 def svm_classifier(p, n, classes):
-    one = LinearSVC(featuresCol="features", labelCol="y", predictionCol="yhat", standardization=False,
-                    regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100)
-    return one if len(classes) <= 2 else OneVsRest(classifier=one, featuresCol="features", labelCol="y",
-                                                   predictionCol="yhat")
+    def one(label, raw="rawPrediction", out="_p"):
+        return LinearSVC(featuresCol="features", labelCol=label, predictionCol=out, rawPredictionCol=raw,
+                         standardization=False, regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100)
+    return one("y", out="yhat") if set(classes) <= {0.0, 1.0} else OneVsRest(one, classes)
 
 
 def svm_regressor(p, n, classes):

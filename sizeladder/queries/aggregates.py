@@ -51,10 +51,10 @@ def minority(spark, sf):
 # --- curves -------------------------------------------------------------------------------------------
 
 @query("a04_curve_moments", "WITH " + CURVE_POINTS + """
-SELECT model, features, n, round(y_mean, 8) AS y_mean, round(y_std, 8) AS y_std, round(y_sem, 8) AS y_sem FROM curve_points""")
+SELECT model, features, n, round(y_mean, 10) AS y_mean, round(y_std, 10) AS y_std, round(y_sem, 10) AS y_sem FROM curve_points""")
 def moments(spark, sf):
     return points(spark, sf).select("model", "features", "n",
-                                    *[rounded(F.col(c), 8).alias(c) for c in ("y_mean", "y_std", "y_sem")])
+                                    *[rounded(F.col(c), 10).alias(c) for c in ("y_mean", "y_std", "y_sem")])
 
 
 @query("a05_seed_count", "WITH " + BEST_ROWS + """
@@ -252,13 +252,13 @@ def bootstrap_parameters(spark, sf):
 
 @query("a18_bootstrap_y", "WITH " + RESAMPLED + """,
 ok AS (SELECT model, features FROM curve_points WHERE y_mean - y_sem > 0 GROUP BY model, features HAVING count(*) >= 5)
-SELECT model, features, n, CASE WHEN o THEN round(avg(y), 6) END AS mean, CASE WHEN o THEN round(stddev_pop(y), 6) END AS std,
-       CASE WHEN o THEN round(quantile_cont(y, 0.975), 6) END AS p975, CASE WHEN o THEN round(quantile_cont(y, 0.025), 6) END AS p025
+SELECT model, features, n, CASE WHEN o THEN round(avg(y), 12) END AS mean, CASE WHEN o THEN round(stddev_pop(y), 12) END AS std,
+       CASE WHEN o THEN round(quantile_cont(y, 0.975), 12) END AS p975, CASE WHEN o THEN round(quantile_cont(y, 0.025), 12) END AS p025
 FROM (SELECT r.*, EXISTS (SELECT 1 FROM ok WHERE ok.model = r.model AND ok.features = r.features) AS o FROM resampled r)
 GROUP BY model, features, n, o""")
 def bootstrap_y(spark, sf):
     s = curves.bootstrap_y_summary(_resampled(spark, sf), CURVE_RUN)
-    return s.select(*CURVE_RUN, "n", *[rounded(F.col(c)).alias(c) for c in ("mean", "std", "p975", "p025")])
+    return s.select(*CURVE_RUN, "n", *[rounded(F.col(c), 12).alias(c) for c in ("mean", "std", "p975", "p025")])
 
 
 @query("a19_axis_domain", "WITH " + CURVE_POINTS + """

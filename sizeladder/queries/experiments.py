@@ -1,0 +1,132 @@
+"""Experiment tables: expansion, canonical form, checks and source routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import experiments as plan
+from .base import query, table
+
+# One experiment per document source; choices follow from the length of its documents.
+EXPERIMENTS = """
+per AS (SELECT source, sum(n_chars)::BIGINT AS k, list_sort(list(DISTINCT lang)) AS langs, list_sort(list(DISTINCT n_chars % 3)) AS rests FROM documents GROUP BY source),
+experiments AS (
+  SELECT source AS experiment, CASE WHEN k % 11 = 0 THEN 'unknown' ELSE 'docs' END AS dataset, langs AS features,
+         ['quality', 'toxic'] AS targets,
+         CASE WHEN k % 2 = 0 THEN ['none', 'correct-x', 'matching'] ELSE ['none', 'correct-y'] END AS method,
+         list_concat(['none'], list_transform(rests, lambda r: 'len-' || CAST(r AS VARCHAR))) AS cni,
+         CASE WHEN k % 3 = 0 THEN ['ridge-reg'] WHEN k % 3 = 1 THEN ['ridge-cls', 'ridge-reg'] ELSE ['ridge-cls', 'lasso-reg'] END AS models,
+         CASE WHEN k % 4 = 0 THEN NULL ELSE k % 4 = 1 END AS balanced, CASE WHEN k % 5 = 0 THEN TRUE END AS quantile,
+         CASE WHEN k % 7 = 0 THEN 'absent' WHEN k % 7 < 3 THEN 'minimal' END AS grid FROM per)"""
+
+
+def experiments(spark, sf):
+    d = table(spark, sf, "documents")
+    per = d.groupBy("source").agg(F.sum("n_chars").alias("k"), F.array_sort(F.collect_set("lang")).alias("langs"),
+                                  F.array_sort(F.collect_set((F.col("n_chars") % 3).cast("string"))).alias("rests"))
+    k = F.col("k")
+
+    def words(*w):
+        return F.array(*[F.lit(x) for x in w])
+    return per.select(
+        F.col("source").alias("experiment"), F.when(k % 11 == 0, "unknown").otherwise("docs").alias("dataset"),
+        F.col("langs").alias("features"), words("quality", "toxic").alias("targets"),
+        F.when(k % 2 == 0, words("none", "correct-x", "matching")).otherwise(words("none", "correct-y")).alias("method"),
+        F.concat(words("none"), F.transform("rests", lambda r: F.concat(F.lit("len-"), r))).alias("cni"),
+        F.when(k % 3 == 0, words("ridge-reg")).when(k % 3 == 1, words("ridge-cls", "ridge-reg"))
+        .otherwise(words("ridge-cls", "lasso-reg")).alias("models"),
+        F.when(k % 4 != 0, k % 4 == 1).alias("balanced"), F.when(k % 5 == 0, True).alias("quantile"),
+        F.when(k % 7 == 0, "absent").when(k % 7 < 3, "minimal").alias("grid"))
+
+
+EXPANDED = EXPERIMENTS + """,
+expanded AS (
+  SELECT experiment, dataset, unnest(models) AS model, features, target, method, cni, balanced, quantile, grid FROM (
+   SELECT *, unnest(features_) AS features FROM (SELECT * EXCLUDE (features), features AS features_ FROM (
+    SELECT * EXCLUDE (targets), unnest(targets) AS target FROM (SELECT * EXCLUDE (method), unnest(method) AS method FROM (
+     SELECT experiment, dataset, features, targets, method, unnest(cni) AS cni, models, coalesce(balanced, FALSE) AS balanced,
+            coalesce(quantile, FALSE) AS quantile, coalesce(grid, 'default') AS grid FROM experiments))))))"""
+
+CANONICAL = EXPANDED + """,
+canonical AS (SELECT DISTINCT dataset, model, features, target, CASE WHEN method = 'none' OR cni = 'none' THEN 'none' ELSE method END AS method,
+  CASE WHEN method = 'none' OR cni = 'none' THEN 'none' ELSE cni END AS cni, balanced, quantile, grid FROM expanded)"""
+
+
+@query("j06_expand_experiments", "WITH " + EXPANDED + " SELECT * FROM expanded")
+def expand(spark, sf):
+    return plan.expand_experiments(experiments(spark, sf))
+
+
+@query("j07_sizes_by_seeds", "WITH " + CANONICAL + """
+SELECT dataset, model, features, target, method, cni, balanced, quantile, grid, n, seed
+FROM canonical, (VALUES (128), (256), (512)) s(n), (VALUES (0), (1)) e(seed)""")
+def cells(spark, sf):
+    runs = plan.canonical_runs(plan.expand_experiments(experiments(spark, sf)))
+    return plan.expand_cells(runs, [128, 256, 512], [0, 1])
+
+
+@query("j08_canonical_runs", "WITH " + CANONICAL + " SELECT * FROM canonical")
+def canonical(spark, sf):
+    return plan.canonical_runs(plan.expand_experiments(experiments(spark, sf)))
+
+
+# Languages with enough documents are features of the catalog; models and grids have a few entries.
+REFERENCES = """
+total AS (SELECT count(*) AS n FROM documents),
+catalog AS (SELECT 'docs' AS dataset, 'features' AS role, lang AS name FROM documents, total GROUP BY lang, total.n HAVING count(*) > total.n / 10
+  UNION ALL SELECT DISTINCT 'docs', 'covariates', 'len-' || CAST(n_chars % 2 AS VARCHAR) FROM documents
+  UNION ALL SELECT DISTINCT 'docs', 'targets', CASE WHEN quality >= 0 THEN 'quality' END FROM labels),
+models(model, regression) AS (VALUES ('ridge-reg', TRUE), ('ridge-cls', FALSE)),
+grids(grid, model) AS (VALUES ('default', 'ridge-reg'), ('minimal', 'ridge-reg'), ('minimal', 'ridge-cls'))"""
+
+
+def references(spark, sf):
+    d = table(spark, sf, "documents")
+    share = d.agg((F.count(F.lit(1)) / 10).alias("tenth"))
+    langs = (d.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(share))  # one row
+             .where("k > tenth").select(F.lit("docs").alias("dataset"), F.lit("features").alias("role"), F.col("lang").alias("name")))
+    lens = d.select(F.lit("docs").alias("dataset"), F.lit("covariates").alias("role"),
+                    F.concat(F.lit("len-"), (F.col("n_chars") % 2).cast("string")).alias("name")).distinct()
+    targets = table(spark, sf, "labels").where("quality >= 0").select(
+        F.lit("docs").alias("dataset"), F.lit("targets").alias("role"), F.lit("quality").alias("name")).distinct()
+    catalog = langs.unionByName(lens).unionByName(targets)
+    models = spark.createDataFrame([("ridge-reg", True), ("ridge-cls", False)], "model string, regression boolean")
+    grids = spark.createDataFrame([("default", "ridge-reg"), ("minimal", "ridge-reg"), ("minimal", "ridge-cls")], "grid string, model string")
+    return catalog, models, grids
+
+
+REQUIRED = """
+required AS (SELECT DISTINCT experiment, 'model ''' || model || ''' must be a regression model for ''' || method || '''' AS message
+  FROM expanded JOIN models USING (model) WHERE NOT regression AND method IN ('correct-y', 'correct-both'))"""
+
+
+@query("j11_validate_experiments", "WITH " + EXPANDED + "," + REFERENCES + "," + REQUIRED + """,
+good AS (SELECT * FROM expanded WHERE dataset IN (SELECT dataset FROM catalog))
+SELECT experiment, 'dataset ''' || dataset || ''' is not known' AS message FROM expanded WHERE dataset NOT IN (SELECT dataset FROM catalog)
+UNION SELECT experiment, 'feature ''' || features || ''' must exist in dataset ''' || dataset || '''' FROM good
+  WHERE features NOT IN (SELECT name FROM catalog WHERE role = 'features')
+UNION SELECT experiment, 'target ''' || target || ''' must exist in dataset ''' || dataset || '''' FROM good
+  WHERE target NOT IN (SELECT name FROM catalog WHERE role = 'targets')
+UNION SELECT experiment, 'confound_correction_cni ''' || cni || ''' must exist in dataset ''' || dataset || '''' FROM good
+  WHERE cni <> 'none' AND cni NOT IN (SELECT name FROM catalog WHERE role = 'covariates')
+UNION SELECT experiment, 'model ''' || model || ''' is not defined' FROM expanded WHERE model NOT IN (SELECT model FROM models)
+UNION SELECT experiment, 'grid ''' || grid || ''' is not defined' FROM expanded WHERE grid NOT IN (SELECT grid FROM grids)
+UNION SELECT experiment, 'grid ''' || e.grid || ''' has no hyperparameters for model ''' || e.model || '''' FROM expanded e
+  WHERE e.grid IN (SELECT grid FROM grids) AND NOT EXISTS (SELECT 1 FROM grids g WHERE g.grid = e.grid AND g.model = e.model)
+UNION SELECT * FROM required""")
+def validate(spark, sf):
+    return plan.validate_experiments(experiments(spark, sf), *references(spark, sf))
+
+
+@query("j12_regression_required", "WITH " + EXPANDED + "," + REFERENCES + "," + REQUIRED + " SELECT * FROM required")
+def required(spark, sf):
+    used = experiments(spark, sf).select("experiment", "method", F.explode("models").alias("model"))
+    return plan.regression_required(used, references(spark, sf)[1]).distinct()
+
+
+@query("j13_source_routing", "WITH " + CANONICAL + """
+SELECT dataset, model, features, target, method, cni, balanced, quantile, grid,
+       CASE WHEN method IN ('correct-x', 'correct-both') THEN cni ELSE 'none' END AS features_variant,
+       CASE WHEN method IN ('correct-y', 'correct-both') THEN cni ELSE 'none' END AS targets_variant FROM canonical""")
+def routing(spark, sf):
+    return plan.route_sources(plan.canonical_runs(plan.expand_experiments(experiments(spark, sf))))

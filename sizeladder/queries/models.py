@@ -1,0 +1,231 @@
+"""Models, selection, curves and the flagship query."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import curves
+from ..operators.baselines import majority_class, mean_target
+from ..operators.confounds import regress_out
+from ..operators.prepare import with_mask
+from ..operators.select import select_best
+from ..operators.splits import make_sizes, make_splits
+from ..plans.grids import GRIDS
+from ..plans.models import MODELS
+from ..plans.sweep import gather, learning_curve, sweep
+from .aggregates import BOOTSTRAP, FITTED, REPEATS, RESAMPLED, power_law_sql
+from .base import (CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, VECTOR_LONG, best_rows,
+                   embedding_samples, order_long, order_rows, order_samples, points, query, rounded, stored, vector_long)
+
+CELL = ["dataset", "n", "seed"]
+SETS = ("train", "val", "test")
+
+
+def _pick(scores, *metrics, digits=6):
+    return scores.select("n", F.col("seed") if "seed" in scores.columns else F.col("s").alias("seed"),
+                         *[rounded(F.col(f"{m}_{s}"), digits).alias(f"{m}_{s}") for m in metrics for s in SETS])
+
+
+@query("m01_majority", "WITH " + VECTOR_LONG + """,
+c AS (SELECT n, seed, y, count(*) AS c FROM long WHERE "set" = 'train' GROUP BY n, seed, y),
+top AS (SELECT n, seed, y AS yhat FROM c QUALIFY row_number() OVER (PARTITION BY n, seed ORDER BY c DESC, y) = 1)
+SELECT n, seed, sample_id, "set", y, yhat FROM long JOIN top USING (n, seed)""")
+def majority(spark, sf):
+    return majority_class(vector_long(spark, sf), ["n", "seed"]).select("n", "seed", "sample_id", "set", "y", "yhat")
+
+
+@query("m02_mean", "WITH " + ORDER_LONG + """,
+top AS (SELECT n, seed, avg(y) AS yhat FROM long WHERE "set" = 'train' GROUP BY n, seed)
+SELECT n, seed, sample_id, "set", round(yhat, 3) AS yhat FROM long JOIN top USING (n, seed)""")
+def mean(spark, sf):
+    return (mean_target(order_long(spark, sf), ["n", "seed"])
+            .select("n", "seed", "sample_id", "set", rounded(F.col("yhat"), 3).alias("yhat")))
+
+
+# one feature: the standardised weight is sum(z (y - mean)) / (rows + alpha)
+RIDGE_ONE = ORDER_LONG + """,
+grid(grid_index, alpha) AS (VALUES (0, 0.1), (1, 1.0), (2, 10.0), (3, 100.0)),
+moments AS (SELECT n, seed, avg(lines) AS m, stddev_pop(lines) AS s, avg(y) AS my, count(*) AS k, covar_pop(lines, y) AS cxy
+            FROM long WHERE "set" = 'train' GROUP BY n, seed),
+pred AS (SELECT n, seed, grid_index, alpha, "set", y, my + k * cxy / s / (k + alpha) * (lines - m) / s AS yhat
+         FROM long JOIN moments USING (n, seed), grid),
+per AS (SELECT n, seed, grid_index, any_value(CAST(alpha AS DOUBLE)) AS alpha, "set", 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2,
+               avg(abs(y - yhat)) AS mae FROM pred GROUP BY n, seed, grid_index, "set"),
+scores AS (SELECT n, seed, grid_index, any_value(alpha) AS alpha, max(r2) FILTER ("set" = 'train') AS r2_train,
+           max(r2) FILTER ("set" = 'val') AS r2_val, max(r2) FILTER ("set" = 'test') AS r2_test,
+           max(mae) FILTER ("set" = 'test') AS mae_test FROM per GROUP BY n, seed, grid_index)"""
+ONE_GRID = {"alpha": [0.1, 1.0, 10.0, 100.0]}
+
+
+@query("m03_ols", ("WITH " + RIDGE_ONE).replace("(VALUES (0, 0.1), (1, 1.0), (2, 10.0), (3, 100.0))", "(VALUES (0, 0.0))") + """
+SELECT n, seed, round(r2_train, 6) AS r2_train, round(r2_val, 6) AS r2_val, round(r2_test, 6) AS r2_test FROM scores""")
+def ols(spark, sf):
+    return _pick(MODELS["ols-reg"].sweep(order_long(spark, sf, ("lines",)), CELL, {}), "r2")
+
+
+@query("m04_ridge", "WITH " + RIDGE_ONE + """
+SELECT n, seed, grid_index, alpha, round(r2_train, 6) AS r2_train, round(r2_val, 6) AS r2_val, round(r2_test, 6) AS r2_test,
+       round(mae_test, 2) AS mae_test FROM scores""")
+def ridge(spark, sf):
+    s = MODELS["ridge-reg"].sweep(order_long(spark, sf, ("lines",)), CELL, ONE_GRID)
+    return s.select("n", "seed", "grid_index", F.col("params")["alpha"].alias("alpha"),
+                    *[rounded(F.col(f"r2_{k}")).alias(f"r2_{k}") for k in SETS], rounded(F.col("mae_test"), 2).alias("mae_test"))
+
+
+def many_lines(spark, sf, features):
+    samples = stored(_labelled(spark, sf, features))
+    splits, _ = make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)
+    return stored(gather(samples, splits, RUN))
+
+
+def _labelled(spark, sf, features):
+    """Two classes of orders: more than four lines or not."""
+    o = order_rows(spark, sf)
+    return o.select("dataset", "sample_id", F.array(*features).alias("x"), (F.col("lines") > 4).cast("double").alias("y"),
+                    F.array("c_size", "c_price").alias("c"), F.lit(True).alias("valid"))
+
+
+@query("m05_ridge_classifier", "WITH " + ORDER_LONG + """,
+grid(grid_index, alpha) AS (VALUES (0, 0.1), (1, 10.0)),
+t AS (SELECT *, CAST(lines > 4 AS DOUBLE) AS cls, CASE WHEN lines > 4 THEN 1.0 ELSE -1.0 END AS sgn FROM long),
+moments AS (SELECT n, seed, avg(c_price) AS m, stddev_pop(c_price) AS s, avg(sgn) AS ms, count(*) AS k, covar_pop(c_price, sgn) AS cxy
+            FROM t WHERE "set" = 'train' GROUP BY n, seed),
+pred AS (SELECT n, seed, grid_index, "set", cls, CAST(ms + k * cxy / s / (k + alpha) * (c_price - m) / s > 0 AS DOUBLE) AS yhat
+         FROM t JOIN moments USING (n, seed), grid)
+SELECT n, seed, grid_index, round(avg(CAST(cls = yhat AS DOUBLE)) FILTER ("set" = 'train'), 6) AS acc_train,
+       round(avg(CAST(cls = yhat AS DOUBLE)) FILTER ("set" = 'val'), 6) AS acc_val,
+       round(avg(CAST(cls = yhat AS DOUBLE)) FILTER ("set" = 'test'), 6) AS acc_test FROM pred GROUP BY n, seed, grid_index""")
+def ridge_classifier(spark, sf):
+    s = MODELS["ridge-cls"].sweep(many_lines(spark, sf, ("c_price",)), CELL, {"alpha": [0.1, 10.0]})
+    return s.select("n", "seed", "grid_index", *[rounded(F.col(f"acc_{k}")).alias(f"acc_{k}") for k in SETS])
+
+
+@query("m05_ridge_classifier_ten_classes")
+def ridge_ten(spark, sf):
+    return MODELS["ridge-cls"].sweep(vector_long(spark, sf), CELL, GRIDS["default"]["ridge-cls"])
+
+
+def small_long(spark, sf, target):
+    """One size and seed for the models that take one distributed fit per grid point."""
+    if target == "ten":
+        samples = stored(embedding_samples(spark, sf, 16))
+        sizes = make_sizes([256])
+    else:
+        samples = _labelled(spark, sf, ("qty", "c_size", "c_price")) if target == "two" else \
+            order_samples(spark, sf, ("qty", "lines", "c_price"))
+        samples, sizes = stored(samples), make_sizes([512])
+    splits, _ = make_splits(samples, sizes, [0], RUN)
+    return stored(gather(samples, splits, RUN))
+
+
+BOOST = {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3], "subsample": [1.0]}
+SMALL_GRIDS = [
+    ("m06_logistic_regression", "logistic-regression-cls", "ten", {}),
+    ("m07_random_forest_classifier", "random-forest-cls", "ten", {"n_estimators": [20], "max_depth": [3], "max_features": [0.5, 1]}),
+    ("m08_random_forest_regressor", "random-forest-reg", "reg", {"n_estimators": [20], "max_depth": [3]}),
+    ("m09_boosting_classifier", "xgb-cls", "two", BOOST),
+    ("m10_boosting_regressor", "xgb-reg", "reg", BOOST),
+    ("m11_pca_ridge_classifier", "pca-ridge-cls", "ten", GRIDS["default"]["pca-ridge-cls"]),
+    ("m12_pca_ridge_regressor", "pca-ridge-reg", "reg", {"pca__n_components": [1, 2, 10], "ridge__alpha": [0.1, 1]}),
+    ("m13_rfe_ridge_classifier", "rfe-ridge-cls", "two", {"rfe__n_features_to_select": [1, 2], "ridge__alpha": [0.1, 1]}),
+    ("m14_rfe_ridge_regressor", "rfe-ridge-reg", "reg", {"rfe__n_features_to_select": [1, 2, 10], "ridge__alpha": [0.1, 1]}),
+    ("m15_rbf_svm_classifier", "rbf-kernel-svm-cls", "two", {"C": [1], "gamma": [0.1]}),
+    ("m16_rbf_svm_regressor", "rbf-kernel-svm-reg", "reg", {"C": [1], "gamma": [0.1]}),
+    ("m17_poly_svm_classifier", "poly-kernel-svm-cls", "two", {"C": [1], "degree": [2]}),
+    ("m18_poly_svm_regressor", "poly-kernel-svm-reg", "reg", {"C": [1], "degree": [2]}),
+]
+
+
+def _register(name, model, target, grid):
+    @query(name)
+    def run(spark, sf):
+        return sweep(small_long(spark, sf, target), model, grid, RUN)
+
+
+for _args in SMALL_GRIDS:
+    _register(*_args)
+
+
+@query("m19_confound_regression", "WITH " + ORDER_ROWS + """,
+s AS (SELECT var_pop(c_size) AS v1, var_pop(c_price) AS v2, covar_pop(c_size, c_price) AS v12, avg(c_size) AS m1, avg(c_price) AS m2,
+  covar_pop(c_size, qty) AS q1, covar_pop(c_price, qty) AS q2, avg(qty) AS mq,
+  covar_pop(c_size, lines) AS l1, covar_pop(c_price, lines) AS l2, avg(lines) AS ml FROM order_rows)
+SELECT sample_id, round(qty - mq - ((q1 * v2 - q2 * v12) * (c_size - m1) + (q2 * v1 - q1 * v12) * (c_price - m2)) / (v1 * v2 - v12 * v12), 5) + 0.0 AS qty,
+       round(lines - ml - ((l1 * v2 - l2 * v12) * (c_size - m1) + (l2 * v1 - l1 * v12) * (c_price - m2)) / (v1 * v2 - v12 * v12), 5) + 0.0 AS lines
+FROM order_rows, s""")
+def confounds(spark, sf):
+    o = stored(order_rows(spark, sf))
+    x = with_mask(o.select("sample_id", F.array("qty", "lines").alias("data")))
+    c = with_mask(o.select("sample_id", F.array("c_size", "c_price").alias("data")))
+    return regress_out(x, c).select("sample_id", rounded(F.col("data")[0], 5).alias("qty"), rounded(F.col("data")[1], 5).alias("lines"))
+
+
+@query("m20_grid_sweep")
+def grid_sweep(spark, sf):
+    """The whole default ridge grid for every size and seed."""
+    return sweep(order_long(spark, sf), "ridge-reg", GRIDS["default"]["ridge-reg"], RUN)
+
+
+SELECTED = RIDGE_ONE + """,
+chosen AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY n, seed ORDER BY r2_val DESC, grid_index) = 1)"""
+
+
+@query("m21_model_selection", "WITH " + SELECTED + """
+SELECT n, seed AS s, alpha, round(r2_val, 6) AS r2_val, round(r2_test, 6) AS r2_test FROM chosen""")
+def selection(spark, sf):
+    best = select_best(sweep(order_long(spark, sf, ("lines",)), "ridge-reg", ONE_GRID, RUN), RUN)
+    return best.select("n", "s", F.col("params")["alpha"].alias("alpha"), rounded(F.col("r2_val")).alias("r2_val"),
+                       rounded(F.col("r2_test")).alias("r2_test"))
+
+
+@query("m22_power_law", FITTED + """
+SELECT model, features, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c FROM fit""")
+def power_law(spark, sf):
+    f = curves.fit_power_law(points(spark, sf), CURVE_RUN)
+    return f.select(*CURVE_RUN, *[rounded(F.col(p), 4).alias(p) for p in "abc"])
+
+
+@query("m23_bootstrap", "WITH " + RESAMPLED + """
+SELECT model, features, CAST(rep AS INTEGER) AS rep, n, round(y, 10) AS y FROM resampled""")
+def bootstrap(spark, sf):
+    p = curves.bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", REPEATS)
+    return p.select(*CURVE_RUN, "rep", "n", rounded(F.col("y"), 10).alias("y"))
+
+
+@query("m23_bootstrap_fits", BOOTSTRAP + """
+SELECT model, features, CAST(rep AS INTEGER) AS rep, round(b, 3) AS b, round(c, 3) AS c FROM bfit""")
+def fits(spark, sf):
+    p = curves.bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", REPEATS)
+    return curves.bootstrap_fits(p, CURVE_RUN).select(*CURVE_RUN, "rep", rounded(F.col("b"), 3).alias("b"), rounded(F.col("c"), 3).alias("c"))
+
+
+@query("m24_bootstrap_admissibility", "WITH " + CURVE_POINTS + f""",
+signed AS (SELECT model, features, count(*) FILTER (coalesce(CASE WHEN features = 'P' THEN -1 ELSE 1 END * y_mean - y_sem > 0, FALSE)) - 3 AS dof
+           FROM curve_points GROUP BY model, features)
+SELECT model, features, CAST(dof AS INTEGER) AS dof, dof >= 2 AS fitted, CAST(CASE WHEN dof >= 2 THEN {REPEATS} ELSE 0 END AS BIGINT) AS n_fits FROM signed""")
+def admissible(spark, sf):
+    """Curves whose scores are negative have no valid size left, and so neither a fit nor a bootstrap."""
+    best = best_rows(spark, sf).withColumn("r2_test", F.when(F.col("features") == "P", -F.col("r2_test")).otherwise(F.col("r2_test")))
+    best = stored(best)
+    fit = curves.fit_power_law(curves.curve_points(best, CURVE_RUN, "r2_test"), CURVE_RUN)
+    boots = curves.bootstrap_fits(curves.bootstrap_points(best, CURVE_RUN, "r2_test", REPEATS), CURVE_RUN)
+    n_fits = boots.groupBy(*CURVE_RUN).agg(F.count(F.lit(1)).alias("n_fits"))
+    return fit.join(n_fits, CURVE_RUN, "left").select(*CURVE_RUN, "dof", F.col("a").isNotNull().alias("fitted"),
+                                                      F.coalesce("n_fits", F.lit(0).cast("bigint")).alias("n_fits"))
+
+
+@query("e01_learning_curve", "WITH " + SELECTED + """,
+curve AS (SELECT 1 AS one, n, avg(r2_test) AS y_mean, stddev_samp(r2_test) AS y_std, stddev_samp(r2_test) / sqrt(count(*)) AS y_sem
+          FROM chosen GROUP BY n),
+usable AS (SELECT one, CAST(n AS DOUBLE) AS n, y_mean AS y FROM curve WHERE y_mean - y_sem > 0 QUALIFY count(*) OVER () >= 5),
+""" + power_law_sql("usable", "one", "fit") + """
+SELECT n, round(y_mean, 6) AS y_mean, round(y_std, 6) AS y_std, round(y_sem, 6) AS y_sem, coalesce(y_mean - y_sem > 0, FALSE) AS mask,
+       round(a * power(n, -b) + c, 4) AS y_fit FROM curve LEFT JOIN fit USING (one)""")
+def learning(spark, sf):
+    """How well line counts predict the charge of an order at growing sample sizes, and the fitted curve."""
+    samples = stored(order_samples(spark, sf, ("lines",)))
+    out = learning_curve(samples, ORDER_SIZES, ORDER_SEEDS, RUN, "ridge-reg", ONE_GRID, repeats=20)
+    joined = out["points"].join(F.broadcast(out["fit"].select("dataset", "a", "b", "c")), "dataset")
+    from ..functions.numeric import power_law as value
+    return joined.select("n", *[rounded(F.col(c)).alias(c) for c in ("y_mean", "y_std", "y_sem")], "mask",
+                         rounded(value(F.col("n").cast("double"), F.col("a"), F.col("b"), F.col("c")), 4).alias("y_fit"))

@@ -144,11 +144,11 @@ def coerce(spark, sf):
 
 
 @query("p18_category_filter", "WITH " + CURVE_POINTS + """
-SELECT model, features, n, round(y_mean, 6) AS y_mean FROM curve_points
+SELECT model, features, n, round(y_mean, 10) AS y_mean FROM curve_points
 WHERE model IN ('1-URGENT', '5-LOW') AND features IN ('F', 'P')""")
 def category_filter(spark, sf):
     chosen = tables.filter_curves(points(spark, sf), {"model": ["1-URGENT", "5-LOW"], "features": ["F", "P"], "n": []})
-    return chosen.select("model", "features", "n", rounded(F.col("y_mean")).alias("y_mean"))
+    return chosen.select("model", "features", "n", rounded(F.col("y_mean"), 10).alias("y_mean"))
 
 
 # documents as runs: source, language and length class stand for the key fields
@@ -315,11 +315,11 @@ def lines(spark, sf):
 
 
 @query("x06_curve_table", "WITH " + CURVE_POINTS + """
-SELECT model, features, n, round(CASE WHEN y_mean < -1 THEN -1 ELSE y_mean END, 6) AS y,
-       round(CASE WHEN coalesce(y_std, 0) > 1 THEN 1 ELSE coalesce(y_std, 0) END, 6) AS y_std FROM curve_points""")
+SELECT model, features, n, round(CASE WHEN y_mean < -1 THEN -1 ELSE y_mean END, 10) AS y,
+       round(CASE WHEN coalesce(y_std, 0) > 1 THEN 1 ELSE coalesce(y_std, 0) END, 10) AS y_std FROM curve_points""")
 def tidy(spark, sf):
     t = tables.curve_table(points(spark, sf), CURVE_RUN)
-    return t.select("model", "features", "n", rounded(F.col("y")).alias("y"), rounded(F.col("y_std")).alias("y_std"))
+    return t.select("model", "features", "n", rounded(F.col("y"), 10).alias("y"), rounded(F.col("y_std"), 10).alias("y_std"))
 
 
 @query("x07_hyperparameter_points", "WITH " + BEST_ROWS + """,
@@ -348,10 +348,10 @@ def compare(spark, sf):
 
 
 @query("x09_error_bars", "WITH " + CURVE_POINTS + """
-SELECT model, features, n, round(y_mean - y_std, 6) AS y_min, round(y_mean + y_std, 6) AS y_max FROM curve_points""")
+SELECT model, features, n, round(y_mean - y_std, 10) AS y_min, round(y_mean + y_std, 10) AS y_max FROM curve_points""")
 def bars(spark, sf):
     t = tables.error_bars(tables.curve_table(points(spark, sf), CURVE_RUN))
-    return t.select("model", "features", "n", rounded(F.col("y_min")).alias("y_min"), rounded(F.col("y_max")).alias("y_max"))
+    return t.select("model", "features", "n", rounded(F.col("y_min"), 10).alias("y_min"), rounded(F.col("y_max"), 10).alias("y_max"))
 
 
 @query("x10_extrapolation")

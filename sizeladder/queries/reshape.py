@@ -14,10 +14,10 @@ from .windows import MATCHED, MATCH_CASES, matched
 
 
 @query("t02_sorted_curves", "WITH " + CURVE_POINTS + """
-SELECT model, features, n, round(y_mean, 6) AS y_mean FROM curve_points ORDER BY features""")
+SELECT model, features, n, round(y_mean, 10) AS y_mean FROM curve_points ORDER BY features""")
 def sorted_curves(spark, sf):
     out = tables.compare_by(points(spark, sf), "features", {})
-    return out.select("model", "features", "n", rounded(F.col("y_mean")).alias("y_mean"))
+    return out.select("model", "features", "n", rounded(F.col("y_mean"), 10).alias("y_mean"))
 
 
 @query("t03_nearest_control", "WITH RECURSIVE " + MATCH_CASES + """,
@@ -72,13 +72,13 @@ def cases_and_controls(spark, sf):
 
 
 @query("u05_union_curves", "WITH " + CURVE_POINTS + """
-SELECT 'mean' AS kind, model, features, n, round(y_mean, 6) AS y FROM curve_points
-UNION ALL SELECT 'score', model, features, n, round(r2_val, 6) FROM (
+SELECT 'mean' AS kind, model, features, n, round(y_mean, 10) AS y FROM curve_points
+UNION ALL SELECT 'score', model, features, n, round(r2_val, 10) FROM (
   SELECT model, features, n, max(r2_val) AS r2_val FROM best_rows GROUP BY model, features, n)""")
 def union_curves(spark, sf):
-    a = points(spark, sf).select(F.lit("mean").alias("kind"), *CURVE_RUN, "n", rounded(F.col("y_mean")).alias("y"))
+    a = points(spark, sf).select(F.lit("mean").alias("kind"), *CURVE_RUN, "n", rounded(F.col("y_mean"), 10).alias("y"))
     b = (best_rows(spark, sf).groupBy(*CURVE_RUN, "n").agg(F.max("r2_val").alias("y"))
-         .select(F.lit("score").alias("kind"), *CURVE_RUN, "n", rounded(F.col("y")).alias("y")))
+         .select(F.lit("score").alias("kind"), *CURVE_RUN, "n", rounded(F.col("y"), 10).alias("y")))
     return a.unionByName(b)
 
 
@@ -91,14 +91,14 @@ def melt(spark, sf):
 
 
 @query("r02_explode_curves", "WITH " + CURVE_POINTS + """
-SELECT model, features, n AS x, round(y_mean, 6) AS y_mean, round(y_std, 6) AS y_std FROM curve_points""")
+SELECT model, features, n AS x, round(y_mean, 10) AS y_mean, round(y_std, 10) AS y_std FROM curve_points""")
 def explode(spark, sf):
     from ..operators.curves import fit_power_law
     from ..sources.results import curve_documents
     p = stored(points(spark, sf))
     docs = curve_documents(p, fit_power_law(p, CURVE_RUN), CURVE_RUN)
-    return tables.explode_curve(docs, CURVE_RUN).select(*CURVE_RUN, "x", rounded(F.col("y_mean")).alias("y_mean"),
-                                                        rounded(F.col("y_std")).alias("y_std"))
+    return tables.explode_curve(docs, CURVE_RUN).select(*CURVE_RUN, "x", rounded(F.col("y_mean"), 10).alias("y_mean"),
+                                                        rounded(F.col("y_std"), 10).alias("y_std"))
 
 
 def _line_grids(spark, sf):

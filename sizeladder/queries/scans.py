@@ -137,7 +137,7 @@ def best_sink(spark, sf):
 
 
 @query("s13_curve_json_sink", "WITH " + CURVE_POINTS + """
-SELECT model, features, n AS x, round(y_mean, 6) AS y_mean, round(y_std, 6) AS y_std FROM curve_points""")
+SELECT model, features, n AS x, round(y_mean, 10) AS y_mean, round(y_std, 10) AS y_std FROM curve_points""")
 def curve_json(spark, sf):
     p = points(spark, sf)
     docs = results.curve_documents(p, fit_power_law(p, CURVE_RUN), CURVE_RUN)
@@ -146,7 +146,7 @@ def curve_json(spark, sf):
     back = results.read_json(spark, path, "model STRING, features STRING, x ARRAY<INT>, y_mean ARRAY<DOUBLE>, "
                                           "y_std ARRAY<DOUBLE>, dof INT, a DOUBLE")
     return back.select("model", "features", F.inline(F.arrays_zip("x", "y_mean", "y_std"))).select(
-        "model", "features", "x", rounded(F.col("y_mean")).alias("y_mean"), rounded(F.col("y_std")).alias("y_std"))
+        "model", "features", "x", rounded(F.col("y_mean"), 10).alias("y_mean"), rounded(F.col("y_std"), 10).alias("y_std"))
 
 
 @query("s14_result_discovery", "WITH " + SCORE_ROWS + """
@@ -159,13 +159,13 @@ def discovery(spark, sf):
 
 
 @query("s15_plot_inputs", "WITH " + CURVE_POINTS + """
-SELECT 'curve' AS part, model, features, CAST(n AS DOUBLE) AS x, round(y_mean, 6) AS y, round(y_mean - y_std, 6) AS low,
-       round(y_mean + y_std, 6) AS high, NULL AS name FROM curve_points
+SELECT 'curve' AS part, model, features, CAST(n AS DOUBLE) AS x, round(y_mean, 10) AS y, round(y_mean - y_std, 10) AS low,
+       round(y_mean + y_std, 10) AS high, NULL AS name FROM curve_points
 UNION ALL SELECT 'hyperparameter', model, features, CAST(n AS DOUBLE), round(alpha, 6), NULL, NULL, 'alpha' FROM best_rows""")
 def plot_inputs(spark, sf):
     curve = error_bars(curve_table(points(spark, sf), CURVE_RUN)).select(
-        F.lit("curve").alias("part"), *CURVE_RUN, F.col("n").cast("double").alias("x"), rounded(F.col("y")).alias("y"),
-        rounded(F.col("y_min")).alias("low"), rounded(F.col("y_max")).alias("high"),
+        F.lit("curve").alias("part"), *CURVE_RUN, F.col("n").cast("double").alias("x"), rounded(F.col("y"), 10).alias("y"),
+        rounded(F.col("y_min"), 10).alias("low"), rounded(F.col("y_max"), 10).alias("high"),
         F.lit(None).cast("string").alias("name"))
     hps = hyperparameter_table(best_rows(spark, sf), ["alpha"], CURVE_RUN).select(
         F.lit("hyperparameter").alias("part"), *CURVE_RUN, F.col("n").cast("double").alias("x"),
