@@ -86,7 +86,7 @@ def boosting_classifier(p, n, classes):
     """Early stopping is by relative improvement on a held-back tenth, not by ten flat rounds."""
     if set(classes) <= {0.0, 1.0}:
         return _boost(GBTClassifier, "y", p, predictionCol="yhat")
-    return OneVsRest(lambda label, raw: _boost(GBTClassifier, label, p, predictionCol="_p", rawPredictionCol=raw), classes)
+    return OneVsRest(lambda label, raw: _boost(GBTClassifier, label, p, predictionCol="_p").setRawPredictionCol(raw), classes)
 
 
 def boosting_regressor(p, n, classes):
