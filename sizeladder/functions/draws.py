@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+DRAW_BITS = 60
+
 
 def draw_key(*parts) -> Column:
-    """Uniform sort key: 64 bits of md5 over the parts, as hex text (text order = numeric order)."""
+    """Uniform BIGINT in [0, 2^60): the first 15 hex digits of md5 over the parts."""
     cols = [p if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.substring(F.md5(F.concat_ws(":", *[c.cast("string") for c in cols])), 1, 16)
+    text = F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(text, 1, 15), 16, 10).cast("bigint")
 
 
 def draw_integer(modulus: Column, *parts) -> Column:
     """Uniform integer in [0, modulus)."""
-    return F.conv(F.substring(draw_key(*parts), 1, 15), 16, 10).cast("bigint") % modulus
+    return draw_key(*parts) % modulus

@@ -9,19 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
 from ..schema import SAMPLE
-from .gram import fields, gram, gram_matrix, repeat_keys, ridge_weights, spectrum
+from .gram import fields, gram_matrix, repeat_keys, ridge_weights, spectrum, table_gram
 from .prepare import require_aligned
 
 
-def confound_coefficients(valid: DataFrame, run: list[str], chunks: int = 64) -> DataFrame:
+def confound_coefficients(valid: DataFrame, run: list[str]) -> DataFrame:
     """Least-norm regression of every data column on (1, covariates).
 
     Returns (run..., coef ARRAY<ARRAY<DOUBLE>>, intercept ARRAY<DOUBLE>): one entry per data column.
-    The whole table takes part, so rows are spread over `chunks` partial matrices per run.
+    The whole table takes part; it is reduced where it lies.
     """
-    wide = valid.select(*run, SAMPLE, F.col("c"), F.col("x"), F.size("c").alias("_q"))
-    g = gram(wide, run, ["c", "x"], F.pmod(F.xxhash64(SAMPLE), F.lit(chunks)))
-    width = wide.groupBy(*run).agg(F.max("_q").alias("q"))
+    g = table_gram(valid.select(*run, "c", "x"), run, ["c", "x"])
+    width = valid.groupBy(*run).agg(F.max(F.size("c")).alias("q"))
     tagged = g.join(F.broadcast(width), run)  # one row per run
 
     def solve(key, table):

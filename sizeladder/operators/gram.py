@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_ROWS = 50_000
+HELD_VALUES = 20_000_000  # doubles of partial matrices a task holds (160 MB)
 
 
 def fields(df: DataFrame, columns: list[str]) -> str:
@@ -53,32 +54,79 @@ def sum_vectors(df: DataFrame, by: list[str], column: str) -> DataFrame:
             .select(*by, vector_to_array("_s").alias(column)))
 
 
+def _columns(table, inputs: list[str], is_array: dict[str, bool]) -> np.ndarray:
+    """(1, inputs...) side by side."""
+    n = table.num_rows
+    parts = [np.ones((n, 1))]
+    for name in inputs:
+        col = table.column(name)
+        parts.append(matrix(col, n) if is_array[name] else vector(col).reshape(n, 1))
+    return np.hstack(parts)
+
+
+def _matrix_rows(keys: list, g: np.ndarray, names: list[str], as_type=pa.Table):
+    d = g.shape[0]
+    return as_type.from_arrays(
+        [*keys, pa.array(np.arange(d, dtype=np.int32)), pa.array(list(g), pa.list_(pa.float64()))],
+        names=[*names, "i", "row"])
+
+
 def gram(rows: DataFrame, cell: list[str], inputs: list[str], chunk: Column) -> DataFrame:
     """Gram matrix of (1, inputs...) per cell as (cell..., i, row): row i of the matrix.
 
     `inputs` are DOUBLE or ARRAY<DOUBLE> columns; they are laid out side by side after the constant.
+    Made for many cells of limited size: rows are shuffled to their (cell, chunk).
     """
     is_array = {f.name: isinstance(f.dataType, T.ArrayType) for f in rows.schema.fields}
     keyed = rows.select(*cell, chunk.alias("_chunk"), *inputs)
     keys = [*cell, "_chunk"]
 
     def partial(key, table):
-        n = table.num_rows
-        parts = [np.ones((n, 1))]
-        for name in inputs:
-            col = table.column(name)
-            parts.append(matrix(col, n) if is_array[name] else vector(col).reshape(n, 1))
-        m = np.hstack(parts)
-        g = m.T @ m
-        d = g.shape[0]
-        return pa.Table.from_arrays(
-            [*repeat_keys(key, d), pa.array(np.arange(d, dtype=np.int32)), pa.array(list(g), pa.list_(pa.float64()))],
-            names=[*keys, "i", "row"])
+        m = _columns(table, inputs, is_array)
+        return _matrix_rows(repeat_keys(key, m.shape[1]), m.T @ m, keys)
 
     schema = f"{fields(keyed, keys)}, i INT, `row` ARRAY<DOUBLE>"
     return sum_vectors(keyed.groupBy(*keys).applyInArrow(partial, schema), [*cell, "i"], "row")
 
 
+def table_gram(rows: DataFrame, cell: list[str], inputs: list[str]) -> DataFrame:
+    """The same for few cells that span whole tables: every task adds up its own rows, nothing is moved.
+
+    A task keeps one matrix per cell it meets and hands them over when they grow past HELD_VALUES.
+    """
+    is_array = {f.name: isinstance(f.dataType, T.ArrayType) for f in rows.schema.fields}
+    narrow = rows.select(*cell, *inputs)
+
+    def add_up(batches):
+        held, samples = {}, {}
+
+        def hand_over():
+            for k, g in held.items():
+                d = g.shape[0]
+                keys = [pa.array([v.as_py()] * d, v.type) for v in samples[k]]
+                yield _matrix_rows(keys, g, cell, pa.RecordBatch)
+            held.clear()
+            samples.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            where = batch.select(cell).to_pandas().groupby(cell, sort=False).indices
+            for k, idx in where.items():
+                m = _columns(batch.take(pa.array(idx)), inputs, is_array)
+                if k in held:
+                    held[k] += m.T @ m
+                else:
+                    held[k] = m.T @ m
+                    samples[k] = [batch.column(c)[int(idx[0])] for c in cell]
+            if sum(g.size for g in held.values()) > HELD_VALUES:
+                yield from hand_over()
+        yield from hand_over()
+
+    parts = narrow.mapInArrow(add_up, f"{fields(narrow, cell)}, i INT, `row` ARRAY<DOUBLE>")
+    return sum_vectors(parts, [*cell, "i"], "row")
+
+
 def gram_matrix(table: pa.Table) -> np.ndarray:
     """The rows of one cell back to a square matrix."""
     i = table.column("i").to_numpy()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw_key
 from ..schema import SAMPLE
-from ..session import materialise
+from ..session import materialise, store
 from .ranking import rank_by_draw
 from .splits import Size, _size_array, drawn_samples, split_status, task_kind, undersample
 
@@ -50,14 +50,14 @@ def _nearest_in_task(case_ids, case_groups, case_x, weights, k, schema):
     def scan(batches):
         m = len(case_ids)
         best_d = np.full((m, k), np.inf)
-        best_t = np.full((m, k), "", dtype="U16")
+        best_t = np.zeros((m, k), dtype=np.int64)
         best_i = np.full((m, k), -1, dtype=np.int64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ids = batch.column("sample_id").to_numpy()
             groups = batch.column("grp").to_numpy()
-            tie = np.asarray(batch.column("tie").to_pylist(), dtype="U16")
+            tie = batch.column("tie").to_numpy()
             coords = batch.column("c").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             by_first = np.argsort(coords[:, 0], kind="stable")
             ids, groups, tie, coords = ids[by_first], groups[by_first], tie[by_first], coords[by_first]
@@ -85,7 +85,7 @@ def _nearest_in_task(case_ids, case_groups, case_x, weights, k, schema):
         rows, cols = np.nonzero(best_i >= 0)
         yield pa.RecordBatch.from_arrays(
             [pa.array(case_groups[rows]), pa.array(case_ids[rows]), pa.array(best_i[rows, cols]),
-             pa.array(best_d[rows, cols]), pa.array(best_t[rows, cols].tolist(), pa.string())],
+             pa.array(best_d[rows, cols]), pa.array(best_t[rows, cols])],
             names=schema)
 
     return scan
@@ -107,7 +107,7 @@ def nearest_controls(cases: DataFrame, pool: DataFrame, weights: list[float], k:
         scan = _nearest_in_task(np.array(ids), np.array(groups, dtype=np.int32), np.array(coords, dtype=float),
                                 w, k, names)
         part = pool.select("grp", SAMPLE, "tie", "c").mapInArrow(
-            scan, "grp INT, case_id BIGINT, control_id BIGINT, dist DOUBLE, tie STRING")
+            scan, "grp INT, case_id BIGINT, control_id BIGINT, dist DOUBLE, tie BIGINT")
         return part if out is None else out.unionByName(part)
 
     for row in cases.toLocalIterator():
@@ -172,18 +172,18 @@ def match_cases(cases: DataFrame, pool: DataFrame, weights: list[float], k: int
             held = matched.select("cell", "control_id", F.lit(True).alias("_held"))
             offers = (offers.join(held, ["cell", "control_id"], "left")
                       .withColumn("taken", F.coalesce("_held", F.lit(False))).drop("_held"))
-        done = materialise(offers.groupBy("cell").applyInArrow(
+        done = store(offers.groupBy("cell").applyInArrow(
             _resolve, "cell INT, prio BIGINT, case_id BIGINT, control_id BIGINT, dist DOUBLE")
-            .where("control_id is not null"))
+            .where("control_id is not null"), "matched")
         served = done.count()
-        matched = done if matched is None else materialise(matched.unionByName(done))
+        matched = done if matched is None else matched.unionByName(done)
         left -= served
         if left:
             if pool_size is None:
                 pool_size = pool.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
             if k >= pool_size and not served:
                 raise ValueError("The majority class is too small to match every case.")
-            pending = materialise(pending.join(done.select("cell", "prio"), ["cell", "prio"], "left_anti"))
+            pending = store(pending.join(done.select("cell", "prio"), ["cell", "prio"], "left_anti"), "pending")
             k = min(4 * k, max(pool_size, 1))
     return matched
 
@@ -217,7 +217,7 @@ def matched_splits(samples: DataFrame, sizes: list[Size], seeds: list[int], run:
 
 
 def _match_one(here, spark, kinds, status, sizes, seeds, run, r, balanced, k):
-    drawn = drawn_samples(here, run, seeds)
+    drawn = drawn_samples(here, run, seeds, ("c",))
     if balanced:
         drawn = undersample(drawn, kinds, run)
     minority, majority = r["minority"], 1.0 - r["minority"]
@@ -231,7 +231,7 @@ def _match_one(here, spark, kinds, status, sizes, seeds, run, r, balanced, k):
     rank, h, hv, ht = F.col("rank"), F.col("h"), F.col("hv"), F.col("ht")
     in_set = F.when(rank <= ht, "test").when(rank <= ht + hv, "val").otherwise("train")
     served = (F.when(rank <= ht, h + hv + rank).when(rank <= ht + hv, h + rank - ht).otherwise(rank - ht - hv))
-    cells = (ranked.select(*run, "seed", SAMPLE, "rank", F.inline(named))
+    cells = (ranked.select(*run, "seed", SAMPLE, "c", "rank", F.inline(named))
              .where(rank <= h + hv + ht)
              .withColumn("set", in_set).withColumn("prio", served.cast("bigint")))
     good = F.broadcast(status.where("error is null").select(*run, "n", "seed"))
@@ -239,14 +239,11 @@ def _match_one(here, spark, kinds, status, sizes, seeds, run, r, balanced, k):
     index = {(s.n, seed): i for i, (s, seed) in enumerate((s, e) for s in sizes for e in seeds)}
     number = F.create_map(*[F.lit(x) for pair in ((f"{n}:{e}", i) for (n, e), i in index.items()) for x in pair])
     cells = cells.withColumn("cell", number[F.concat_ws(":", "n", "seed")])
-    points = here.select(SAMPLE, "c")
     # without balancing all seeds share one pool
-    group = F.col("seed") if balanced else F.lit(0)
-    cases = materialise(cells.join(points, SAMPLE).withColumn("grp", group.cast("int")))
-    tie = draw_key("tie", F.col(SAMPLE))
-    pool_rows = (drawn.join(points, SAMPLE) if balanced else here.select(SAMPLE, "y", "c"))
-    pool = (pool_rows.where(F.col("y") == majority)
-            .select(group.cast("int").alias("grp"), SAMPLE, tie.alias("tie"), "c"))
+    group = (F.col("seed") if balanced else F.lit(0)).cast("int")
+    cases = store(cells.withColumn("grp", group), "cases")
+    pool = ((drawn if balanced else here).where(F.col("y") == majority)
+            .select(group.alias("grp"), SAMPLE, draw_key("tie", F.col(SAMPLE)).alias("tie"), "c"))
     found = match_cases(cases.select("cell", "grp", "prio", SAMPLE, "c"), pool, r["weights"], k)
     if found is None:
         empty = cases.select(*run, "n", "seed", SAMPLE, "set").limit(0)

@@ -16,7 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_key
+from ..functions.draws import DRAW_BITS, draw_key
+from ..session import scratch_path
 from .grids import grid_points
 from .metrics import classification_metrics, regression_metrics
 from .scaling import scale_features, scale_targets, unscale_predictions
@@ -160,7 +161,7 @@ def predict(long: DataFrame, name: str, point: dict, n: int, classes: list[float
     """Fit on the training rows of one cell and predict all of its rows."""
     is_classifier, make, features = ESTIMATORS[name]
     data = features(long, point, width)
-    data = data.withColumn("held_back", draw_key("stop", F.col("sample_id")) < F.lit("19999999"))
+    data = data.withColumn("held_back", draw_key("stop", F.col("sample_id")) < F.lit(2 ** DRAW_BITS // 10))
     model = make(point, n, classes).fit(data.where("set = 'train'"))
     pred = model.transform(data)
     return pred if is_classifier else unscale_predictions(pred)
@@ -175,26 +176,25 @@ def sweep_mllib(long: DataFrame, name: str, grid: dict, cell: list[str], threads
     spark = long.sparkSession
     scaled = scale_features(long, cell)
     scaled = scaled if is_classifier else scale_targets(scaled, cell)
-    scaled = scaled.persist()
-    try:
-        facts = scaled.where("set = 'train'").groupBy(*cell).agg(
-            F.count(F.lit(1)).alias("rows"), F.first(F.size("x")).alias("width"),
-            (F.collect_set("y") if is_classifier else F.array().cast("array<double>")).alias("classes")).collect()
-
-        def one(job):
-            fact, index, point = job
-            part = scaled
-            for c in cell:
-                part = part.where(F.col(c) == F.lit(fact[c]))
-            pred = predict(part, name, point, fact["rows"], sorted(fact["classes"]), fact["width"])
-            metrics = (classification_metrics if is_classifier else regression_metrics)(pred, cell).first()
-            return {**metrics.asDict(), "grid_index": index, "params": {k: float(v) for k, v in point.items()}}
-
-        jobs = [(f, i, p) for f in facts for i, p in enumerate(grid_points(grid))]
-        with ThreadPoolExecutor(max_workers=threads) as pool:
-            results = list(pool.map(one, jobs))
-    finally:
-        scaled.unpersist()
+    path = scratch_path(spark, "scaled")
+    scaled.write.partitionBy(*cell).parquet(path)  # a fit reads the folder of its cell and nothing else
+    stored = spark.read.schema(scaled.schema).parquet(path)
+    facts = stored.where("set = 'train'").groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("rows"), F.first(F.size("x")).alias("width"),
+        (F.collect_set("y") if is_classifier else F.array().cast("array<double>")).alias("classes")).collect()
+
+    def one(job):
+        fact, index, point = job
+        part = stored
+        for c in cell:
+            part = part.where(F.col(c) == F.lit(fact[c]))
+        pred = predict(part, name, point, fact["rows"], sorted(fact["classes"]), fact["width"])
+        metrics = (classification_metrics if is_classifier else regression_metrics)(pred, cell).first()
+        return {**metrics.asDict(), "grid_index": index, "params": {k: float(v) for k, v in point.items()}}
+
+    jobs = [(f, i, p) for f in facts for i, p in enumerate(grid_points(grid))]
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        results = list(pool.map(one, jobs))
     names = ["acc", "f1"] if is_classifier else ["r2", "mae", "mse"]
     kinds = {f.name: f.dataType.simpleString() for f in long.schema.fields}
     ddl = ", ".join([f"`{c}` {kinds[c]}" for c in cell] + ["grid_index INT", "params MAP<STRING,DOUBLE>"]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, store
 from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector
 from .linear import standardised
 
@@ -29,8 +29,8 @@ def eliminate(train: DataFrame, cell: list[str], sizes: list[int], classes: list
     else:
         source = train.withColumn("y", F.array("y"))
     chunk, chunks = chunk_of(F.col("n"))
-    rows = materialise(source.select(*cell, chunk.alias("_chunk"), "x", "y"))
-    moments = materialise(gram(source, cell, ["x", "y"], chunk))
+    rows = store(source.select(*cell, chunk.alias("_chunk"), "x", "y"))
+    moments = store(gram(source, cell, ["x", "y"], chunk))
     width = rows.select(F.size("x").alias("d"), F.size("y").alias("k")).first()
     d, k = width["d"], width["k"]
     wanted = sorted({min(int(s), d) for s in sizes})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,15 +13,14 @@ from ..functions.numeric import standardise
 def feature_statistics(long: DataFrame, cell: list[str], x: str = "x") -> DataFrame:
     """(cell..., mean ARRAY, sd ARRAY) over the rows with set = train.
 
-    Values are exploded with their position, so the aggregation combines on the map side and its keys
-    are (cell, position).
+    One vector aggregate per cell with partial sums on the map side; its sample variance is turned
+    into the population one.
     """
-    stats = (long.where("set = 'train'").select(*cell, F.posexplode(x).alias("i", "v"))
-             .groupBy(*cell, "i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")))
-    ordered = F.array_sort(F.collect_list(F.struct("i", "m", "s")))  # one entry per feature
-    return (stats.groupBy(*cell).agg(ordered.alias("_o"))
-            .select(*cell, F.transform("_o", lambda o: o["m"]).alias("mean"),
-                    F.transform("_o", lambda o: o["s"]).alias("sd")))
+    stats = (long.where("set = 'train'").groupBy(*cell)
+             .agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector(x)).alias("_s")))
+    n = F.col("_s.count").cast("double")
+    spread = F.transform(vector_to_array("_s.variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return stats.select(*cell, vector_to_array("_s.mean").alias("mean"), spread.alias("sd"))
 
 
 def target_statistics(long: DataFrame, cell: list[str], y: str = "y") -> DataFrame:

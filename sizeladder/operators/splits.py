@@ -185,8 +185,8 @@ def assign_by_rank(ranked: DataFrame, sizes: list[Size], keep: list[str]) -> Dat
             .select(*keep, "n", SAMPLE, sets.alias("set")))
 
 
-def drawn_samples(samples: DataFrame, run: list[str], seeds: list[int]) -> DataFrame:
-    return samples.select(*run, SAMPLE, "y", F.explode(_seed_array(seeds)).alias("seed"))
+def drawn_samples(samples: DataFrame, run: list[str], seeds: list[int], carry: tuple[str, ...] = ()) -> DataFrame:
+    return samples.select(*run, SAMPLE, "y", *carry, F.explode(_seed_array(seeds)).alias("seed"))
 
 
 def make_splits(samples: DataFrame, sizes: list[Size], seeds: list[int], run: list[str], method: str = "none",

@@ -10,17 +10,29 @@ from ..operators.prepare import feature_mode
 from ..operators.select import select_best
 from ..operators.splits import Size, make_splits
 from ..schema import SAMPLE
-from ..session import materialise
+from ..session import store
 from ..streaming.incremental import pending_points
 from .models import MODELS
 
 
-def gather(samples: DataFrame, splits: DataFrame, run: list[str], mode: str = "normal") -> DataFrame:
+BROADCAST_IDS = 2_000_000  # split rows sent to the samples (about 100 MB); more are joined by shuffle
+
+
+def split_rows(sizes: list[Size], seeds: list[int], runs: int = 1) -> int:
+    """Upper bound on the rows of the splits, from the configuration alone."""
+    return sum(s.total for s in sizes) * len(seeds) * runs
+
+
+def gather(samples: DataFrame, splits: DataFrame, run: list[str], mode: str = "normal",
+           rows: int | None = None) -> DataFrame:
     """Split rows with their model input: (run..., n, seed, sample_id, set, x, y).
 
-    Splits are small next to the samples, so the optimiser can send them to the samples.
+    With `rows`, a bound on the split rows, splits within BROADCAST_IDS go to the samples, which then
+    stay where they are; larger ones are joined by shuffle.
     """
     picked = feature_mode(samples, mode).select(*run, SAMPLE, "x", F.col("y").cast("double").alias("y"))
+    if rows is not None and rows <= BROADCAST_IDS:
+        splits = F.broadcast(splits)
     return splits.join(picked, [*run, SAMPLE])
 
 
@@ -44,7 +56,7 @@ def sweep(long: DataFrame, model: str, grid: dict, run: list[str], existing: Dat
 
 def learning_curve(samples: DataFrame, sizes: list[Size], seeds: list[int], run: list[str], model: str, grid: dict,
                    method: str = "none", stratify: bool = False, balanced: bool = False,
-                   repeats: int = 100) -> dict[str, DataFrame]:
+                   repeats: int = 100, runs: int = 1) -> dict[str, DataFrame]:
     """Every table of a learning curve, from stored samples (run..., sample_id, x, y, [c], valid).
 
     The gathered rows and the scores are written once: both are small next to the samples, and every
@@ -52,8 +64,8 @@ def learning_curve(samples: DataFrame, sizes: list[Size], seeds: list[int], run:
     """
     splits, status = make_splits(samples, sizes, seeds, run, method, stratify, balanced)
     mode = method if method in ("with-cni", "only-cni") else "normal"
-    long = materialise(gather(samples, splits, run, mode))
-    scores = materialise(sweep(long, model, grid, run))
+    long = store(gather(samples, splits, run, mode, split_rows(sizes, seeds, runs)), "gathered")
+    scores = store(sweep(long, model, grid, run), "scores")
     best = select_best(scores, run)
     metric = "r2_test" if MODELS[model].regression else "acc_test"
     return {"splits": long.select(*run, "n", "seed", SAMPLE, "set"), "status": status, "scores": scores, "best": best,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.splits import Size, make_sizes
-from ..session import materialise
+from ..session import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """Prepared samples and gathered splits are written once; every later step reads them several times."""
-    return materialise(df)
+    return store(df)
 
 
 def rounded(column, digits: int = 6):
@@ -181,9 +181,10 @@ def order_long(spark: SparkSession, sf: str, features: tuple[str, ...] = ("qty",
                mode: str = "normal") -> DataFrame:
     """Split rows with inputs and target."""
     from ..operators.splits import make_splits
-    from ..plans.sweep import gather
+    from ..plans.sweep import gather, split_rows
     samples = stored(order_samples(spark, sf, features))
-    return stored(gather(samples, make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)[0], RUN, mode))
+    splits, _ = make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)
+    return stored(gather(samples, splits, RUN, mode, split_rows(ORDER_SIZES, ORDER_SEEDS)))
 
 
 ORDER_LONG = ORDER_SPLITS + """,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.prepare import empty_covariates, prepare
-from .files import numeric_columns, number_rows, read_matrix
+from .files import number_rows, read_matrix
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -46,5 +46,3 @@ class Catalog:
         columns = [c for c in df.columns if c != "sample_id"]
         return prepare(df, role, columns, "sample_id", quantile_transform)
 
-
-__all__ = ["Catalog", "numeric_columns"]

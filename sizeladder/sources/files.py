@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,16 +46,15 @@ def read_matrix(spark: SparkSession, path: str, columns: list[str] | None = None
 def number_rows(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """Row position as the id, for files that carry none.
 
-    Only for files whose row order is their identity: rows are numbered by partition order, which takes a
-    count per partition first. Tables with a key should use the key.
+    Only for single files, whose row order is their identity; tables with a key should use the key.
+    Rows are numbered inside each partition, and a count per partition gives the starting number.
     """
-    fields = T.StructType([T.StructField(id_col, T.LongType(), False), *df.schema.fields])
-    return df.sparkSession.createDataFrame(df.rdd.zipWithIndex().map(lambda p: (p[1], *p[0])), fields)
-
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-
-
-def as_array(df: DataFrame, columns: list[str]):
-    return F.array(*[F.col(c).cast("double") for c in columns])
+    inside = F.lit((1 << 33) - 1)  # fixed value: the generated id holds the partition above bit 33
+    marked = df.withColumn("_id", F.monotonically_increasing_id())
+    numbered = (marked.withColumn("_part", F.shiftright("_id", 33))
+                .withColumn("_row", F.col("_id").bitwiseAND(inside)).drop("_id"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = (numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+              .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint"))).drop("_rows"))
+    return (numbered.join(F.broadcast(starts), "_part")
+            .select((F.col("_start") + F.col("_row")).alias(id_col), *df.columns))

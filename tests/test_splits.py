@@ -112,7 +112,7 @@ def test_ranks_and_cuts_equal_a_plain_window(spark):
         "g", "i", "row_number() over (partition by g order by k, i) r").collect()}
     got = {(r["g"], r["i"]): r["rank"] for r in rank_by_draw(df, ["g"], "k", "i").collect()}
     assert got == plain
-    top = {(r["g"], r["i"]): r["rank"] for r in rank_by_draw(df, ["g"], "k", "i", 37, digits=1).collect()}
+    top = {(r["g"], r["i"]): r["rank"] for r in rank_by_draw(df, ["g"], "k", "i", 37, bits=4).collect()}
     assert top == {k: v for k, v in plain.items() if v <= 37}
     cut = {r["g"]: r["cut_tie"] for r in kth_draw(df, ["g"], "k", "i", F.lit(500)).collect()}
     assert all(plain[g, i] == 500 for g, i in cut.items()) and len(cut) == 2
