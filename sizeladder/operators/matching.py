@@ -110,7 +110,8 @@ def nearest_controls(cases: DataFrame, pool: DataFrame, weights: list[float], k:
             scan, "grp INT, case_id BIGINT, control_id BIGINT, dist DOUBLE, tie BIGINT")
         return part if out is None else out.unionByName(part)
 
-    for row in cases.toLocalIterator():
+    rows = cases.collect() if cases.count() <= per_block else cases.toLocalIterator()
+    for row in rows:
         ids.append(row[SAMPLE]), groups.append(row["grp"]), coords.append(row["c"])
         if len(ids) == per_block:
             out = flush(out)

@@ -14,6 +14,8 @@ def local_session(cores: str | int = 8, memory: str = "8g", **conf) -> SparkSess
          .config("spark.driver.memory", memory)
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(cores))
+         # small test tables would otherwise end up in one task
+         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     for k, v in conf.items():

@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
 
 ROWS_PER_TASK = 1_000_000
@@ -59,20 +59,24 @@ class NpyReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([ids, lists], names=["sample_id", "data"])
 
 
-class NpyWriter(DataSourceWriter):
+class NpyWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = _local(path)
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         """One shard per partition, written under a temporary name and then put in place."""
         from pyspark import TaskContext
-        data = [r["data"] for r in rows]
-        if data:
+        blocks = []
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(batch.schema.get_field_index("data")).flatten().to_numpy(zero_copy_only=False)
+                blocks.append(flat.reshape(batch.num_rows, -1))
+        if blocks:
             os.makedirs(self.path, exist_ok=True)
             final = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.npy")
             part = f"{final}.{uuid.uuid4().hex}.tmp"
             with open(part, "wb") as f:
-                np.save(f, np.asarray(data, dtype=np.float64))
+                np.save(f, np.concatenate(blocks))
             os.replace(part, final)
         return WriterCommitMessage()
 
