@@ -37,6 +37,11 @@ REGISTRY = {
 }
 
 
+def evaluate(pred: DataFrame, by: list[str], metrics: dict) -> DataFrame:
+    """Any aggregate expressions per (by..., set): name -> function without arguments that gives a column."""
+    return pred.groupBy(*by, "set").agg(*[f().alias(name) for name, f in metrics.items()])
+
+
 def confusion(pred: DataFrame, by: list[str]) -> DataFrame:
     """Counts per (by..., set, y, yhat); classes squared rows per set."""
     return pred.groupBy(*by, "set", "y", "yhat").agg(F.count(F.lit(1)).alias("cnt"))
@@ -86,5 +91,4 @@ def classification_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
 
 def regression_metrics(pred: DataFrame, by: list[str]) -> DataFrame:
     """r2_*/mae_*/mse_* per (by...) from predictions (by..., set, y, yhat)."""
-    per_set = pred.groupBy(*by, "set").agg(*[f().alias(n) for n, f in REGISTRY["regression"].items()])
-    return _spread(per_set, by, list(REGISTRY["regression"]))
+    return _spread(evaluate(pred, by, REGISTRY["regression"]), by, list(REGISTRY["regression"]))

@@ -5,6 +5,7 @@ Fits run through a bounded thread pool. Kernel machines are approximated by expl
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -23,6 +24,7 @@ from .metrics import classification_metrics, regression_metrics
 from .scaling import scale_features, scale_targets, unscale_predictions
 
 RANDOM_FEATURES = 256
+MONOMIALS = 2_000  # largest explicit polynomial expansion
 MAX_DEPTH = 30  # limit of the tree learner; deeper requests are cut to it
 
 
@@ -124,11 +126,31 @@ def random_fourier(df: DataFrame, gamma: float, width: int, out: str = "x") -> D
 
 
 def polynomial(df: DataFrame, degree: int, width: int, out: str = "features") -> DataFrame:
-    """All monomials up to `degree` (at most 3, like the kernel (g a.b)^p up to weighting)."""
-    wide = df.withColumn("_v", array_to_vector("x"))
+    """Features of the polynomial kernel (a.b / width)^degree: all monomials where they are few, else a sketch."""
     if degree <= 1:
-        return wide.withColumnRenamed("_v", out)
-    return PolynomialExpansion(degree=min(degree, 3), inputCol="_v", outputCol=out).transform(wide).drop("_v")
+        return df.withColumn(out, array_to_vector("x"))
+    if math.comb(width + degree, degree) <= MONOMIALS:
+        wide = df.withColumn("_v", array_to_vector("x"))
+        return PolynomialExpansion(degree=degree, inputCol="_v", outputCol=out).transform(wide).drop("_v")
+    return polynomial_sketch(df, degree, width).withColumn(out, array_to_vector("x"))
+
+
+def polynomial_sketch(df: DataFrame, degree: int, width: int, out: str = "x") -> DataFrame:
+    """Products of `degree` random sign projections; their inner product is the kernel on average. Fixed seed."""
+    rng = np.random.RandomState(42)
+    signs = rng.choice([-1.0, 1.0], size=(degree, width, RANDOM_FEATURES)) / np.sqrt(width)
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return x
+        rows = np.stack(x.to_numpy())
+        z = np.ones((len(rows), RANDOM_FEATURES)) / np.sqrt(RANDOM_FEATURES)
+        for s in signs:
+            z *= rows @ s
+        return pd.Series(list(z))
+
+    return df.withColumn(out, project("x"))
 
 
 def as_vector(df: DataFrame, point: dict, width: int) -> DataFrame:
@@ -174,14 +196,14 @@ def sweep_mllib(long: DataFrame, name: str, grid: dict, cell: list[str], threads
     """
     is_classifier = ESTIMATORS[name][0]
     spark = long.sparkSession
-    scaled = scale_features(long, cell)
+    classes = F.collect_set("y") if is_classifier else F.array().cast("array<double>")
+    facts = long.where("set = 'train'").groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("rows"), F.first(F.size("x")).alias("width"), classes.alias("classes")).collect()
+    scaled = scale_features(long, cell, values=sum(f["width"] for f in facts))
     scaled = scaled if is_classifier else scale_targets(scaled, cell)
     path = scratch_path(spark, "scaled")
     scaled.write.partitionBy(*cell).parquet(path)  # a fit reads the folder of its cell and nothing else
     stored = spark.read.schema(scaled.schema).parquet(path)
-    facts = stored.where("set = 'train'").groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("rows"), F.first(F.size("x")).alias("width"),
-        (F.collect_set("y") if is_classifier else F.array().cast("array<double>")).alias("classes")).collect()
 
     def one(job):
         fact, index, point = job

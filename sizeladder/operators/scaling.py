@@ -29,8 +29,15 @@ def target_statistics(long: DataFrame, cell: list[str], y: str = "y") -> DataFra
             .agg(F.avg(y).alias("y_mean"), F.when(sd == 0, 1.0).otherwise(sd).alias("y_sd")))
 
 
-def scale_features(long: DataFrame, cell: list[str], x: str = "x") -> DataFrame:
-    stats = F.broadcast(feature_statistics(long, cell, x))  # cells x features numbers
+BROADCAST_VALUES = 5_000_000  # numbers of scaler statistics sent to every task (80 MB for mean and spread)
+
+
+def scale_features(long: DataFrame, cell: list[str], x: str = "x", values: int | None = None) -> DataFrame:
+    """Standardised inputs. `values` is cells x features where known; within the bound the statistics are
+    broadcast, otherwise the join is left to the optimiser."""
+    stats = feature_statistics(long, cell, x)
+    if values is not None and values <= BROADCAST_VALUES:
+        stats = F.broadcast(stats)
     return long.join(stats, cell).withColumn(x, standardise(F.col(x), F.col("mean"), F.col("sd"))).drop("mean", "sd")
 
 

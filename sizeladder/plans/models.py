@@ -35,9 +35,16 @@ def _mean(long, cell, grid):
     return _single(regression_metrics(mean_target(long, cell), cell), cell)
 
 
+MOST_CLASSES = 1_000
+
+
 def class_list(long: DataFrame) -> list[float]:
-    """The classes of a classification target: at most ten values."""
-    return sorted(r["y"] for r in long.where("set = 'train'").select("y").distinct().collect())
+    """The classes of a classification target; a continuous target is refused before it is listed."""
+    classes = long.where("set = 'train'").select("y").distinct()
+    found = classes.limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError("The target has too many distinct values for a classifier.")
+    return sorted(r["y"] for r in found)
 
 
 def _linear(kind: str, classifier: bool):

@@ -140,13 +140,13 @@ def mse(spark, sf):
 # --- scalers ------------------------------------------------------------------------------------------
 
 @query("a12_scaler_statistics", "WITH " + ORDER_LONG + """
-SELECT n, seed, CAST(i AS INTEGER) AS i, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM (
+SELECT n, seed, CAST(i AS INTEGER) AS i, round(avg(v), 10) AS mean, round(stddev_pop(v), 10) AS sd FROM (
   SELECT n, seed, 0 AS i, qty AS v FROM long WHERE "set" = 'train' UNION ALL SELECT n, seed, 1, lines FROM long WHERE "set" = 'train')
 GROUP BY n, seed, i""")
 def scalers(spark, sf):
     s = feature_statistics(order_long(spark, sf), ["n", "seed"])
     pairs = F.posexplode(F.arrays_zip("mean", "sd")).alias("i", "p")
-    return s.select("n", "seed", pairs).select("n", "seed", "i", rounded(F.col("p.mean")).alias("mean"), rounded(F.col("p.sd")).alias("sd"))
+    return s.select("n", "seed", pairs).select("n", "seed", "i", rounded(F.col("p.mean"), 10).alias("mean"), rounded(F.col("p.sd"), 10).alias("sd"))
 
 
 @query("a13_target_scaler", "WITH " + ORDER_LONG + """,
@@ -278,3 +278,15 @@ def cross_moments(spark, sf):
     return g.select("n", "seed", "i", F.posexplode("row").alias("j", "g")).select("n", "seed", "i", "j", rounded(F.col("g"), 3).alias("g"))
 
 
+
+
+@query("f03_metric_registry", REG_PRED + """
+SELECT n, seed, "set", round(max(abs(y - yhat)), 4) AS max_error, round(avg(abs(y - yhat)), 3) AS mae FROM pred GROUP BY n, seed, "set" """)
+def own_metric(spark, sf):
+    """A metric added by the user next to a built-in one."""
+    from ..operators.metrics import evaluate
+    from ..operators.metrics import mae as built_in
+    pred = order_long(spark, sf).select("n", "seed", "set", "y", (F.col("x")[0] * 1500).alias("yhat"))
+    own = {"max_error": lambda: F.max(F.abs(F.col("y") - F.col("yhat"))), "mae": built_in}
+    return evaluate(pred, ["n", "seed"], own).select("n", "seed", "set", rounded(F.col("max_error"), 4).alias("max_error"),
+                                                     rounded(F.col("mae"), 3).alias("mae"))

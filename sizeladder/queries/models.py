@@ -11,7 +11,8 @@ from ..operators.prepare import with_mask
 from ..operators.select import select_best
 from ..operators.splits import make_sizes, make_splits
 from ..plans.grids import GRIDS
-from ..plans.models import MODELS
+from ..operators.metrics import regression_metrics
+from ..plans.models import MODELS, register
 from ..plans.sweep import gather, learning_curve, sweep
 from .aggregates import BOOTSTRAP, FITTED, REPEATS, RESAMPLED, power_law_sql
 from .base import (CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, VECTOR_LONG, best_rows,
@@ -107,8 +108,9 @@ def ridge_ten(spark, sf):
 
 def small_long(spark, sf, target):
     """One size and seed for the models that take one distributed fit per grid point."""
-    if target == "ten":
-        samples = stored(embedding_samples(spark, sf, 16))
+    if target in ("ten", "odd"):
+        samples = embedding_samples(spark, sf, 16)
+        samples = stored(samples.withColumn("y", F.col("y") % 2) if target == "odd" else samples)
         sizes = make_sizes([256])
     else:
         samples = _labelled(spark, sf, ("qty", "c_size", "c_price")) if target == "two" else \
@@ -146,6 +148,25 @@ for _args in SMALL_GRIDS:
     _register(*_args)
 
 
+@query("m18_poly_svm_sketch")
+def poly_sketch(spark, sf):
+    """A degree whose monomials would be too many goes through random projections."""
+    return sweep(small_long(spark, sf, "odd"), "poly-kernel-svm-cls", {"C": [1], "degree": [5]}, RUN)
+
+
+@query("f01_model_registry", "WITH " + ORDER_LONG + """,
+top AS (SELECT n, seed, max(y) AS yhat FROM long WHERE "set" = 'train' GROUP BY n, seed)
+SELECT n, seed, round(avg(abs(y - yhat)) FILTER ("set" = 'test'), 3) AS mae_test FROM long JOIN top USING (n, seed) GROUP BY n, seed""")
+def own_model(spark, sf):
+    """A model added by the user: the largest training target."""
+    def largest(long, cell, grid):
+        top = long.where("set = 'train'").groupBy(*cell).agg(F.max("y").alias("yhat"))
+        return regression_metrics(long.join(F.broadcast(top), cell), cell)  # one row per cell
+    register("largest-reg", True, largest)
+    out = sweep(order_long(spark, sf), "largest-reg", {}, RUN)
+    return out.select("n", F.col("s").alias("seed"), rounded(F.col("mae_test"), 3).alias("mae_test"))
+
+
 @query("m19_confound_regression", "WITH " + ORDER_ROWS + """,
 s AS (SELECT var_pop(c_size) AS v1, var_pop(c_price) AS v2, covar_pop(c_size, c_price) AS v12, avg(c_size) AS m1, avg(c_price) AS m2,
   covar_pop(c_size, qty) AS q1, covar_pop(c_price, qty) AS q2, avg(qty) AS mq,

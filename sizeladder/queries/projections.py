@@ -9,11 +9,13 @@ from ..functions.numeric import (all_finite, clip, is_finite, log_grid, power_la
 from ..operators import tables
 from ..operators.confounds import regress_out
 from ..operators.curves import bootstrap_fits, bootstrap_points, extrapolate_to
-from ..operators.prepare import align, feature_mode, flatten_target, require_valid, to_float32, to_matrix, with_mask
-from ..operators.select import complete_columns, test_metric, union_scores, validation_metric
+from ..operators.prepare import (align, feature_mode, flatten_target, require_numeric, require_rows, require_valid,
+                                 to_float32, to_matrix, with_mask)
+from ..operators.select import complete_columns, select_best, test_metric, union_scores, validation_metric
 from ..operators.splits import held_out_size, make_sizes, split_status, task_kind
-from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_ROWS, SCORE_ROWS, best_rows, embedding_samples,
-                   document_samples, order_rows, points, query, rounded, score_rows, stored, table)
+from ..sources.files import suffix_supported
+from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_ROWS, SCORE_ROWS, best_rows, document_samples,
+                   embedding_samples, order_rows, points, query, rounded, score_rows, stored, table)
 
 # event values with some of them broken on purpose: the tables hold no NaN or infinity
 BROKEN = """CASE WHEN event_id % 11 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 13 = 0 THEN 'Infinity'::DOUBLE
@@ -26,6 +28,52 @@ def broken(column="value"):
             .when(F.col("event_id") % 17 == 0, F.lit(None).cast("double")).otherwise(F.col(column)))
 
 
+CHECKED = ["customer", "documents", "events", "labels", "orders"]
+
+
+@query("p01_non_empty_check", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, '{r}' AS role, {empty} AND '{r}' <> 'covariates' AS refused FROM (SELECT count(*) AS k FROM {t})"
+    for t in CHECKED for r, empty in (("features", "k = 0"), ("covariates", "k >= 0"))))
+def non_empty(spark, sf):
+    """Full tables pass; an empty one is refused unless it holds covariates."""
+    rows = []
+    for name in CHECKED:
+        for role in ("features", "covariates"):
+            df = table(spark, sf, name)
+            try:
+                require_rows(df if role == "features" else df.limit(0), role)
+                rows.append((name, role, False))
+            except ValueError:
+                rows.append((name, role, True))
+    return spark.createDataFrame(rows, "name string, role string, refused boolean")
+
+
+NUMERIC = {"l_quantity": True, "l_shipdate": False, "l_returnflag": False, "l_linenumber": True}
+
+
+@query("p02_numeric_check", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, {str(ok).upper()} AS accepted, count({c}) AS present FROM lineitem" for c, ok in NUMERIC.items()))
+def numeric_check(spark, sf):
+    """Which columns of the item table could serve as data."""
+    li = table(spark, sf, "lineitem")
+    verdict = {}
+    for c in NUMERIC:
+        try:
+            require_numeric(li, [c])
+            verdict[c] = True
+        except TypeError:
+            verdict[c] = False
+    counts = li.agg(*[F.count(c).alias(c) for c in NUMERIC])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(v).alias("accepted"),
+                                                     F.col(c).alias("present")) for c, v in verdict.items()])))
+
+
+@query("s08_format_check", r"""
+SELECT page_id, coalesce(regexp_extract(url, '(\.[A-Za-z0-9]+)/?$', 1) IN ('.csv', '.tsv', '.npy', '.parquet'), FALSE) AS supported FROM pages""")
+def format_check(spark, sf):
+    return table(spark, sf, "pages").select("page_id", suffix_supported(F.col("url")).alias("supported"))
+
+
 @query("p03_finite_mask", f"""
 SELECT event_id, coalesce(isfinite({BROKEN}), FALSE) AS mask FROM events""")
 def finite_mask(spark, sf):
@@ -121,6 +169,20 @@ def drop_incomplete(spark, sf):
     return complete_columns(best)
 
 
+@query("p14_required_columns", "WITH " + BEST_ROWS + """
+SELECT 'n, s' AS columns, TRUE AS selected, count(*) AS selected_rows FROM best_rows
+UNION ALL SELECT 'n', FALSE, 0 UNION ALL SELECT 's', FALSE, 0""")
+def required_columns(spark, sf):
+    """Without size or seed there is nothing to select."""
+    scores, out = score_rows(spark, sf), None
+    for columns, lacking in (("n, s", []), ("n", ["s"]), ("s", ["n"])):
+        best = select_best(scores.drop(*lacking), CURVE_RUN)
+        rows = (scores.limit(0) if best is None else best).agg(F.count(F.lit(1)).alias("selected_rows"))
+        row = rows.select(F.lit(columns).alias("columns"), F.lit(best is not None).alias("selected"), "selected_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("p15_curve_mask", "WITH " + CURVE_POINTS + """
 SELECT model, features, n, coalesce(y_mean - y_sem > 0, FALSE) AS mask FROM curve_points""")
 def curve_mask(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.prepare import empty_covariates, prepare
@@ -17,10 +18,12 @@ class Catalog:
 
     def __init__(self):
         self._loaders: dict[tuple[str, str, str], Loader] = {}
+        self._paths: dict[tuple[str, str, str], str] = {}
 
     def add(self, dataset: str, role: str, variant: str, loader: Loader | str) -> "Catalog":
         if isinstance(loader, str):
             path = loader
+            self._paths[dataset, role, variant] = path
 
             def loader(spark, path=path):
                 df = read_matrix(spark, path)
@@ -31,6 +34,17 @@ class Catalog:
     def entries(self) -> list[tuple[str, str, str]]:
         return sorted(self._loaders)
 
+    def missing_files(self, spark: SparkSession) -> list[str]:
+        """A message for every registered path that does not exist; the paths are configuration."""
+        def absent(path: str) -> bool:
+            try:
+                spark.read.format("binaryFile").load(path).schema
+            except AnalysisException as e:
+                return e.getCondition() == "PATH_NOT_FOUND"
+            return False
+        return [f"Dataset '{d}': {r} file '{v}' does not exist at path '{p}'."
+                for (d, r, v), p in sorted(self._paths.items()) if absent(p)]
+
     def raw(self, spark: SparkSession, dataset: str, role: str, variant: str) -> DataFrame:
         try:
             return self._loaders[dataset, role, variant](spark)

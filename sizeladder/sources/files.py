@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,11 @@ def suffix_of(path: str) -> str:
     return suffix
 
 
+def suffix_supported(path: Column) -> Column:
+    """The same check for a column of paths."""
+    return F.coalesce(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)/?$", 1).isin(*FORMATS), F.lit(False))
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", columns: list[str] | None = None,
                    header: bool = True) -> DataFrame:
     """Delimited text with a header line; with `columns` given every one is read as DOUBLE, without a pass

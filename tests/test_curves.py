@@ -137,5 +137,7 @@ def test_files(spark, tmp_path):
     c = Catalog().add("d", "features", "m", str(tmp_path / "m.csv"))
     assert c.load(spark, "d", "features", "m").where("mask").count() == 10
     assert c.load(spark, "d", "covariates", "none").count() == 0
+    c.add("d", "covariates", "lost", str(tmp_path / "lost.csv"))
+    assert len(c.missing_files(spark)) == 1 and "lost.csv" in c.missing_files(spark)[0]
     with pytest.raises(KeyError):
         c.load(spark, "d", "features", "other")
