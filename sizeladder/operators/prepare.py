@@ -20,6 +20,12 @@ def require_rows(df: DataFrame, role: str) -> None:
         raise ValueError("Dataset is empty after loading.")
 
 
+def require_covariates(covariates: DataFrame, method: str) -> None:
+    """Every method but `none` needs covariates."""
+    if method != "none" and covariates.isEmpty():
+        raise ValueError("Confound dataset is empty but a confound correction method is specified.")
+
+
 def require_numeric(df: DataFrame, columns: list[str]) -> None:
     """Every data column must be numeric (or an array of numbers); decided from the schema alone."""
     for field in df.select(*columns).schema.fields:

@@ -1,16 +1,17 @@
 """NumPy array files as a Spark data source, split by row range.
 
-A path is one ``.npy`` file or a folder of shards that follow each other in name order. Each task maps
-its row range into memory and reads nothing else. The writer leaves one shard per partition.
+A path is one ``.npy`` file or a folder of shards that follow each other in name order, on any file
+system Arrow can open. Each task reads the bytes of its row range and nothing else. The writer leaves one
+shard per partition.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition,
                                     WriterCommitMessage)
@@ -19,19 +20,44 @@ ROWS_PER_TASK = 1_000_000
 BATCH_ROWS = 10_000
 
 
-def _local(path: str) -> str:
-    return path[len("file://"):] if path.startswith("file://") else path
+def _resolve(path: str):
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[len("file:"):]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _shards(path: str) -> list[str]:
-    path = _local(path)
-    if os.path.isdir(path):
-        return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".npy"))
-    return [path]
+def _shards(path: str):
+    system, path = _resolve(path)
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        files = [f.path for f in system.get_file_info(fs.FileSelector(path)) if f.path.endswith(".npy")]
+        return system, sorted(files)
+    return system, [path]
+
+
+def _header(f):
+    """(shape, column-major?, dtype, position of the first value)."""
+    version = np.lib.format.read_magic(f)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, fortran, dtype = read(f)
+    return shape, fortran, dtype, f.tell()
+
+
+def _rows(f, header, start: int, stop: int) -> np.ndarray:
+    shape, fortran, dtype, at = header
+    width = int(np.prod(shape[1:], dtype=np.int64))
+    if fortran and width > 1:
+        columns = []
+        for j in range(width):
+            f.seek(at + (j * shape[0] + start) * dtype.itemsize)
+            columns.append(np.frombuffer(f.read((stop - start) * dtype.itemsize), dtype))
+        return np.stack(columns, axis=1).astype(np.float64)
+    f.seek(at + start * width * dtype.itemsize)
+    flat = np.frombuffer(f.read((stop - start) * width * dtype.itemsize), dtype)
+    return flat.reshape(stop - start, width).astype(np.float64)
 
 
 class RowRange(InputPartition):
-    def __init__(self, file: str, start: int, stop: int, offset: int):
+    def __init__(self, file: int, start: int, stop: int, offset: int):
         self.file, self.start, self.stop, self.offset = file, start, stop, offset
 
 
@@ -41,27 +67,30 @@ class NpyReader(DataSourceReader):
 
     def partitions(self):
         out, offset = [], 0
-        for file in _shards(self.path):
-            n = np.load(file, mmap_mode="r").shape[0]  # reads the header only
-            out += [RowRange(file, s, min(n, s + self.rows), offset) for s in range(0, n, self.rows)]
+        system, files = _shards(self.path)
+        for number, file in enumerate(files):
+            with system.open_input_file(file) as f:
+                n = _header(f)[0][0]
+            out += [RowRange(number, s, min(n, s + self.rows), offset) for s in range(0, n, self.rows)]
             offset += n
         return out
 
     def read(self, part: RowRange):
-        data = np.load(part.file, mmap_mode="r")
-        for s in range(part.start, part.stop, BATCH_ROWS):
-            e = min(part.stop, s + BATCH_ROWS)
-            block = np.asarray(data[s:e], dtype=np.float64).reshape(e - s, -1)
-            width = block.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (e - s + 1) * width, width, dtype=np.int32)),
-                                             pa.array(block.ravel()))
-            ids = pa.array(np.arange(part.offset + s, part.offset + e, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([ids, lists], names=["sample_id", "data"])
+        system, files = _shards(self.path)
+        with system.open_input_file(files[part.file]) as f:
+            header = _header(f)
+            for s in range(part.start, part.stop, BATCH_ROWS):
+                e = min(part.stop, s + BATCH_ROWS)
+                block = _rows(f, header, s, e)
+                ends = np.arange(0, (e - s + 1) * block.shape[1], block.shape[1], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(block.ravel()))
+                ids = pa.array(np.arange(part.offset + s, part.offset + e, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([ids, lists], names=["sample_id", "data"])
 
 
 class NpyWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
-        self.path = _local(path)
+        self.path = path
 
     def write(self, batches) -> WriterCommitMessage:
         """One shard per partition, written under a temporary name and then put in place."""
@@ -72,12 +101,13 @@ class NpyWriter(DataSourceArrowWriter):
                 flat = batch.column(batch.schema.get_field_index("data")).flatten().to_numpy(zero_copy_only=False)
                 blocks.append(flat.reshape(batch.num_rows, -1))
         if blocks:
-            os.makedirs(self.path, exist_ok=True)
-            final = os.path.join(self.path, f"part-{TaskContext.get().partitionId():06d}.npy")
+            system, path = _resolve(self.path)
+            system.create_dir(path, recursive=True)
+            final = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():06d}.npy"
             part = f"{final}.{uuid.uuid4().hex}.tmp"
-            with open(part, "wb") as f:
-                np.save(f, np.concatenate(blocks))
-            os.replace(part, final)
+            with system.open_output_stream(part) as f:
+                np.lib.format.write_array(f, np.concatenate(blocks))
+            system.move(part, final)
         return WriterCommitMessage()
 
 

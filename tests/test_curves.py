@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sizeladder.operators import curves, tables
+from sizeladder.operators.prepare import empty_covariates, require_covariates
 from sizeladder.operators.select import complete_columns, select_best, union_scores
 from sizeladder.plans.experiments import canonical_runs, expand_experiments, validate_experiments
 from sizeladder.sources.catalog import Catalog
@@ -128,7 +129,13 @@ def test_files(spark, tmp_path):
     np.save(tmp_path / "m.npy", m)
     got = read_matrix(spark, str(tmp_path / "m.npy")).orderBy("sample_id").collect()
     assert np.allclose([r["data"] for r in got], m)
-    spark.read.format("npy").option("rowsPerTask", 3).load(str(tmp_path / "m.npy")).count()
+    np.save(tmp_path / "f.npy", np.asfortranarray(m))
+    np.save(tmp_path / "v.npy", np.arange(5, dtype="int32"))
+    for path, want in ((tmp_path / "m.npy", m), (f"file:{tmp_path}/f.npy", m), (f"file://{tmp_path}/v.npy", np.arange(5.0)[:, None])):
+        parts = spark.read.format("npy").option("rowsPerTask", 3).load(str(path)).orderBy("sample_id").collect()
+        assert np.allclose([r["data"] for r in parts], want)
+    with pytest.raises(ValueError, match="Confound dataset is empty"):
+        require_covariates(empty_covariates(spark), "correct-x")
     (tmp_path / "m.csv").write_text("a,b\n" + "\n".join(f"{a},{b}" for a, b in m))
     df = number_rows(read_matrix(spark, str(tmp_path / "m.csv")))
     assert [tuple(r) for r in df.orderBy("sample_id").collect()] == [(i, *r) for i, r in enumerate(m)]
