@@ -36,19 +36,19 @@ def _subset(value, default: str) -> str:
 
 
 def logistic(p, n, classes):
-    return LogisticRegression(featuresCol="features", labelCol="y", predictionCol="yhat", standardization=False,
+    return LogisticRegression(featuresCol="_features", labelCol="y", predictionCol="yhat", standardization=False,
                               regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=300, tol=1e-9)
 
 
 def forest_classifier(p, n, classes):
-    return RandomForestClassifier(featuresCol="features", labelCol="y", predictionCol="yhat", seed=42,
+    return RandomForestClassifier(featuresCol="_features", labelCol="y", predictionCol="yhat", seed=42,
                                   numTrees=int(p.get("n_estimators", 100)),
                                   maxDepth=min(int(p.get("max_depth", MAX_DEPTH)), MAX_DEPTH),
                                   featureSubsetStrategy=_subset(p.get("max_features"), "sqrt"))
 
 
 def forest_regressor(p, n, classes):
-    return RandomForestRegressor(featuresCol="features", labelCol="y_scaled", predictionCol="yhat", seed=42,
+    return RandomForestRegressor(featuresCol="_features", labelCol="y_scaled", predictionCol="yhat", seed=42,
                                  numTrees=int(p.get("n_estimators", 100)),
                                  maxDepth=min(int(p.get("max_depth", MAX_DEPTH)), MAX_DEPTH),
                                  featureSubsetStrategy=_subset(p.get("max_features"), "all"))
@@ -79,7 +79,7 @@ class OneVsRest:
 
 
 def _boost(cls, label, p, **columns):
-    return cls(featuresCol="features", labelCol=label, seed=42, maxIter=int(p.get("n_estimators", 100)),
+    return cls(featuresCol="_features", labelCol=label, seed=42, maxIter=int(p.get("n_estimators", 100)),
                stepSize=float(p.get("learning_rate", 0.1)), subsamplingRate=float(p.get("subsample", 1.0)),
                maxDepth=min(int(p.get("max_depth", 3)), MAX_DEPTH), validationIndicatorCol="held_back",
                featureSubsetStrategy=_subset(p.get("max_features"), "all"), **columns)
@@ -98,14 +98,14 @@ def boosting_regressor(p, n, classes):
 
 def svm_classifier(p, n, classes):
     def one(label, raw="rawPrediction", out="_p"):
-        return LinearSVC(featuresCol="features", labelCol=label, predictionCol=out, rawPredictionCol=raw,
+        return LinearSVC(featuresCol="_features", labelCol=label, predictionCol=out, rawPredictionCol=raw,
                          standardization=False, regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100)
     return one("y", out="yhat") if set(classes) <= {0.0, 1.0} else OneVsRest(one, classes)
 
 
 def svm_regressor(p, n, classes):
     """Robust (Huber) loss stands in for the epsilon-insensitive one, which Spark does not have."""
-    return LinearRegression(featuresCol="features", labelCol="y_scaled", predictionCol="yhat", loss="huber",
+    return LinearRegression(featuresCol="_features", labelCol="y_scaled", predictionCol="yhat", loss="huber",
                             standardization=False, regParam=1.0 / (float(p.get("C", 1.0)) * n), maxIter=100)
 
 
@@ -125,7 +125,7 @@ def random_fourier(df: DataFrame, gamma: float, width: int, out: str = "x") -> D
     return df.withColumn(out, project("x"))
 
 
-def polynomial(df: DataFrame, degree: int, width: int, out: str = "features") -> DataFrame:
+def polynomial(df: DataFrame, degree: int, width: int, out: str = "_features") -> DataFrame:
     """Features of the polynomial kernel (a.b / width)^degree: all monomials where they are few, else a sketch."""
     if degree <= 1:
         return df.withColumn(out, array_to_vector("x"))
@@ -154,7 +154,7 @@ def polynomial_sketch(df: DataFrame, degree: int, width: int, out: str = "x") ->
 
 
 def as_vector(df: DataFrame, point: dict, width: int) -> DataFrame:
-    return df.withColumn("features", array_to_vector("x"))
+    return df.withColumn("_features", array_to_vector("x"))
 
 
 def rbf_features(df: DataFrame, point: dict, width: int) -> DataFrame:
