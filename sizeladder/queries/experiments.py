@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans import experiments as plan
@@ -82,9 +83,9 @@ grids(grid, model) AS (VALUES ('default', 'ridge-reg'), ('minimal', 'ridge-reg')
 
 def references(spark, sf):
     d = table(spark, sf, "documents")
-    share = d.agg((F.count(F.lit(1)) / 10).alias("tenth"))
-    langs = (d.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(share))  # one row
-             .where("k > tenth").select(F.lit("docs").alias("dataset"), F.lit("features").alias("role"), F.col("lang").alias("name")))
+    every = Window.partitionBy("dataset")  # one row per language
+    langs = (d.groupBy(F.lit("docs").alias("dataset"), "lang").agg(F.count(F.lit(1)).alias("k"))
+             .withColumn("total", F.sum("k").over(every)).where("k > total / 10").select(F.lit("docs").alias("dataset"), F.lit("features").alias("role"), F.col("lang").alias("name")))
     lens = d.select(F.lit("docs").alias("dataset"), F.lit("covariates").alias("role"),
                     F.concat(F.lit("len-"), (F.col("n_chars") % 2).cast("string")).alias("name")).distinct()
     targets = table(spark, sf, "labels").where("quality >= 0").select(
