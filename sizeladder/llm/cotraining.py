@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import store
 from .common import md5_bits, text_of
@@ -44,7 +45,7 @@ def text_features(text: str) -> np.ndarray:
     return np.concatenate([ratios, np.bincount(raw, minlength=BYTE_GROUPS) / max(len(raw), 1)]).astype(np.float32)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def content_view(texts: pd.Series) -> pd.Series:
     return texts.map(text_features)
 

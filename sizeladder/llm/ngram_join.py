@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import store
 from .common import BROADCAST_ROWS, small, text_of
@@ -133,7 +134,7 @@ def _matrix(sigs) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(sigs), HASHES)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def band_keys(sigs: pd.Series) -> pd.Series:
     """One 64-bit key per band, the band's number mixed in."""
     values = _matrix(sigs).astype(np.uint64).reshape(len(sigs), HASHES // BAND, BAND)

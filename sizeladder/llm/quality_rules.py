@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import store
 from .common import text_of
@@ -69,7 +70,7 @@ def text_stats(text: str) -> tuple[int, ...]:
             repeated, len(lines), len(seen), int(times[upper].sum()), text.count("!"), text.count(".") + text.count(","))
 
 
-@F.pandas_udf(", ".join(f"{s} bigint" for s in STATS))
+@F.pandas_udf(T.StructType([T.StructField(s, T.LongType()) for s in STATS]))
 def stats_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
 
