@@ -1,12 +1,14 @@
 """Quality rules as weak supervision.
 
-Every rule votes good or bad on a document, or abstains. Expectation-maximisation over the vote patterns of all
-documents estimates, without labels, how often each rule votes bad on bad and on good documents, and how many documents
-are bad. A document's posterior probability of being good decides, instead of a list of filters that all must pass.
+Every rule votes bad or good on a document, or abstains. Expectation-maximisation over the votes of all documents
+estimates, without labels, how often every rule votes on bad and on good documents, hence its accuracy, and the share
+of bad documents. A document's posterior probability of being good decides, instead of a list of filters that all must
+pass.
 
-The patterns are counted with map-side combine: whatever the corpus, at most 3 ^ rules counts reach the driver, and as
-many verdicts are sent back. Two plain rules stand before the votes (`base_failed`): fewer than 10 words, or more than a
-fifth of the words in five-word windows that occur twice.
+A rule speaks for one verdict and abstains otherwise, so a vote pattern is one bit per rule. Patterns are counted with
+map-side combine: whatever the corpus, at most 2 ^ rules counts reach the driver, and as many verdicts are sent back.
+Two plain rules stand before the votes (`base_failed`): fewer than 10 words, or more than a fifth of the words in
+five-word windows that occur twice.
 
 Null texts have no words. Documents without words get no votes and fail the plain rules. Nothing is joined on ids, so
 repeated rows and null ids are judged each on their own text; other columns pass through. On an empty table
@@ -32,17 +34,20 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
          "n_exclaim", "n_stops")
 BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
 
-#: (rule, it votes bad, else it votes good); neither: it abstains. All are ratios of whole-text counts.
+_CLEAN = "50 * n_symbols <= n_words AND 10 * n_upper <= n_words AND 5 * n_repeat_words <= n_words"
+#: (rule, -1 votes bad or 1 good, when it votes); all conditions compare whole-text counts.
 RULES = (
-    ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("repetition", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    ("lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines >= 4"),
-    ("capitals", "10 * n_upper > 3 * n_words", "20 * n_upper <= n_words"),
-    ("exclamations", "2 * n_exclaim > n_words", "10 * n_exclaim <= n_words"),
-    ("vocabulary", "n_words >= 50 AND 4 * n_distinct < n_words", "n_words >= 50 AND 5 * n_distinct >= 3 * n_words"),
-    ("word_length", "word_chars < 3 * n_words OR word_chars > 10 * n_words",
-     "10 * word_chars >= 43 * n_words AND word_chars <= 7 * n_words"),
-    ("sentences", "100 * n_stops < n_words", "20 * n_stops >= n_words AND 2 * n_stops <= n_words"),
+    ("symbols", -1, "10 * n_symbols > n_words"),
+    ("repetition", -1, "100 * n_repeat_words > 20 * n_words"),
+    ("lines", -1, "10 * n_dup_lines > 3 * n_lines"),
+    ("capitals", -1, "10 * n_upper > 3 * n_words"),
+    ("exclamations", -1, "2 * n_exclaim > n_words"),
+    ("vocabulary", -1, "n_words >= 50 AND 4 * n_distinct < n_words"),
+    ("word_length", -1, "word_chars < 3 * n_words OR word_chars > 10 * n_words"),
+    ("sentences", -1, "100 * n_stops < n_words"),
+    ("prose", 1, f"50 * n_stops >= n_words AND 5 * n_stops <= 3 * n_words AND 10 * n_exclaim <= n_words AND {_CLEAN}"),
+    ("varied", 1, f"5 * n_distinct >= 2 * n_words AND {_CLEAN}"),
+    ("plain", 1, f"2 * word_chars >= 7 * n_words AND word_chars <= 8 * n_words AND 5 * n_dup_lines <= 2 * n_lines AND {_CLEAN}"),
 )
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
@@ -75,63 +80,66 @@ def stats_of(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
 
 
-def vote_code(prefix: str = "") -> Column:
-    """All votes as one number in base 3: digit 0 bad, 1 abstains, 2 good; rule 0 is the last digit."""
+def vote_code() -> Column:
+    """The votes as one number: bit k is set where rule k votes."""
     code = F.lit(0)
-    for place, (_, bad, good) in enumerate(RULES):
-        vote = F.when(F.col("n_words") == 0, 1).when(F.expr(bad), 0).when(F.expr(good), 2).otherwise(1)
-        code = code + vote * 3 ** place
+    for place, (_, _, when) in enumerate(RULES):
+        code = code + F.when((F.col("n_words") > 0) & F.expr(when), 1 << place).otherwise(0)
     return code.cast("int")
 
 
 def votes_of(codes: np.ndarray) -> np.ndarray:
-    """Rows of -1, 0, 1 per rule."""
-    return codes[:, None] // 3 ** np.arange(len(RULES))[None, :] % 3 - 1
+    """Rows of -1, 0 (abstains), 1 per rule."""
+    return (codes[:, None] >> np.arange(len(RULES))[None, :] & 1) * np.array([sign for _, sign, _ in RULES])
 
 
 @dataclass
 class RuleModel:
-    """Share of bad documents, and how often each rule votes bad (given that it votes) on bad and on good ones."""
+    """Share of bad documents, and how often each rule votes on bad and on good ones."""
 
     bad_share: float
     on_bad: np.ndarray
     on_good: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of good; abstentions say nothing."""
+        """Probability of good. An abstention counts for what it says: a rule that votes on nearly all good documents
+        and is silent on this one makes it less likely to be good."""
         odds = np.log1p(-self.bad_share) - np.log(self.bad_share)
-        bad, good = votes < 0, votes > 0
-        odds = odds + bad @ (np.log(self.on_good) - np.log(self.on_bad))
-        odds = odds + good @ (np.log1p(-self.on_good) - np.log1p(-self.on_bad))
+        odds = odds + (votes != 0) @ (np.log(self.on_good) - np.log(self.on_bad))
+        odds = odds + (votes == 0) @ (np.log1p(-self.on_good) - np.log1p(-self.on_bad))
         return 1 / (1 + np.exp(-odds))
 
     def accuracies(self) -> dict[str, float]:
-        """Estimated share of right votes per rule."""
-        right = self.bad_share * self.on_bad + (1 - self.bad_share) * (1 - self.on_good)
-        return {name: float(a) for (name, _, _), a in zip(RULES, right)}
+        """Share of right votes among a rule's votes."""
+        bad, good = self.bad_share * self.on_bad, (1 - self.bad_share) * self.on_good
+        return {name: float((b if sign < 0 else g) / (b + g)) for (name, sign, _), b, g in zip(RULES, bad, good)}
 
 
 def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, tolerance: float = 1e-9) -> RuleModel:
     """Expectation-maximisation over vote patterns with their counts.
 
-    It starts from "bad where any rule votes bad"; one pseudo-vote on either side keeps rates inside (0, 1).
+    It starts from the majority of votes. One pseudo-vote on either side keeps rates inside (0, 1), and no rule is taken
+    to be worse than chance: it votes at least as often on documents of its own verdict as on others.
     """
-    weight, bad, voted = counts.astype(float), votes < 0, votes != 0
-    good_share = np.where(bad.any(axis=1), 0.1, 0.95)
+    weight, voted = counts.astype(float), votes != 0
+    against = np.array([sign < 0 for _, sign, _ in RULES])
+    good = np.where(votes.sum(axis=1) < 0, 0.05, 0.95)
     for _ in range(rounds):
-        on = [((w[:, None] * bad).sum(0) + 1) / ((w[:, None] * voted).sum(0) + 2)
-              for w in (weight * (1 - good_share), weight * good_share)]
-        share = ((weight * (1 - good_share)).sum() + 1) / (weight.sum() + 2)
-        model = RuleModel(float(share), *on)
+        on_bad, on_good = (((w[:, None] * voted).sum(0) + 1) / (w.sum() + 2) for w in (weight * (1 - good), weight * good))
+        both = ((weight[:, None] * voted).sum(0) + 1) / (weight.sum() + 2)
+        wrong = np.where(against, on_good > on_bad, on_bad > on_good)
+        on_bad, on_good = np.where(wrong, both, on_bad), np.where(wrong, both, on_good)
+        share = ((weight * (1 - good)).sum() + 1) / (weight.sum() + 2)
+        model = RuleModel(float(share), on_bad, on_good)
         now = model.posterior(votes)
-        moved, good_share = float(np.abs(now - good_share).max(initial=0.0)), now
+        moved, good = float(np.abs(now - good).max(initial=0.0)), now
         if moved < tolerance:
             break
     return model
 
 
 def verdicts(codes: DataFrame, keep: float = 0.5) -> tuple[DataFrame, RuleModel]:
-    """(_code, quality, good) per vote pattern of `codes`, and the model; at most 3 ^ rules rows."""
+    """(_code, quality, good) per vote pattern of `codes`, and the model; at most 2 ^ rules rows."""
     table = codes.groupBy("_code").agg(F.count(F.lit(1)).alias("n")).orderBy("_code").collect()
     patterns = np.array([r["_code"] for r in table], dtype=np.int64)
     votes = votes_of(patterns)
