@@ -72,12 +72,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marks = store(mark(docs, id_col, text_col, keep, most=most).select(
         F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "marks")
-    columns = docs.columns
-    rows = docs.withColumn("_sha", F.sha2(text_of(text_col), 256))
-    drop = marks.where("NOT kept").select("_id", F.col("_sha").alias("_drop")).distinct()
-    same = rows[id_col].eqNullSafe(drop["_id"]) & (rows["_sha"] == drop["_drop"])
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_row"),
+                       F.sha2(text_of(text_col), 256).alias("_print"))
+    drop = marks.where("NOT kept").select("_id", "_sha").distinct()
+    same = rows["_row"].eqNullSafe(drop["_id"]) & (rows["_print"] == drop["_sha"])
     left = rows.join(drop, same, "left_anti")
     twice = marks.where("kept").groupBy("_id", "_sha").count().where("count > 1")
     if not twice.isEmpty():  # whole rows were repeated
-        left = left.dropDuplicates([id_col, "_sha"])
-    return left.select(*columns)
+        left = left.dropDuplicates(["_row", "_print"])
+    return left.select("_doc.*")

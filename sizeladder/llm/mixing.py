@@ -108,9 +108,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     rows = sized_rows(docs, id_col, source_col, text_col)
     targets = source_targets(rows, weights, most_copies, share)
     plan = store(targets.join(thresholds(rows, targets), ["_none", "_source"], "left"), "plan")
-    keyed = docs.withColumn("_none", F.col(source_col).isNull()).withColumn(
-        "_source", F.coalesce(F.col(source_col), F.lit("")))
-    copies = (F.col("whole") + F.when(md5_bits(F.col(id_col), digits=8) < F.col("threshold"), 1).otherwise(0)).cast("int")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), md5_bits(F.col(id_col), digits=8).alias("_hash"),
+                        F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"))
+    copies = (F.col("whole") + F.when(F.col("_hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
     return (keyed.join(small(plan.select("_none", "_source", "whole", "threshold")), ["_none", "_source"])
             .withColumn("_copies", copies).where("_copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*"))

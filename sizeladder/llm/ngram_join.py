@@ -364,6 +364,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents without near duplicates of a smaller id, one per group, with the columns of `docs`."""
     drop = store(near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(
         F.col(id_col).alias("_id"), F.col("_md5").alias("_drop")).distinct(), "near_copies")
-    rows = docs.withColumn("_md5", F.unhex(F.md5(text_of(text_col))))
-    same = rows[id_col].eqNullSafe(drop["_id"]) & (rows["_md5"] == drop["_drop"])
-    return rows.join(drop, same, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_row"),
+                       F.unhex(F.md5(text_of(text_col))).alias("_md5"))
+    same = rows["_row"].eqNullSafe(drop["_id"]) & (rows["_md5"] == drop["_drop"])
+    return rows.join(drop, same, "left_anti").select("_doc.*")
