@@ -25,11 +25,9 @@ def confound_coefficients(valid: DataFrame, run: list[str]) -> DataFrame:
 
     def solve(key, table):
         m, q = gram_matrix(table), int(table.column("q")[0].as_py())
-        n = m[0, 0]
-        mean = m[0] / n
-        cov = m - n * np.outer(mean, mean)
+        n, mean, cov = m[0, 0], m[0], m
         c, x = slice(1, 1 + q), slice(1 + q, None)
-        scale = np.sqrt(np.diag(cov)[c])
+        scale = np.sqrt(np.maximum(np.diag(cov)[c], 0))
         scale = np.where(scale > 0, scale, 1.0)
         values, vectors = spectrum(cov[c, c] / np.outer(scale, scale))
         beta = ridge_weights(values, vectors, cov[c, x] / scale[:, None], 0.0) / scale[:, None]

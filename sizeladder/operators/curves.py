@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw_integer
 from ..functions.numeric import nan_to_null, power_law
 from ..schema import MIN_DOF
-from ..session import spread
+from ..session import spread, store
 
-# The search over the exponent looks at 10 (i / 40)^2, i = 0..40, then narrows eight times
-# by a factor of five around the best one.
-B_MAX = 10.0
+# The search over the exponent looks at 10 (i / 40)^2, i = 0..40, then at 20 points in geometric steps up to
+# the exponent that makes the second size equal to infinity in double precision (37 / ln(n_2 / n_1); any larger one
+# gives the same curve), and narrows eight times by a factor of five around the best one.
+B_FINE = 10.0
 B_POINTS = 40
+B_COARSE = 20
+B_FLAT = 37.0
 REFINEMENTS = 8
 BOOTSTRAP_SEED = 42
 
@@ -67,6 +70,10 @@ def best_power_law(points: Column) -> Column:
         return F.transform(base["p"], lambda p: F.struct(F.log(p["n"] / base["first"]).alias("l"),
                                                          (p["y"] - base["mean"]).alias("y")))
 
+    def top(base):
+        later = F.filter(F.transform(base["p"], lambda p: F.log(p["n"] / base["first"])), lambda l: l > 0)
+        return F.greatest(F.lit(B_FINE), F.lit(B_FLAT) / F.coalesce(F.array_min(later), F.lit(1.0)))
+
     def search(data):
         def at(b):
             return _fit_for(data["p"], data["size"], data["yy"], b)
@@ -78,13 +85,16 @@ def best_power_law(points: Column) -> Column:
                 w.alias("fit"), F.greatest(w["b"] - half, F.lit(0.0)).alias("lo"), (w["b"] + half).alias("hi")))
 
         def coarse(i):
-            return F.lit(B_MAX) * (i.cast("double") / B_POINTS) * (i.cast("double") / B_POINTS)
+            fine = F.lit(B_FINE) * (i.cast("double") / B_POINTS) * (i.cast("double") / B_POINTS)
+            return F.when(i <= B_POINTS, fine).otherwise(
+                F.lit(B_FINE) * F.pow(data["top"] / B_FINE, (i.cast("double") - B_POINTS) / B_COARSE))
 
-        start = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(B_POINTS)),
+        last = F.lit(B_POINTS + B_COARSE)
+        start = F.array_min(F.transform(F.sequence(F.lit(0), last),
                                         lambda i: F.struct(at(coarse(i)).alias("fit"), i.alias("i"))))
         best = _let(start, lambda w: F.struct(
             w["fit"].alias("fit"), coarse(F.greatest(w["i"] - 1, F.lit(0))).alias("lo"),
-            F.least(coarse(w["i"] + 1), F.lit(B_MAX)).alias("hi")))
+            coarse(F.least(w["i"] + 1, last)).alias("hi")))
         best = F.aggregate(F.sequence(F.lit(1), F.lit(REFINEMENTS)), best, lambda state, _: narrow(state))
         return _let(best["fit"], lambda f: F.struct(
             (-f["slope"] * F.pow(data["first"], f["b"])).alias("a"), f["b"].alias("b"),
@@ -94,7 +104,7 @@ def best_power_law(points: Column) -> Column:
                     (_total(points, lambda p: p["y"]) / F.size(points).cast("double")).alias("mean"))
     return _let(base, lambda g: _let(
         F.struct(centred(g).alias("p"), g["first"].alias("first"), g["mean"].alias("mean"),
-                 F.size(g["p"]).cast("double").alias("size"),
+                 F.size(g["p"]).cast("double").alias("size"), top(g).alias("top"),
                  _total(g["p"], lambda p: (p["y"] - g["mean"]) * (p["y"] - g["mean"])).alias("yy")), search))
 
 
@@ -198,7 +208,7 @@ def statistics(best: DataFrame, run: list[str], metric: str, repeats: int = 100,
     """All tables of a curve from its best scores."""
     points = curve_points(best, run, metric)
     resampled = bootstrap_points(best, run, metric, repeats, seed)
-    fits = bootstrap_fits(resampled, run)
+    fits = store(bootstrap_fits(resampled, run), "bootstrap")
     seeds = best.groupBy(*run).agg(F.count_distinct("s").alias("n_seeds"))
     return {"points": points, "fit": fit_power_law(points, run).join(seeds, run), "bootstrap": fits,
             "parameters": bootstrap_summary(fits, run, repeats), "y": bootstrap_y_summary(resampled, run)}

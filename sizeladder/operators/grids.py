@@ -8,8 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grid_points(grid: dict) -> list[dict]:
-    """All combinations of a model's grid: names sorted, the last one varies fastest; {} is one point."""
+MAX_DEPTH = 30  # limit of the tree learner
+
+
+def feasible_grid(grid: dict, width: int) -> dict:
+    """A grid with values that cannot be reached replaced by the largest that can, each once.
+
+    There are at most `width` components or selected features, and trees of at most MAX_DEPTH levels. Scores
+    carry the values that were used.
+    """
+    limits = {"pca__n_components": width, "rfe__n_features_to_select": width, "max_depth": MAX_DEPTH}
+    return {k: sorted({min(v, limits[k]) for v in values}) if k in limits else values for k, values in grid.items()}
+
+
+def grid_points(grid: dict | list[dict]) -> list[dict]:
+    """All combinations of a model's grid: names sorted, the last one varies fastest; {} is one point.
+
+    A list of points is taken as it is.
+    """
+    if isinstance(grid, list):
+        return grid
     names = sorted(grid)
     return [dict(zip(names, values)) for values in product(*(grid[n] for n in names))]
 
@@ -44,11 +62,6 @@ def first_match(df: DataFrame, key: list[str], order: list) -> DataFrame:
             .where("_p = 1").drop("_p"))
 
 
-def same_params(a: Column, b: Column) -> Column:
-    """Maps are not comparable in SQL; their sorted entries are."""
-    return F.array_sort(F.map_entries(a)) == F.array_sort(F.map_entries(b))
-
-
 def params_key(params: Column) -> Column:
     """Canonical text of a parameter map, usable as a join key."""
     return F.concat_ws(";", F.transform(F.array_sort(F.map_entries(params)),

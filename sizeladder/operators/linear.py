@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import spread
-from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector
+from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector, width_of
 from .grids import grid_points
 
 KINDS = {"ols": (), "ridge": ("alpha",), "pca-ridge": ("pca__n_components", "ridge__alpha"),
@@ -21,16 +21,14 @@ KINDS = {"ols": (), "ridge": ("alpha",), "pca-ridge": ("pca__n_components", "rid
 
 
 def standardised(m: np.ndarray, d: int):
-    """Training moments from a Gram matrix of (1, x, outputs): n, means, spreads, scaled covariances."""
-    n = m[0, 0]
-    mean = m[0, 1:] / n
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
-    var = np.diag(cov).copy()
-    noise = 1e-12 * np.maximum(np.diag(m)[1:] / n, 1e-300)
-    sd = np.where(var > noise, np.sqrt(np.maximum(var, 0)), 1.0)
-    cov[:, var <= noise] = 0.0
-    cov[var <= noise, :] = 0.0
-    return n, mean, sd, n * cov[:d, :d] / np.outer(sd[:d], sd[:d]), n * cov[:d, d:] / sd[:d, None]
+    """Training moments as :func:`gram_matrix` gives them: n, means, spreads, scaled covariances.
+
+    Only a column that is the same number in every row has no spread.
+    """
+    n, mean, products = m[0, 0], m[0, 1:], m[1:, 1:]
+    sd = np.sqrt(np.maximum(np.diag(products), 0) / n)
+    sd = np.where(sd > 0, sd, 1.0)
+    return n, mean, sd, products[:d, :d] / np.outer(sd[:d], sd[:d]), products[:d, d:] / sd[:d, None]
 
 
 def weights_for(kind: str, params: dict, n: float, values, vectors, cross, support=None, scaled=None):
@@ -56,17 +54,17 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
     """Weights per (cell, grid point) from training rows (cell..., sample_id, x, y).
 
     Output: (cell..., grid_index, params MAP, classes ARRAY, coef ARRAY (outputs x features, flattened),
-    intercept ARRAY, centre). `rows` tells about how many rows a cell has (default: its column n).
+    intercept ARRAY, shift ARRAY, base ARRAY, centre). `rows` tells about how many rows a cell has (default: its column n).
     """
     points = grid_points(grid)
     rows = F.col("n") if rows is None else rows
-    chunk, _ = chunk_of(rows)
+    chunk, chunks = chunk_of(rows, width=width_of(train))
     inputs = ["x", "y"]
     source = train
     if classifier:
         classes = sorted(classes)
         source = train.withColumn("y", F.array(*[F.when(F.col("y") == c, 1.0).otherwise(-1.0) for c in classes]))
-    g = gram(source, cell, inputs, chunk)
+    g = gram(source, cell, inputs, chunk, chunks)
     outputs = len(classes) if classifier else 1
     if supports is not None:
         g = g.join(F.broadcast(supports), cell)  # (cell, supports) : one row per cell
@@ -86,7 +84,7 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
             present_out = [present[1]]
         else:
             present_out = present
-        coef, intercept, ids, params = [], [], [], []
+        coef, intercept, base, ids, params = [], [], [], [], []
         for index, point in enumerate(points):
             support = None
             if kind == "rfe-ridge":
@@ -95,6 +93,7 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
             w = w / sd[:d, None]
             coef.append(w.T.ravel().tolist())
             intercept.append((mean[d:][present_out] - mean[:d] @ w).tolist())
+            base.append(mean[d:][present_out].tolist())
             ids.append(index)
             params.append(list(point.items()))
         k = len(ids)
@@ -104,11 +103,12 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
             [*repeat_keys(key, k), pa.array(ids, pa.int32()),
              pa.array(params, pa.map_(pa.string(), pa.float64())),
              pa.array([labels] * k, pa.list_(pa.float64())), pa.array(coef, pa.list_(pa.float64())),
-             pa.array(intercept, pa.list_(pa.float64())), pa.array([centre] * k, pa.float64())],
-            names=[*cell, "grid_index", "params", "classes", "coef", "intercept", "centre"])
+             pa.array(intercept, pa.list_(pa.float64())), pa.array([mean[:d].tolist()] * k, pa.list_(pa.float64())),
+             pa.array(base, pa.list_(pa.float64())), pa.array([centre] * k, pa.float64())],
+            names=[*cell, "grid_index", "params", "classes", "coef", "intercept", "shift", "base", "centre"])
 
     schema = (f"{fields(g, cell)}, grid_index INT, params MAP<STRING,DOUBLE>, classes ARRAY<DOUBLE>, "
-              "coef ARRAY<DOUBLE>, intercept ARRAY<DOUBLE>, centre DOUBLE")
+              "coef ARRAY<DOUBLE>, intercept ARRAY<DOUBLE>, shift ARRAY<DOUBLE>, base ARRAY<DOUBLE>, centre DOUBLE")
     return g.groupBy(*cell).applyInArrow(solve, schema)
 
 
@@ -125,12 +125,12 @@ def score_linear(long: DataFrame, weights: DataFrame, cell: list[str], classifie
 
     `rows` (an upper bound on the rows of a cell, from cell columns only) sets the number of chunks.
     """
-    chunk, chunks = chunk_of(F.col("n") * 3 if rows is None else rows)
+    chunk, chunks = chunk_of(F.col("n") * 3 if rows is None else rows, width=width_of(long))
     keys = [*cell, "_chunk"]
     left = long.select(*cell, chunk.alias("_chunk"), "set", "x", "y")
     # one copy of a cell's weights for each of its chunks
     right = weights.select(*cell, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_chunk"),
-                           "grid_index", "classes", "coef", "intercept", "centre")
+                           "grid_index", "classes", "coef", "shift", "base", "centre")
 
     def sums(key, rows_, models):
         n = rows_.num_rows
@@ -141,9 +141,11 @@ def score_linear(long: DataFrame, weights: DataFrame, cell: list[str], classifie
             sets = np.asarray(rows_.column("set").to_pylist())
             d = x.shape[1]
             masks = {s: sets == s for s in ("train", "val", "test")}
+            # around the training means, as the intercept of columns with a large offset would cost digits
+            x = x - np.array(models.column("shift")[0].as_py(), dtype=float)
             for j in range(models.num_rows):
                 index = models.column("grid_index")[j].as_py()
-                b = np.array(models.column("intercept")[j].as_py(), dtype=float)
+                b = np.array(models.column("base")[j].as_py(), dtype=float)
                 w = np.array(models.column("coef")[j].as_py(), dtype=float).reshape(-1, d)
                 scores = x @ w.T + b
                 if classifier:

@@ -23,7 +23,7 @@ def require_rows(df: DataFrame, role: str) -> None:
 def require_covariates(covariates: DataFrame, method: str) -> None:
     """Every method but `none` needs covariates."""
     if method != "none" and covariates.isEmpty():
-        raise ValueError("Confound dataset is empty but a confound correction method is specified.")
+        raise ValueError("The correction method needs covariates, but there are none.")
 
 
 def require_numeric(df: DataFrame, columns: list[str]) -> None:
@@ -118,5 +118,5 @@ def require_valid(df: DataFrame, columns: list[str]) -> DataFrame:
     checks = [all_finite(F.col(c)) if isinstance(types[c], T.ArrayType) else is_finite(F.col(c))
               for c in columns]
     ok = reduce(lambda a, b: a & b, checks)
-    message = F.lit("Input data contains NaN or infinite values.")
+    message = F.lit("A model input is missing or not finite.")
     return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, store
-from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector
+from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, width_of
 from .linear import standardised
 
 ALPHAS = (0.1, 1.0, 10.0)  # fixed values: penalties tried while eliminating
@@ -28,9 +28,9 @@ def eliminate(train: DataFrame, cell: list[str], sizes: list[int], classes: list
         source = train.withColumn("y", F.array(*[F.when(F.col("y") == c, 1.0).otherwise(-1.0) for c in kept]))
     else:
         source = train.withColumn("y", F.array("y"))
-    chunk, chunks = chunk_of(F.col("n"))
+    chunk, chunks = chunk_of(F.col("n"), width=width_of(train))
     rows = store(source.select(*cell, chunk.alias("_chunk"), "x", "y"))
-    moments = store(gram(source, cell, ["x", "y"], chunk))
+    moments = store(gram(source, cell, ["x", "y"], chunk, chunks))
     width = rows.select(F.size("x").alias("d"), F.size("y").alias("k")).first()
     d, k = width["d"], width["k"]
     wanted = sorted({min(int(s), d) for s in sizes})

@@ -60,20 +60,14 @@ def _seed_array(seeds: list[int]) -> Column:
     return F.array(*[F.lit(int(s)) for s in seeds])
 
 
-DOMAIN_SKETCH = 64  # targets with a larger estimated domain are surely not within the class limit
+DOMAIN_SKETCH = 64  # targets with a larger estimated domain are surely over the class limit of stratified splits
 
 
-def class_counts(samples: DataFrame, run: list[str], small: DataFrame | None = None) -> DataFrame:
-    """Rows per class for the runs whose target has a small domain.
-
-    A sketch (fixed memory) rules out continuous targets first, so the exact count never shuffles a
-    large number of distinct values. The cut is far from the limit of 10 classes, where the sketch is
-    exact for practical purposes.
-    """
-    if small is None:
-        small = run_sizes(samples, run).where(F.col("_about") <= DOMAIN_SKETCH)
-    few = F.broadcast(small.select(*run))  # one row per run
-    return samples.join(few, run).groupBy(*run, "y").agg(F.count(F.lit(1)).alias("cnt"))
+def class_counts(samples: DataFrame, run: list[str], only: DataFrame | None = None) -> DataFrame:
+    """Rows per class, exactly and whatever their number; `only` restricts the count to some runs (one row each)."""
+    if only is not None:
+        samples = samples.join(F.broadcast(only.select(*run)), run)
+    return samples.groupBy(*run, "y").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def run_sizes(samples: DataFrame, run: list[str]) -> DataFrame:
@@ -85,6 +79,7 @@ def task_kind(samples: DataFrame, run: list[str], method: str, stratify: bool, b
     if method not in METHODS:
         raise ValueError(f"Invalid confound correction method: {method}. Valid methods are: {', '.join(METHODS)}")
     rows = run_sizes(samples, run)
+    # only the question "at most 10 classes?" matters here, so continuous targets are ruled out by a sketch
     counts = class_counts(samples, run, rows.where(F.col("_about") <= DOMAIN_SKETCH))
     classes = counts.groupBy(*run).agg(
         F.count(F.lit(1)).alias("n_classes"), F.min("cnt").alias("minority_count"),

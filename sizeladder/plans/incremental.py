@@ -1,4 +1,4 @@
-"""Reuse of stored scores: only missing (run, n, seed, hyperparameters) are computed and appended."""
+"""Reuse of stored scores: only missing (run, n, seed, hyperparameters) are computed."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.grids import grid_points, params_key
+from ..session import store
 
 
 def with_params_key(scores: DataFrame) -> DataFrame:
@@ -35,15 +36,18 @@ def split_points(points: DataFrame, existing: DataFrame, run: list[str]) -> tupl
     return reused, points.join(stored, key, "left_anti").drop("_point")
 
 
-def pending_points(long: DataFrame, grid: dict, existing: DataFrame, run: list[str]):
-    """Reused scores, points to compute and the cells they belong to (None, None when nothing is left)."""
-    cells = long.select(*run, "n", F.col("seed").alias("s")).distinct()
-    reused, todo = split_points(plan_points(cells, grid), existing, run)
-    if todo.isEmpty():
-        return reused, None, None
-    return reused, todo, todo.select(*run, "n", F.col("s").alias("seed")).distinct()
+def cells_of(long: DataFrame, run: list[str]) -> DataFrame:
+    return long.select(*run, "n", F.col("seed").alias("s")).distinct()
 
 
-def append_scores(scores: DataFrame, path: str, partitions: list[str]) -> None:
-    """Add new score rows to the partitioned results table."""
-    scores.write.mode("append").partitionBy(*partitions).parquet(path)
+def missing_points(todo: DataFrame, run: list[str]) -> list[tuple[list[int], DataFrame]]:
+    """(grid positions, cells (run..., n, seed)) for every set of points that some cells lack.
+
+    Cells with the same gaps are fitted together. There are as many sets as ways in which earlier runs stopped, and
+    never more than cells in the configuration.
+    """
+    gaps = todo.groupBy(*run, "n", "s").agg(F.array_sort(F.collect_list("grid_index")).alias("_missing"))
+    gaps = store(gaps, "gaps")
+    return [(list(r["_missing"]), gaps.where(F.col("_missing") == F.array(*[F.lit(i) for i in r["_missing"]]))
+             .select(*run, "n", F.col("s").alias("seed")))
+            for r in gaps.select("_missing").distinct().collect()]

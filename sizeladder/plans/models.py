@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.grids import grid_points
 from ..operators.baselines import majority_class, mean_target
 from ..operators.linear import fit_linear, score_linear
 from ..operators.metrics import classification_metrics, regression_metrics
@@ -35,16 +36,9 @@ def _mean(long, cell, grid):
     return _single(regression_metrics(mean_target(long, cell), cell), cell)
 
 
-MOST_CLASSES = 1_000
-
-
 def class_list(long: DataFrame) -> list[float]:
-    """The classes of a classification target; a continuous target is refused before it is listed."""
-    classes = long.where("set = 'train'").select("y").distinct()
-    found = classes.limit(MOST_CLASSES + 1).collect()
-    if len(found) > MOST_CLASSES:
-        raise ValueError("The target has too many distinct values for a classifier.")
-    return sorted(r["y"] for r in found)
+    """The classes of a classification target in the training rows, whose number the sample sizes bound."""
+    return sorted(r["y"] for r in long.where("set = 'train'").select("y").distinct().collect())
 
 
 def _linear(kind: str, classifier: bool):
@@ -53,7 +47,8 @@ def _linear(kind: str, classifier: bool):
         train = long.where("set = 'train'")
         supports = None
         if kind == "rfe-ridge":
-            supports = eliminate(train, cell, grid["rfe__n_features_to_select"], classes)
+            wanted = sorted({p["rfe__n_features_to_select"] for p in grid_points(grid)})
+            supports = eliminate(train, cell, wanted, classes)
         weights = fit_linear(train, cell, kind, grid, classifier, classes=classes, supports=supports)
         return score_linear(long, weights, cell, classifier)
     return sweep

@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 from ..operators.confounds import regress_out, source_variant
 from ..operators.curves import statistics
-from ..operators.prepare import align, require_covariates
+from ..operators.prepare import align, require_aligned, require_covariates, require_valid
 from ..operators.select import select_best
 from ..operators.splits import Size, make_splits
 from ..schema import RUN_KEY, SAMPLE
-from ..session import store
+from ..session import scratch_scope, store
 from ..sources.catalog import Catalog
-from .experiments import canonical_runs, expand_experiments
+from .experiments import canonical_runs, expand_experiments, validate_experiments
 from .grids import GRIDS
 from .models import MODELS
-from .sweep import gather, split_rows, sweep
+from .sweep import BROADCAST_IDS, gather, split_rows, sweep
 
 # the requested balancing is part of the key as `balance`; `balanced` in the status table is what was applied
 CURVE_KEY = ["balance" if k == "balanced" else k for k in RUN_KEY]
@@ -32,35 +32,59 @@ SPLIT_KEY = [k for k in CURVE_KEY if k not in ("model", "grid")]
 
 
 class Workspace:
-    """Stored roles and samples of one catalog."""
+    """Roles and samples of one catalog.
+
+    Prepared roles are read where they are; only derived ones (corrected or transformed) are stored. Samples hold the
+    target, covariates and validity; features join them after the splits are drawn, for the drawn rows alone.
+    """
 
     def __init__(self, spark: SparkSession, catalog: Catalog):
-        self.spark, self.catalog, self._roles = spark, catalog, {}
+        self.spark, self.catalog, self._roles, self._aligned = spark, catalog, {}, set()
 
     def role(self, dataset: str, role: str, name: str, quantile: bool, cni: str = "none") -> DataFrame:
         key = (dataset, role, name, quantile, cni)
         if key not in self._roles:
             if cni == "none":
                 df = self.catalog.load(self.spark, dataset, role, name, quantile)
+                self._roles[key] = store(df, "role") if quantile else df
             else:
-                df = regress_out(self.role(dataset, role, name, quantile),
-                                 self.role(dataset, "covariates", cni, quantile), check=True)
-            self._roles[key] = store(df, "role")
+                self._roles[key] = store(regress_out(self.role(dataset, role, name, quantile),
+                                                     self.role(dataset, "covariates", cni, quantile)), "role")
         return self._roles[key]
 
-    def samples(self, run: dict) -> DataFrame:
-        """(split key..., sample_id, x, y, [c], valid) of one run."""
+    def check_aligned(self, run: dict) -> None:
+        """All roles of a run must cover the same samples; ids are compared once per pair of roles."""
+        names = [("features", run["features"]), ("targets", run["target"])]
+        names += [("covariates", run["cni"])] if run["method"] != "none" else []
+        for other in names[1:]:
+            pair = (run["dataset"], names[0], other)
+            if pair not in self._aligned:
+                require_aligned(*[self.role(run["dataset"], r, n, False) for r, n in (names[0], other)])
+                self._aligned.add(pair)
+
+    def samples(self, run: dict) -> tuple[DataFrame, DataFrame]:
+        """(split key..., sample_id, y, [c], valid) of one run, stored, and its features (sample_id, x)."""
         dataset, quantile, method, cni = run["dataset"], run["quantile"], run["method"], run["cni"]
-        roles = [self.role(dataset, "features", run["features"], quantile, source_variant(method, "features", cni)),
-                 self.role(dataset, "targets", run["target"], quantile, source_variant(method, "targets", cni))]
+        features = self.role(dataset, "features", run["features"], quantile, source_variant(method, "features", cni))
+        roles = [features, self.role(dataset, "targets", run["target"], quantile, source_variant(method, "targets", cni))]
         names = ["x", "y"]
         if method != "none":
             covariates = self.role(dataset, "covariates", cni, quantile)
             require_covariates(covariates, method)
             roles.append(covariates)
             names.append("c")
+        self.check_aligned(run)
         rows = align(*roles, names=tuple(names)).withColumn("y", F.col("y")[0])
-        return store(rows.select(*[F.lit(run[k]).alias(k) for k in SPLIT_KEY], SAMPLE, *names, "valid"), "samples")
+        narrow = rows.select(*[F.lit(run[k]).alias(k) for k in SPLIT_KEY], SAMPLE, *names[1:], "valid")
+        return store(narrow, "samples"), features.select(SAMPLE, F.col("data").alias("x"))
+
+
+def gather_drawn(samples: DataFrame, features: DataFrame, splits: DataFrame, mode: str, rows: int) -> DataFrame:
+    """Model input of the drawn samples, checked for missing and infinite values."""
+    ids = splits.select(SAMPLE).distinct()
+    ids = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+    drawn = features.join(ids, SAMPLE, "left_semi")
+    return require_valid(gather(samples.join(drawn, SAMPLE), splits, SPLIT_KEY, mode, rows), ["x", "y"])
 
 
 def stored_scores(spark: SparkSession, path: str, run: dict) -> DataFrame | None:
@@ -73,36 +97,58 @@ def stored_scores(spark: SparkSession, path: str, run: dict) -> DataFrame | None
         raise
     for k in [*SPLIT_KEY, "model"]:
         df = df.where(F.col(k) == F.lit(run[k]))
-    return df.drop("model", "grid")
+    return df.drop("model")
+
+
+def check_configuration(spark: SparkSession, catalog: Catalog, experiments: DataFrame, grids: dict, grid: str) -> None:
+    """All violations of the experiments and all missing files in one error, before anything is computed."""
+    table = spark.createDataFrame(catalog.entries(), "dataset STRING, role STRING, name STRING")
+    models = spark.createDataFrame([(m.name, m.regression) for m in MODELS.values()], "model STRING, regression BOOLEAN")
+    known = spark.createDataFrame([(g, m) for g, by_model in grids.items() for m in by_model], "grid STRING, model STRING")
+    found = validate_experiments(experiments, table, models, known, grid).orderBy("experiment", "message").collect()
+    problems = [f"{r['experiment']}: {r['message']}" for r in found] + catalog.missing_files(spark)
+    if problems:
+        raise ValueError("Invalid configuration:\n" + "\n".join(problems))
 
 
 def run_experiments(spark: SparkSession, catalog: Catalog, experiments: DataFrame, sizes: list[Size],
                     seeds: list[int], path: str, stratify: bool = False, balanced: bool = False,
                     quantile: bool = False, grid: str = "default", repeats: int = 100,
                     grids: dict | None = None) -> None:
-    """Score every run and store `splits`, `status`, `scores`, `best`, and the tables of each curve below `path`."""
+    """Score every run and store `splits`, `status`, `scores`, `best`, and the tables of each curve below `path`.
+
+    Sizes and seeds of earlier calls stay, and curves are drawn from all of them. Intermediate tables are removed.
+    """
     grids = grids or GRIDS
-    space = Workspace(spark, catalog)
+    check_configuration(spark, catalog, experiments, grids, grid)
     wanted = canonical_runs(expand_experiments(experiments, balanced, quantile, grid))
     runs = [r.asDict() for r in wanted.withColumnRenamed("balanced", "balance").collect()]
     split_key = lambda r: tuple(str(r[k]) for k in SPLIT_KEY)
-    for _, group in groupby(sorted(runs, key=split_key), split_key):
-        group = list(group)
-        first = group[0]
-        samples = space.samples(first)
-        splits, status = make_splits(samples, sizes, seeds, SPLIT_KEY, first["method"], stratify, first["balance"])
-        mode = first["method"] if first["method"] in ("with-cni", "only-cni") else "normal"
-        long = store(gather(samples, splits, SPLIT_KEY, mode, split_rows(sizes, seeds)), "gathered")
-        _save(long.select(*SPLIT_KEY, "n", "seed", SAMPLE, "set"), path, "splits", SPLIT_KEY)
-        _save(status, path, "status", SPLIT_KEY)
-        for run in group:
-            _one(spark, long, run, grids[run["grid"]][run["model"]], path, repeats)
+    with scratch_scope(spark):
+        space = Workspace(spark, catalog)
+        for _, group in groupby(sorted(runs, key=split_key), split_key):
+            group = list(group)
+            first = group[0]
+            samples, features = space.samples(first)
+            splits, status = make_splits(samples, sizes, seeds, SPLIT_KEY, first["method"], stratify, first["balance"])
+            mode = first["method"] if first["method"] in ("with-cni", "only-cni") else "normal"
+            long = store(gather_drawn(samples, features, splits, mode, split_rows(sizes, seeds)), "gathered")
+            _add(spark, long.select(*SPLIT_KEY, "n", "seed", SAMPLE, "set"), path, "splits", first)
+            _add(spark, status, path, "status", first)
+            for run in group:
+                _one(spark, long, run, grids[run["grid"]][run["model"]], path, repeats)
 
 
 def _one(spark, long, run, grid, path, repeats):
     existing = stored_scores(spark, path, run)
-    scores = store(sweep(long, run["model"], grid, SPLIT_KEY, existing), "scores")
-    scores = scores.withColumn("model", F.lit(run["model"])).withColumn("grid", F.lit(run["grid"]))
+    scores = sweep(long, run["model"], grid, SPLIT_KEY, None if existing is None else existing.drop("grid", "samplesize"))
+    reported = F.floor(F.col("n") / 2) * 2 if run["method"] == "matching" else F.col("n")
+    scores = scores.withColumn("samplesize", reported.cast("int"))
+    if existing is not None:
+        cells = long.select("n", F.col("seed").alias("s")).distinct()
+        earlier = existing.where(F.col("grid") == F.lit(run["grid"])).drop("grid").join(F.broadcast(cells), ["n", "s"], "left_anti")
+        scores = scores.unionByName(earlier, allowMissingColumns=True)
+    scores = store(scores, "scores").withColumn("model", F.lit(run["model"])).withColumn("grid", F.lit(run["grid"]))
     regression = MODELS[run["model"]].regression
     best = store(select_best(scores, CURVE_KEY), "best")
     tables = statistics(best, CURVE_KEY, "r2_test" if regression else "acc_test", repeats)
@@ -110,6 +156,21 @@ def _one(spark, long, run, grid, path, repeats):
         _save(df, path, name, CURVE_KEY)
 
 
+def _add(spark: SparkSession, df: DataFrame, path: str, name: str, run: dict) -> None:
+    """Replace the cells of `df` in a stored table and keep all others of the run."""
+    try:
+        old = spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
+        for k in SPLIT_KEY:
+            old = old.where(F.col(k) == F.lit(run[k]))
+        cells = df.select("n", "seed").distinct()
+        earlier = old.join(F.broadcast(cells), ["n", "seed"], "left_anti").select(*[c for c in df.columns if c in old.columns])
+        df = store(df.unionByName(earlier, allowMissingColumns=True), name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    _save(df, path, name, SPLIT_KEY)
+
+
 def _save(df: DataFrame, path: str, name: str, key: list[str]) -> None:
     """Replace the part of a stored table that belongs to one run; other parts stay."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.curves import statistics
+from ..operators.gram import width_of
+from ..operators.grids import feasible_grid, grid_points
 from ..operators.prepare import feature_mode
 from ..operators.select import select_best
 from ..operators.splits import Size, make_splits
 from ..schema import SAMPLE
 from ..session import store
-from ..streaming.incremental import pending_points
+from .incremental import cells_of, missing_points, plan_points, split_points
 from .models import MODELS
 
 
@@ -44,14 +46,17 @@ def sweep(long: DataFrame, model: str, grid: dict, run: list[str], existing: Dat
     if model not in MODELS:
         raise ValueError(f"Invalid model type: {model}")
     cell = [*run, "n", "seed"]
+    grid = feasible_grid(grid, width_of(long))
     if existing is None:
         return MODELS[model].sweep(long, cell, grid).withColumnRenamed("seed", "s")
-    reused, todo, cells = pending_points(long, grid, existing, run)
-    if todo is None:
-        return reused
-    fresh = MODELS[model].sweep(long.join(F.broadcast(cells), cell, "left_semi"), cell, grid)
-    fresh = fresh.withColumnRenamed("seed", "s").join(F.broadcast(todo), [*run, "n", "s", "grid_index"], "left_semi")
-    return reused.unionByName(fresh, allowMissingColumns=True)
+    reused, todo = split_points(plan_points(cells_of(long, run), grid), existing, run)
+    out = reused
+    for missing, cells in missing_points(todo, run):
+        fresh = MODELS[model].sweep(long.join(F.broadcast(cells), cell, "left_semi"), cell,
+                                    [grid_points(grid)[i] for i in missing])
+        place = F.get(F.array(*[F.lit(i) for i in missing]), F.col("grid_index"))
+        out = out.unionByName(fresh.withColumn("grid_index", place).withColumnRenamed("seed", "s"), allowMissingColumns=True)
+    return out
 
 
 def learning_curve(samples: DataFrame, sizes: list[Size], seeds: list[int], run: list[str], model: str, grid: dict,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import curves, tables
-from ..operators.gram import chunk_of, gram
+from ..operators.gram import chunk_of, gram, raw_products
 from ..operators.metrics import classification_metrics, regression_metrics
 from ..operators.prepare import to_matrix
 from ..operators.quantile import distinct_values
@@ -18,15 +18,17 @@ from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_LONG, VECTOR_LONG,
 
 
 def _conversation_targets(spark, sf):
-    """Turn roles and document languages as class targets of two runs."""
+    """Turn roles, document languages and users (hundreds of classes) as class targets of three runs."""
     d = table(spark, sf, "documents").select(F.lit("lang").alias("dataset"), F.ascii("lang").cast("double").alias("y"))
     c = table(spark, sf, "conversations").select(F.lit("role").alias("dataset"), F.length("role").cast("double").alias("y"))
-    return d.unionByName(c)
+    u = table(spark, sf, "events").select(F.lit("user").alias("dataset"), F.col("user_id").cast("double").alias("y"))
+    return d.unionByName(c).unionByName(u)
 
 
 TARGETS = """
 t AS (SELECT 'lang' AS dataset, CAST(ascii(lang) AS DOUBLE) AS y FROM documents
-      UNION ALL SELECT 'role', CAST(length(role) AS DOUBLE) FROM conversations)"""
+      UNION ALL SELECT 'role', CAST(length(role) AS DOUBLE) FROM conversations
+      UNION ALL SELECT 'user', CAST(user_id AS DOUBLE) FROM events)"""
 
 
 @query("a01_class_count", "WITH " + TARGETS + "SELECT dataset, count(DISTINCT y) AS n_classes FROM t GROUP BY dataset")
@@ -185,9 +187,12 @@ def power_law_sql(source: str, key: str, out: str) -> str:
     GROUP BY {ck}, c.b, c.half, c.lo0, c.hi0, c.i))
   QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY syy - slope * svy, b) = 1)"""
 
-    coarse = (f"SELECT DISTINCT {key}, 10.0 * (i / 40.0) * (i / 40.0) AS b, 0.0 AS half, "
-              "10.0 * (greatest(i - 1, 0) / 40.0) * (greatest(i - 1, 0) / 40.0) AS lo0, "
-              f"least(10.0 * ((i + 1) / 40.0) * ((i + 1) / 40.0), 10.0) AS hi0, i FROM {out}_p, range(41) r(i)")
+    def at(i):
+        return (f"CASE WHEN {i} <= 40 THEN 10.0::DOUBLE * ({i} / 40.0::DOUBLE) * ({i} / 40.0::DOUBLE) "
+                f"ELSE 10.0::DOUBLE * power(top / 10.0::DOUBLE, ({i} - 40) / 20.0::DOUBLE) END")
+
+    coarse = (f"SELECT {key}, {at('i')} AS b, 0.0::DOUBLE AS half, {at('greatest(i - 1, 0)')} AS lo0, {at('least(i + 1, 60)')} AS hi0, i "
+              f"FROM (SELECT {key}, greatest(10.0::DOUBLE, 37.0::DOUBLE / min(l) FILTER (l > 0)) AS top FROM {out}_p GROUP BY {key}), range(61) r(i)")
     steps = [f"""{out}_p AS MATERIALIZED (SELECT {key}, n, y, ln(n / min(n) OVER w) AS l, y - avg(y) OVER w AS yc,
        min(n) OVER w AS first, avg(y) OVER w AS ybar FROM {source} WINDOW w AS (PARTITION BY {key}))""",
              level(f"{out}_0", coarse)]
@@ -216,7 +221,7 @@ def quality(spark, sf):
                     *[rounded(F.col(c), 4).alias(c) for c in ("chi2", "mu", "sigma")])
 
 
-REPEATS = 20
+REPEATS = 100
 
 RESAMPLED = CURVE_POINTS + f""",
 seeds_of AS (SELECT model, features, n, r2_test, row_number() OVER (PARTITION BY model, features, n ORDER BY s) - 1 AS idx,
@@ -274,7 +279,7 @@ SELECT n, seed, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(
 FROM v, range(1, 5) a(i), range(1, 5) b(j) GROUP BY n, seed, i, j""")
 def cross_moments(spark, sf):
     train = order_long(spark, sf).where("set = 'train'").withColumn("y", F.col("y") / 1000)
-    g = gram(train, ["n", "seed"], ["x", "y"], chunk_of(F.col("n"))[0])
+    g = raw_products(gram(train, ["n", "seed"], ["x", "y"], *chunk_of(F.col("n"))), ["n", "seed"])
     return g.select("n", "seed", "i", F.posexplode("row").alias("j", "g")).select("n", "seed", "i", "j", rounded(F.col("g"), 3).alias("g"))
 
 

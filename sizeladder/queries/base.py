@@ -71,12 +71,9 @@ def order_samples(spark: SparkSession, sf: str, features: tuple[str, ...] = ("qt
 
 # --- multi-class: embeddings ----------------------------------------------------------------------
 
-def embedding_samples(spark: SparkSession, sf: str, width: int | None = None) -> DataFrame:
-    x = F.col("embedding").cast("array<double>")
-    if width:
-        x = F.slice(x, 1, width)
+def embedding_samples(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
-        F.lit("vectors").alias("dataset"), F.col("vec_id").alias("sample_id"), x.alias("x"),
+        F.lit("vectors").alias("dataset"), F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("x"),
         F.col("label").cast("double").alias("y"), F.lit(True).alias("valid"))
 
 
@@ -196,9 +193,9 @@ def vector_splits(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return make_splits(embedding_samples(spark, sf), VECTOR_SIZES, VECTOR_SEEDS, RUN)
 
 
-def vector_long(spark: SparkSession, sf: str, width: int | None = None) -> DataFrame:
+def vector_long(spark: SparkSession, sf: str) -> DataFrame:
     from ..plans.sweep import gather
-    return stored(gather(embedding_samples(spark, sf, width), vector_splits(spark, sf)[0], RUN))
+    return stored(gather(embedding_samples(spark, sf), vector_splits(spark, sf)[0], RUN))
 
 
 VECTOR_LONG = VECTOR_SIZES_SQL + ",\n" + VECTOR_SEEDS_SQL + """,

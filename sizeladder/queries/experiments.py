@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.splits import make_sizes
 from ..plans import experiments as plan
-from .base import query, table
+from ..session import scratch_path, store
+from .base import ORDER_LONG, SEEDS_SQL, SIZES_SQL, order_rows, query, table
 
 # One experiment per document source; choices follow from the length of its documents.
 EXPERIMENTS = """
@@ -131,3 +133,34 @@ SELECT dataset, model, features, target, method, cni, balanced, quantile, grid,
        CASE WHEN method IN ('correct-y', 'correct-both') THEN cni ELSE 'none' END AS targets_variant FROM canonical""")
 def routing(spark, sf):
     return plan.route_sources(plan.canonical_runs(plan.expand_experiments(experiments(spark, sf))))
+
+
+EXPERIMENT_SIZES, EXPERIMENT_SEEDS = make_sizes([32, 64]), [0, 1]
+EXPERIMENT_LONG = ORDER_LONG.replace(SIZES_SQL, "sizes(n, n_val, n_test) AS (VALUES " + ", ".join(f"({z.n}, {z.n_val}, {z.n_test})" for z in EXPERIMENT_SIZES) + ")") \
+    .replace(SEEDS_SQL, "seeds(seed) AS (VALUES " + ", ".join(f"({k})" for k in EXPERIMENT_SEEDS) + ")")
+
+
+@query("e02_run_experiments", "WITH " + EXPERIMENT_LONG + """,
+sets AS (SELECT n, seed AS s, count(*) AS drawn, CAST(sum(sample_id) AS BIGINT) AS id_sum FROM long GROUP BY n, seed)
+SELECT method, model, n, s, CAST(points AS BIGINT) AS points, n AS samplesize, drawn, id_sum
+FROM sets, (VALUES ('none', 'ridge-reg', 2), ('correct-x', 'ridge-reg', 2)) r(method, model, points)""")
+def experiment_run(spark, sf):
+    """From a catalog and experiments to stored scores; a first call leaves one alpha, the second adds the missing one."""
+    from ..plans.pipeline import run_experiments
+    from ..sources.catalog import Catalog
+    rows, path = store(order_rows(spark, sf)), scratch_path(spark, "experiments")
+    catalog = Catalog()
+    for role, name, column in (("features", "lines", "lines"), ("targets", "charge", "y"), ("covariates", "price", "c_price")):
+        catalog.add("orders", role, name, lambda s, c=column: rows.select("sample_id", c))
+    e = spark.createDataFrame(
+        [("one", "orders", ["lines"], ["charge"], ["none", "correct-x"], ["price"], ["ridge-reg"], None, None, None)],
+        "experiment STRING, dataset STRING, features ARRAY<STRING>, targets ARRAY<STRING>, method ARRAY<STRING>, cni ARRAY<STRING>, "
+        "models ARRAY<STRING>, balanced BOOLEAN, quantile BOOLEAN, grid STRING")
+    for alphas in ([0.1], [0.1, 1.0]):
+        run_experiments(spark, catalog, e, EXPERIMENT_SIZES, EXPERIMENT_SEEDS, path, repeats=5,
+                        grids={"default": {"ridge-reg": {"alpha": alphas}}})
+    scores = spark.read.option("mergeSchema", True).parquet(path + "/scores").groupBy("method", "model", "n", "s", "samplesize").agg(
+        F.count(F.lit(1)).alias("points"))
+    sets = (spark.read.parquet(path + "/splits").groupBy("method", "n", F.col("seed").alias("s"))
+            .agg(F.count(F.lit(1)).alias("drawn"), F.sum("sample_id").alias("id_sum")))
+    return scores.join(sets, ["method", "n", "s"]).select("method", "model", "n", "s", "points", "samplesize", "drawn", "id_sum")

@@ -8,7 +8,7 @@ from ..operators import tables
 from ..operators.curves import bootstrap_fits, bootstrap_points
 from ..operators.prepare import align, unmatched_samples, with_mask
 from ..operators.splits import drawn_samples, task_kind, undersample
-from ..streaming.incremental import plan_points, split_points
+from ..plans.incremental import plan_points, split_points
 from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, RUN, best_rows, order_long, order_rows,
                    points, query, rounded, stored, table)
 from .projections import RUNS_SQL, document_runs
@@ -123,10 +123,10 @@ def baseline(spark, sf):
 @query("j10_curve_bootstrap", "WITH " + CURVE_POINTS + """,
 short AS (SELECT model, features, count(*) FILTER (coalesce(y_mean - y_sem > 0, FALSE)) >= 5 AND features <> 'P' AS has FROM curve_points GROUP BY model, features)
 SELECT model, features, n, CAST(rep AS INTEGER) AS rep, rep IS NOT NULL AS fitted FROM curve_points JOIN short USING (model, features)
-  LEFT JOIN range(1, 6) r(rep) ON has""")
+  LEFT JOIN range(1, 101) r(rep) ON has""")
 def curve_bootstrap(spark, sf):
     """Curves keep their rows when they have no bootstrap fits."""
-    sample = bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", 5).where("features <> 'P'")
+    sample = bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", 100).where("features <> 'P'")
     fits = bootstrap_fits(sample, CURVE_RUN)
     out = tables.attach_bootstrap(points(spark, sf).select(*CURVE_RUN, "n"), fits, CURVE_RUN)
     return out.select(*CURVE_RUN, "n", "rep", F.col("c").isNotNull().alias("fitted"))

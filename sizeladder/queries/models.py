@@ -15,8 +15,8 @@ from ..operators.metrics import regression_metrics
 from ..plans.models import MODELS, register
 from ..plans.sweep import gather, learning_curve, sweep
 from .aggregates import BOOTSTRAP, FITTED, REPEATS, RESAMPLED, power_law_sql
-from .base import (CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, VECTOR_LONG, best_rows,
-                   embedding_samples, order_long, order_rows, order_samples, points, query, rounded, stored, vector_long)
+from .base import (ORACLES, CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, SEEDS_SQL, SIZES_SQL, VECTOR_LONG,
+                   best_rows, order_long, order_rows, order_samples, points, query, rounded, stored, vector_long)
 
 CELL = ["dataset", "n", "seed"]
 SETS = ("train", "val", "test")
@@ -73,6 +73,26 @@ def ridge(spark, sf):
                     *[rounded(F.col(f"r2_{k}")).alias(f"r2_{k}") for k in SETS], rounded(F.col("mae_test"), 2).alias("mae_test"))
 
 
+OFFSET = 1.7e9  # as large as a timestamp, next to a spread of a few units
+
+
+def _offset_long(spark, sf):
+    return order_long(spark, sf, ("lines",)).withColumn("x", F.transform("x", lambda v: v + OFFSET))
+
+
+@query("m03_ols_offset", ORACLES["m03_ols"])
+def ols_offset(spark, sf):
+    """A shift of the feature changes nothing."""
+    return _pick(MODELS["ols-reg"].sweep(_offset_long(spark, sf), CELL, {}), "r2")
+
+
+@query("m04_ridge_offset", ORACLES["m04_ridge"])
+def ridge_offset(spark, sf):
+    s = MODELS["ridge-reg"].sweep(_offset_long(spark, sf), CELL, ONE_GRID)
+    return s.select("n", "seed", "grid_index", F.col("params")["alpha"].alias("alpha"),
+                    *[rounded(F.col(f"r2_{k}")).alias(f"r2_{k}") for k in SETS], rounded(F.col("mae_test"), 2).alias("mae_test"))
+
+
 def many_lines(spark, sf, features):
     samples = stored(_labelled(spark, sf, features))
     splits, _ = make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)
@@ -101,59 +121,103 @@ def ridge_classifier(spark, sf):
     return s.select("n", "seed", "grid_index", *[rounded(F.col(f"acc_{k}")).alias(f"acc_{k}") for k in SETS])
 
 
-@query("m05_ridge_classifier_ten_classes")
-def ridge_ten(spark, sf):
-    return MODELS["ridge-cls"].sweep(vector_long(spark, sf), CELL, GRIDS["default"]["ridge-cls"])
+# --- models without a closed form in SQL -----------------------------------------------------------------
+#
+# The SQL derives the cells, the grid positions, the size of every set and the score of the constant model on the
+# training rows; the model has to reach the latter everywhere.
+
+MODEL_SIZES, MODEL_SEEDS = make_sizes([128, 512]), [0, 1]
+
+
+def values_sql(name, rows):
+    return f"{name} AS (VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows) + ")"
+
 
+MODEL_LONG = ORDER_LONG.replace(SIZES_SQL, values_sql("sizes(n, n_val, n_test)", [(z.n, z.n_val, z.n_test) for z in MODEL_SIZES])) \
+    .replace(SEEDS_SQL, values_sql("seeds(seed)", [(k,) for k in MODEL_SEEDS]))
+TARGETS = {"ten": "y", "odd": "CAST(CAST(y AS BIGINT) % 2 AS DOUBLE)", "two": "CAST(lines > 4 AS DOUBLE)", "reg": "y", "robust": "y"}
 
-def small_long(spark, sf, target):
-    """One size and seed for the models that take one distributed fit per grid point."""
+
+def model_sql(target: str, points: int) -> str:
+    long = VECTOR_LONG if target in ("ten", "odd") else MODEL_LONG
+    base = ("0.0" if target == "reg" else
+            "round(avg(abs(y - mean)) FILTER (\"set\" = 'train'), 2)" if target == "robust" else
+            "(SELECT max(c) FROM (SELECT count(*) AS c FROM t u WHERE u.n = t.n AND u.seed = t.seed AND u.\"set\" = 'train' GROUP BY u.y)) "
+            "/ CAST(count(*) FILTER (\"set\" = 'train') AS DOUBLE)")
+    return "WITH " + long + f""",
+t AS (SELECT n, seed, "set", {TARGETS[target]} AS y, avg({TARGETS[target]}) FILTER ("set" = 'train') OVER (PARTITION BY n, seed) AS mean FROM long)
+SELECT n, seed, CAST(i AS INTEGER) AS grid_index, count(*) FILTER ("set" = 'train') AS n_train, count(*) FILTER ("set" = 'val') AS n_val,
+       count(*) FILTER ("set" = 'test') AS n_test, round(CAST({base} AS DOUBLE), 6) AS baseline, TRUE AS reached
+FROM t, range({points}) p(i) GROUP BY n, seed, i"""
+
+
+def model_long(spark, sf, target):
+    """Vectors with all their dimensions, or orders."""
     if target in ("ten", "odd"):
-        samples = embedding_samples(spark, sf, 16)
-        samples = stored(samples.withColumn("y", F.col("y") % 2) if target == "odd" else samples)
-        sizes = make_sizes([256])
-    else:
-        samples = _labelled(spark, sf, ("qty", "c_size", "c_price")) if target == "two" else \
-            order_samples(spark, sf, ("qty", "lines", "c_price"))
-        samples, sizes = stored(samples), make_sizes([512])
-    splits, _ = make_splits(samples, sizes, [0], RUN)
+        long = vector_long(spark, sf)
+        return long.withColumn("y", F.col("y") % 2) if target == "odd" else long
+    samples = stored(_labelled(spark, sf, ("qty", "c_size", "c_price")) if target == "two" else
+                     order_samples(spark, sf, ("qty", "lines", "c_price")))
+    splits, _ = make_splits(samples, MODEL_SIZES, MODEL_SEEDS, RUN)
     return stored(gather(samples, splits, RUN))
 
 
-BOOST = {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3], "subsample": [1.0]}
-SMALL_GRIDS = [
-    ("m06_logistic_regression", "logistic-regression-cls", "ten", {}),
-    ("m07_random_forest_classifier", "random-forest-cls", "ten", {"n_estimators": [20], "max_depth": [3], "max_features": [0.5, 1]}),
-    ("m08_random_forest_regressor", "random-forest-reg", "reg", {"n_estimators": [20], "max_depth": [3]}),
-    ("m09_boosting_classifier", "xgb-cls", "two", BOOST),
-    ("m10_boosting_regressor", "xgb-reg", "reg", BOOST),
-    ("m11_pca_ridge_classifier", "pca-ridge-cls", "ten", GRIDS["default"]["pca-ridge-cls"]),
-    ("m12_pca_ridge_regressor", "pca-ridge-reg", "reg", {"pca__n_components": [1, 2, 10], "ridge__alpha": [0.1, 1]}),
-    ("m13_rfe_ridge_classifier", "rfe-ridge-cls", "two", {"rfe__n_features_to_select": [1, 2], "ridge__alpha": [0.1, 1]}),
-    ("m14_rfe_ridge_regressor", "rfe-ridge-reg", "reg", {"rfe__n_features_to_select": [1, 2, 10], "ridge__alpha": [0.1, 1]}),
-    ("m15_rbf_svm_classifier", "rbf-kernel-svm-cls", "two", {"C": [1], "gamma": [0.1]}),
-    ("m16_rbf_svm_regressor", "rbf-kernel-svm-reg", "reg", {"C": [1], "gamma": [0.1]}),
-    ("m17_poly_svm_classifier", "poly-kernel-svm-cls", "two", {"C": [1], "degree": [2]}),
-    ("m18_poly_svm_regressor", "poly-kernel-svm-reg", "reg", {"C": [1], "degree": [2]}),
+def against_baseline(long, scores, target):
+    """Scores next to the sizes of the sets and the constant model's training score.
+
+    A robust loss is held against the mean absolute error of the mean, the others against its R2, which is 0.
+    """
+    classifier = target in ("ten", "odd", "two")
+    sizes = long.groupBy("n", "seed").agg(*[F.count_if(F.col("set") == k).alias(f"n_{k}") for k in ("train", "val", "test")])
+    if classifier:
+        most = (long.where("set = 'train'").groupBy("n", "seed", "y").count().groupBy("n", "seed").agg(F.max("count").alias("_most")))
+        sizes = sizes.join(most, ["n", "seed"]).withColumn("_base", F.col("_most") / F.col("n_train"))
+    elif target == "robust":
+        train = long.where("set = 'train'")
+        mean = train.groupBy("n", "seed").agg(F.avg("y").alias("_mean"))  # one row per cell
+        off = train.join(F.broadcast(mean), ["n", "seed"]).groupBy("n", "seed").agg(F.avg(F.abs(F.col("y") - F.col("_mean"))).alias("_off"))
+        sizes = sizes.join(off, ["n", "seed"]).withColumn("_base", rounded(F.col("_off"), 2))
+    else:
+        sizes = sizes.withColumn("_base", F.lit(0.0))
+    got = F.col("acc_train") if classifier else -F.col("mae_train") if target == "robust" else F.col("r2_train")
+    least = -F.col("_base") - 0.01 if target == "robust" else F.col("_base") - 1e-6
+    return scores.withColumn("seed", F.col("s")).join(sizes, ["n", "seed"]).select(
+        "n", "seed", "grid_index", "n_train", "n_val", "n_test", rounded(F.col("_base")).alias("baseline"), (got >= least).alias("reached"))
+
+
+BOOST = {"n_estimators": [50], "learning_rate": [0.1], "max_depth": [3], "subsample": [1.0]}
+MINIMAL = GRIDS["minimal"]
+# (query, model, target, grid, points of the grid after values beyond the number of features are joined)
+MODEL_QUERIES = [
+    ("m05_ridge_classifier_ten_classes", "ridge-cls", "ten", GRIDS["default"]["ridge-cls"], 11),
+    ("m06_logistic_regression", "logistic-regression-cls", "ten", {}, 1),
+    ("m07_random_forest_classifier", "random-forest-cls", "ten", MINIMAL["random-forest-cls"], 1),
+    ("m08_random_forest_regressor", "random-forest-reg", "reg", MINIMAL["random-forest-reg"], 1),
+    ("m09_boosting_classifier", "xgb-cls", "two", BOOST, 1),
+    ("m10_boosting_regressor", "xgb-reg", "reg", BOOST, 1),
+    ("m11_pca_ridge_classifier", "pca-ridge-cls", "ten", GRIDS["default"]["pca-ridge-cls"], 44),
+    ("m12_pca_ridge_regressor", "pca-ridge-reg", "reg", {"pca__n_components": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
+    ("m13_rfe_ridge_classifier", "rfe-ridge-cls", "two", {"rfe__n_features_to_select": [1, 2], "ridge__alpha": [0.1, 1]}, 4),
+    ("m14_rfe_ridge_regressor", "rfe-ridge-reg", "reg", {"rfe__n_features_to_select": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
+    ("m15_rbf_svm_classifier", "rbf-kernel-svm-cls", "odd", MINIMAL["rbf-kernel-svm-cls"], 2),
+    ("m16_rbf_svm_regressor", "rbf-kernel-svm-reg", "robust", MINIMAL["rbf-kernel-svm-reg"], 2),
+    ("m17_poly_svm_classifier", "poly-kernel-svm-cls", "two", MINIMAL["poly-kernel-svm-cls"], 2),
+    ("m18_poly_svm_regressor", "poly-kernel-svm-reg", "robust", MINIMAL["poly-kernel-svm-reg"], 2),
+    ("m18_poly_svm_sketch", "poly-kernel-svm-cls", "odd", {"C": [100.0], "degree": [3]}, 1),
 ]
 
 
-def _register(name, model, target, grid):
-    @query(name)
+def _register(name, model, target, grid, points):
+    @query(name, model_sql(target, points))
     def run(spark, sf):
-        return sweep(small_long(spark, sf, target), model, grid, RUN)
+        long = model_long(spark, sf, target)
+        return against_baseline(long, sweep(long, model, grid, RUN), target)
 
 
-for _args in SMALL_GRIDS:
+for _args in MODEL_QUERIES:
     _register(*_args)
 
 
-@query("m18_poly_svm_sketch")
-def poly_sketch(spark, sf):
-    """A degree whose monomials would be too many goes through random projections."""
-    return sweep(small_long(spark, sf, "odd"), "poly-kernel-svm-cls", {"C": [1], "degree": [5]}, RUN)
-
-
 @query("f01_model_registry", "WITH " + ORDER_LONG + """,
 top AS (SELECT n, seed, max(y) AS yhat FROM long WHERE "set" = 'train' GROUP BY n, seed)
 SELECT n, seed, round(avg(abs(y - yhat)) FILTER ("set" = 'test'), 3) AS mae_test FROM long JOIN top USING (n, seed) GROUP BY n, seed""")
@@ -181,10 +245,34 @@ def confounds(spark, sf):
     return regress_out(x, c).select("sample_id", rounded(F.col("data")[0], 5).alias("qty"), rounded(F.col("data")[1], 5).alias("lines"))
 
 
-@query("m20_grid_sweep")
+@query("m19_confound_offset", ORACLES["m19_confound_regression"])
+def confounds_offset(spark, sf):
+    """Covariates of about 1e9 with spreads of a few units."""
+    o = stored(order_rows(spark, sf))
+    x = with_mask(o.select("sample_id", F.array("qty", "lines").alias("data")))
+    c = with_mask(o.select("sample_id", F.array(F.col("c_size") + 2.0 ** 30, F.col("c_price") - 2.0 ** 30).alias("data")))
+    return regress_out(x, c).select("sample_id", rounded(F.col("data")[0], 5).alias("qty"), rounded(F.col("data")[1], 5).alias("lines"))
+
+
+# two standardised features with correlation r: (k R + alpha I) w = k c has a closed form
+@query("m20_grid_sweep", "WITH " + ORDER_LONG + """,
+grid(grid_index, alpha) AS (VALUES """ + ", ".join(f"({i}, {a!r}::DOUBLE)" for i, a in enumerate(map(float, GRIDS["default"]["ridge-reg"]["alpha"]))) + """),
+m AS (SELECT n, seed, count(*) AS k, avg(qty) AS m1, avg(lines) AS m2, avg(y) AS my, stddev_pop(qty) AS s1, stddev_pop(lines) AS s2,
+        covar_pop(qty, lines) / (stddev_pop(qty) * stddev_pop(lines)) AS r, covar_pop(qty, y) / stddev_pop(qty) AS c1,
+        covar_pop(lines, y) / stddev_pop(lines) AS c2 FROM long WHERE "set" = 'train' GROUP BY n, seed),
+w AS (SELECT *, k * ((k + alpha) * c1 - k * r * c2) / ((k + alpha) * (k + alpha) - k * r * k * r) AS w1,
+        k * ((k + alpha) * c2 - k * r * c1) / ((k + alpha) * (k + alpha) - k * r * k * r) AS w2 FROM m, grid),
+pred AS (SELECT n, seed, grid_index, alpha, "set", y, my + w1 * (qty - m1) / s1 + w2 * (lines - m2) / s2 AS yhat FROM long JOIN w USING (n, seed)),
+per AS (SELECT n, seed, grid_index, any_value(alpha) AS alpha, "set", 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2,
+          avg(abs(y - yhat)) AS mae FROM pred GROUP BY n, seed, grid_index, "set")
+SELECT n, seed, grid_index, any_value(alpha) AS alpha, round(max(r2) FILTER ("set" = 'train'), 6) AS r2_train,
+       round(max(r2) FILTER ("set" = 'val'), 6) AS r2_val, round(max(r2) FILTER ("set" = 'test'), 6) AS r2_test,
+       round(max(mae) FILTER ("set" = 'test'), 2) AS mae_test FROM per GROUP BY n, seed, grid_index""")
 def grid_sweep(spark, sf):
     """The whole default ridge grid for every size and seed."""
-    return sweep(order_long(spark, sf), "ridge-reg", GRIDS["default"]["ridge-reg"], RUN)
+    s = sweep(order_long(spark, sf), "ridge-reg", GRIDS["default"]["ridge-reg"], RUN)
+    return s.select("n", F.col("s").alias("seed"), "grid_index", F.col("params")["alpha"].alias("alpha"),
+                    *[rounded(F.col(f"r2_{k}")).alias(f"r2_{k}") for k in SETS], rounded(F.col("mae_test"), 2).alias("mae_test"))
 
 
 SELECTED = RIDGE_ONE + """,

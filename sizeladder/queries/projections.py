@@ -14,6 +14,7 @@ from ..operators.prepare import (align, feature_mode, flatten_target, require_nu
 from ..operators.select import complete_columns, select_best, test_metric, union_scores, validation_metric
 from ..operators.splits import held_out_size, make_sizes, split_status, task_kind
 from ..sources.files import suffix_supported
+from .aggregates import BOOTSTRAP, REPEATS
 from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_ROWS, SCORE_ROWS, best_rows, document_samples,
                    embedding_samples, order_rows, points, query, rounded, score_rows, stored, table)
 
@@ -416,11 +417,15 @@ def bars(spark, sf):
     return t.select("model", "features", "n", rounded(F.col("y_min"), 10).alias("y_min"), rounded(F.col("y_max"), 10).alias("y_max"))
 
 
-@query("x10_extrapolation")
+@query("x10_extrapolation", BOOTSTRAP + """,
+wide AS (SELECT model, features, size AS n, a * power(size, -b) + c AS y FROM bfit, (VALUES (10000.0::DOUBLE), (100000.0::DOUBLE)) s(size))
+SELECT model, features, n, round(avg(y), 4) AS y, round(stddev_pop(y), 4) AS y_std, round(quantile_cont(y, 0.975), 4) AS y_975,
+       round(quantile_cont(y, 0.025), 4) AS y_025 FROM wide GROUP BY model, features, n""")
 def extrapolation(spark, sf):
     """Expected performance at sizes that were not measured, with a 95 % interval."""
-    fits = bootstrap_fits(bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", 50), CURVE_RUN)
-    return extrapolate_to(fits, CURVE_RUN, [10_000, 100_000])
+    fits = bootstrap_fits(bootstrap_points(best_rows(spark, sf), CURVE_RUN, "r2_test", REPEATS), CURVE_RUN)
+    return extrapolate_to(fits, CURVE_RUN, [10_000, 100_000]).select(
+        *CURVE_RUN, "n", *[rounded(F.col(c), 4).alias(c) for c in ("y", "y_std", "y_975", "y_025")])
 
 
 @query("x11_json_decode", """

@@ -93,10 +93,9 @@ def melt(spark, sf):
 @query("r02_explode_curves", "WITH " + CURVE_POINTS + """
 SELECT model, features, n AS x, round(y_mean, 10) AS y_mean, round(y_std, 10) AS y_std FROM curve_points""")
 def explode(spark, sf):
-    from ..operators.curves import fit_power_law
+    from ..operators.curves import statistics
     from ..sources.results import curve_documents
-    p = stored(points(spark, sf))
-    docs = curve_documents(p, fit_power_law(p, CURVE_RUN), CURVE_RUN)
+    docs = curve_documents(statistics(best_rows(spark, sf), CURVE_RUN, "r2_test"), CURVE_RUN, "r2_test")
     return tables.explode_curve(docs, CURVE_RUN).select(*CURVE_RUN, "x", rounded(F.col("y_mean"), 10).alias("y_mean"),
                                                         rounded(F.col("y_std"), 10).alias("y_std"))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.curves import fit_power_law
 from ..operators.prepare import prepare, to_matrix
 from ..operators.tables import curve_table, error_bars, hyperparameter_table
 from ..session import scratch_path
 from ..sources import files, results
 from ..sources.catalog import Catalog
 from ..sources.npy import register as register_npy
+from .aggregates import BOOTSTRAP
 from .base import (BEST_ROWS, CURVE_POINTS, CURVE_RUN, ORDER_SPLITS, SCORE_ROWS, best_rows,
                    order_splits, points, query, rounded, score_rows, table)
 
@@ -50,6 +50,45 @@ def npy_scan(spark, sf):
                      rounded(total).alias("total"))
 
 
+@query("s03_npy_append", """
+SELECT row_number() OVER (ORDER BY part, vec_id) - 1 AS sample_id, CAST(embedding[2] AS DOUBLE) + part AS v
+FROM (SELECT *, 0 AS part FROM embeddings UNION ALL SELECT *, 1 FROM embeddings)""")
+def npy_append(spark, sf):
+    """A second append leaves the first one's shards and comes after them."""
+    register_npy(spark)
+    path = scratch_path(spark, "vectors") + ".npy"
+    for part in (0, 1):
+        (table(spark, sf, "embeddings").repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id")
+         .select(F.col("vec_id").alias("sample_id"), F.array(F.element_at("embedding", 2).cast("double") + part).alias("data"))
+         .write.format("npy").mode("append").save(path))
+    return files.read_matrix(spark, path).select("sample_id", F.col("data")[0].alias("v"))
+
+
+@query("s06_folder_rows", "SELECT o_orderkey, o_totalprice FROM orders")
+def folder_rows(spark, sf):
+    """Two roles written as folders of files of unequal size are numbered alike and meet row by row."""
+    o, path = table(spark, sf, "orders"), scratch_path(spark, "folder")
+    spread = o.repartitionByRange(5, F.sqrt(F.col("o_orderkey").cast("double"))).sortWithinPartitions("o_orderkey")
+    spread.select("o_orderkey").write.parquet(path + "/key.parquet")
+    spread.select("o_totalprice").write.parquet(path + "/price.parquet")
+    from ..session import store
+    key, price = (store(files.number_rows(files.read_matrix(spark, f"{path}/{name}.parquet"))) for name in ("key", "price"))
+    return key.join(price, "sample_id").select("o_orderkey", "o_totalprice")
+
+
+@query("s11_mixed_score_headers", "WITH " + BEST_ROWS + """
+SELECT model, n, s, CASE WHEN model = '1-URGENT' THEN alpha END AS alpha, CASE WHEN model <> '1-URGENT' THEN l1_ratio END AS l1_ratio,
+       round(r2_val, 8) AS r2_val FROM best_rows""")
+def mixed_scores(spark, sf):
+    """Files of different models have other columns in another order; they are read by name."""
+    best, path = best_rows(spark, sf).withColumn("r2_val", rounded(F.col("r2_val"), 8)), scratch_path(spark, "mixed")
+    urgent = F.col("model") == "1-URGENT"
+    best.where(urgent).select("r2_val", "alpha", "s", "n", "model").write.option("header", True).csv(path + "/a")
+    best.where(~urgent).select("n", "model", "l1_ratio", "s", "r2_val").write.option("header", True).csv(path + "/b")
+    back = results.read_scores_csv(spark, [path + "/a", path + "/b"], "model STRING, n INT, s INT, alpha DOUBLE, l1_ratio DOUBLE, r2_val DOUBLE")
+    return back.where("unreadable IS NULL").drop("unreadable")
+
+
 @query("s04_parquet_scan", """
 SELECT p_partkey AS sample_id, CAST(p_size AS DOUBLE) AS first_value, p_retailprice AS second_value FROM part""")
 def parquet_scan(spark, sf):
@@ -133,20 +172,39 @@ def best_sink(spark, sf):
     keep = best_rows(spark, sf).select("model", "features", "n", "s", "grid_index", "alpha",
                                        rounded(F.col("r2_val"), 8).alias("r2_val"))
     keep.write.option("header", True).csv(path)
-    return results.read_scores_csv(spark, path, keep.schema.simpleString()[7:-1].replace(":", " "))
-
-
-@query("s13_curve_json_sink", "WITH " + CURVE_POINTS + """
-SELECT model, features, n AS x, round(y_mean, 10) AS y_mean, round(y_std, 10) AS y_std FROM curve_points""")
+    return results.read_scores_csv(spark, path, keep.schema.simpleString()[7:-1].replace(":", " ")).drop("unreadable")
+
+
+@query("s13_curve_json_sink", BOOTSTRAP + """,
+ordered AS (SELECT model, features, list(n ORDER BY n) AS x, list(round(y_mean, 10) ORDER BY n) AS y_mean, list(round(y_std, 10) ORDER BY n) AS y_std,
+  list(coalesce(y_mean - y_sem > 0, FALSE) ORDER BY n) AS mask FROM curve_points GROUP BY model, features),
+fitted AS (SELECT model, features FROM ok GROUP BY model, features),
+boots AS (SELECT model, features, count(*) AS n_fits, round(avg(b), 3) AS b_mean, round(quantile_cont(c, 0.975), 3) AS c_975 FROM bfit GROUP BY model, features),
+ys AS (SELECT model, features, list(round(m, 9) ORDER BY n) AS y_bootstrap_mean FROM (
+  SELECT model, features, n, avg(y) AS m FROM resampled JOIN fitted USING (model, features) GROUP BY model, features, n) GROUP BY model, features),
+seeds AS (SELECT model, features, count(DISTINCT s) AS n_seeds FROM best_rows GROUP BY model, features)
+SELECT model, features, 'r2_test' AS metric, n_seeds, unnest(x) AS x, unnest(y_mean) AS y_mean, unnest(y_std) AS y_std, unnest(mask) AS mask,
+       CASE WHEN n_fits > 90 THEN b_mean END AS b_mean, CASE WHEN n_fits > 90 THEN c_975 END AS c_975,
+       unnest(coalesce(y_bootstrap_mean, list_transform(x, lambda v: NULL::DOUBLE))) AS y_bootstrap_mean, coalesce(n_fits, 0) AS n_fits
+FROM ordered JOIN seeds USING (model, features) LEFT JOIN boots USING (model, features) LEFT JOIN ys USING (model, features)""")
 def curve_json(spark, sf):
-    p = points(spark, sf)
-    docs = results.curve_documents(p, fit_power_law(p, CURVE_RUN), CURVE_RUN)
+    """All fields of a curve and its list of bootstrap parameters, written and read back."""
+    from ..operators.curves import statistics
+    tables = statistics(best_rows(spark, sf), CURVE_RUN, "r2_test", 100)
     path = scratch_path(spark, "curves")
-    results.save_json(docs, path)
-    back = results.read_json(spark, path, "model STRING, features STRING, x ARRAY<INT>, y_mean ARRAY<DOUBLE>, "
-                                          "y_std ARRAY<DOUBLE>, dof INT, a DOUBLE")
-    return back.select("model", "features", F.inline(F.arrays_zip("x", "y_mean", "y_std"))).select(
-        "model", "features", "x", rounded(F.col("y_mean"), 10).alias("y_mean"), rounded(F.col("y_std"), 10).alias("y_std"))
+    results.save_json(results.curve_documents(tables, CURVE_RUN, "r2_test"), path + "/curve")
+    results.save_json(results.bootstrap_documents(tables["bootstrap"], CURVE_RUN), path + "/bootstrap")
+    back = results.read_json(spark, path + "/curve", "model STRING, features STRING, metric STRING, n_seeds BIGINT, x ARRAY<INT>, "
+                             "y_mean ARRAY<DOUBLE>, y_std ARRAY<DOUBLE>, mask ARRAY<BOOLEAN>, p_bootstrap_mean ARRAY<DOUBLE>, "
+                             "p_bootstrap_975 ARRAY<DOUBLE>, y_bootstrap_mean ARRAY<DOUBLE>")
+    boots = results.read_json(spark, path + "/bootstrap", "model STRING, features STRING, bootstrap ARRAY<ARRAY<DOUBLE>>")
+
+    flat = back.join(boots, CURVE_RUN, "left").select(
+        *CURVE_RUN, "metric", "n_seeds", rounded(F.get("p_bootstrap_mean", F.lit(1)), 3).alias("b_mean"),
+        rounded(F.get("p_bootstrap_975", F.lit(2)), 3).alias("c_975"), F.coalesce(F.size("bootstrap"), F.lit(0)).cast("bigint").alias("n_fits"),
+        F.inline(F.arrays_zip("x", "y_mean", "y_std", "mask", "y_bootstrap_mean")))
+    return flat.withColumns({"y_mean": rounded(F.col("y_mean"), 10), "y_std": rounded(F.col("y_std"), 10),
+                             "y_bootstrap_mean": rounded(F.col("y_bootstrap_mean"), 9)})
 
 
 @query("s14_result_discovery", "WITH " + SCORE_ROWS + """

@@ -49,17 +49,27 @@ def read_matrix(spark: SparkSession, path: str, columns: list[str] | None = None
 
 
 def number_rows(df: DataFrame, id_col: str = "sample_id") -> DataFrame:
-    """Row position as the id, for files that carry none.
+    """Row position as the id, for tables that carry none.
 
-    Only for single files, whose row order is their identity; tables with a key should use the key.
-    Rows are numbered inside each partition, and a count per partition gives the starting number.
+    Parquet rows are numbered by file name and place in the file, however the scan orders its tasks: a count per
+    file gives each file's first number. Text has no such place, so only a single text file is numbered, by the order in
+    which it is read.
     """
+    files = df.inputFiles()
+    if files and all(f.endswith(".parquet") for f in files):
+        place = df.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_row"))
+        return _numbered(place, df.columns, id_col)
+    if len(files) > 1:
+        raise ValueError(f"Rows of {len(files)} text files have no order; give them a column {id_col}.")
     inside = F.lit((1 << 33) - 1)  # fixed value: the generated id holds the partition above bit 33
     marked = df.withColumn("_id", F.monotonically_increasing_id())
     numbered = (marked.withColumn("_part", F.shiftright("_id", 33))
                 .withColumn("_row", F.col("_id").bitwiseAND(inside)).drop("_id"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = (numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    return _numbered(numbered, df.columns, id_col)
+
+
+def _numbered(place: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file or partition
+    starts = (place.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
               .withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0).cast("bigint"))).drop("_rows"))
-    return (numbered.join(F.broadcast(starts), "_part")
-            .select((F.col("_start") + F.col("_row")).alias(id_col), *df.columns))
+    return place.join(starts, "_part").select((F.col("_start") + F.col("_row")).alias(id_col), *columns)

@@ -2,7 +2,7 @@
 
 A path is one ``.npy`` file or a folder of shards that follow each other in name order, on any file
 system Arrow can open. Each task reads the bytes of its row range and nothing else. The writer leaves one
-shard per partition.
+shard per partition and job.
 """
 
 from __future__ import annotations
@@ -88,27 +88,86 @@ class NpyReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([ids, lists], names=["sample_id", "data"])
 
 
+HEADER_BYTES = 128
+
+
+def _header_bytes(rows: int, width: int) -> bytes:
+    """A version 1.0 header."""
+    text = "{'descr': '<f8', 'fortran_order': False, 'shape': (%d, %d), }" % (rows, width)
+    return b"\x93NUMPY\x01\x00" + (HEADER_BYTES - 10).to_bytes(2, "little") + text.ljust(HEADER_BYTES - 11).encode() + b"\n"
+
+
+class Shard(WriterCommitMessage):
+    def __init__(self, part: str | None):
+        self.part = part
+
+
 class NpyWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    """Shards of earlier jobs stay unless the write overwrites; names hold the job, so appends never collide.
+
+    A task streams its batches into a file of values and, once it knows their number, puts the header in front of
+    them in a second file. Commit renames these files; those of failed or repeated tasks are removed.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+        system, folder = _resolve(path)
+        before = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        self.before = [f.path for f in before if f.path.endswith(".npy")]
+        # shards are read in name order, so a later job has a later number
+        numbers = [int(n) for n in (f.rsplit("/", 1)[-1].split("-")[1] for f in self.before if f.rsplit("/", 1)[-1].count("-") == 2) if n.isdigit()]
+        self.job = f"part-{max(numbers, default=-1) + 1:06d}"
+        self.stage = f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}"
 
     def write(self, batches) -> WriterCommitMessage:
-        """One shard per partition, written under a temporary name and then put in place."""
         from pyspark import TaskContext
-        blocks = []
-        for batch in batches:
-            if batch.num_rows:
-                flat = batch.column(batch.schema.get_field_index("data")).flatten().to_numpy(zero_copy_only=False)
-                blocks.append(flat.reshape(batch.num_rows, -1))
-        if blocks:
-            system, path = _resolve(self.path)
-            system.create_dir(path, recursive=True)
-            final = f"{path.rstrip('/')}/part-{TaskContext.get().partitionId():06d}.npy"
-            part = f"{final}.{uuid.uuid4().hex}.tmp"
-            with system.open_output_stream(part) as f:
-                np.lib.format.write_array(f, np.concatenate(blocks))
-            system.move(part, final)
-        return WriterCommitMessage()
+        system, _ = _resolve(self.path)
+        out, rows, width, name = None, 0, 0, None
+        try:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                values = batch.column(batch.schema.get_field_index("data"))
+                flat = values.flatten().to_numpy(zero_copy_only=False).astype("<f8", copy=False)
+                if out is None:
+                    system.create_dir(self.stage, recursive=True)
+                    name = f"{self.stage}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+                    out, width = system.open_output_stream(name), len(flat) // batch.num_rows
+                if len(flat) != batch.num_rows * width:
+                    raise ValueError("all rows of an array must have the same length")
+                out.write(flat.tobytes())
+                rows += batch.num_rows
+        finally:
+            if out is not None:
+                out.close()
+        if name is None:
+            return Shard(None)
+        with system.open_input_stream(name) as values, system.open_output_stream(f"{name}.npy") as whole:
+            whole.write(_header_bytes(rows, width))
+            while block := values.read(1 << 22):
+                whole.write(block)
+        system.delete_file(name)
+        return Shard(f"{name}.npy")
+
+    def commit(self, messages) -> None:
+        system, folder = _resolve(self.path)
+        system.create_dir(folder, recursive=True)
+        for m in messages:
+            if m is None or m.part is None:
+                continue
+            number = m.part.rsplit("/", 1)[-1].split("-")[0]
+            system.move(m.part, f"{folder.rstrip('/')}/{self.job}-{number}.npy")
+        if self.overwrite:
+            for old in self.before:
+                system.delete_file(old)
+        self._clear(system)
+
+    def abort(self, messages) -> None:
+        self._clear(_resolve(self.path)[0])
+
+    def _clear(self, system) -> None:
+        if system.get_file_info(self.stage).type == fs.FileType.Directory:
+            system.delete_dir(self.stage)
 
 
 class NpySource(DataSource):
@@ -123,7 +182,7 @@ class NpySource(DataSource):
         return NpyReader(self.options["path"], int(self.options.get("rowsPerTask", ROWS_PER_TASK)))
 
     def writer(self, schema, overwrite):
-        return NpyWriter(self.options["path"])
+        return NpyWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -30,9 +30,29 @@ def load_prepared(spark: SparkSession, path: str, dataset: str, role: str, varia
                 quantile=quantile).select("sample_id", "data", "mask")
 
 
-def read_scores_csv(spark: SparkSession, path: str, columns: str) -> DataFrame:
-    """Score rows from CSV; unreadable lines are dropped, empty files give no rows."""
-    return spark.read.option("header", True).option("mode", "DROPMALFORMED").schema(columns).csv(path)
+def read_scores_csv(spark: SparkSession, paths: str | list[str], columns: str) -> DataFrame:
+    """Score rows from CSV files with a header line each; columns go by name and may come in any order or be absent.
+
+    Every file is read with its own header and the tables are united by name, so files of different models can be mixed;
+    an absent column is NULL. A row with a field that is not of its column's type keeps the line in
+    `unreadable` instead of vanishing; it is NULL for good rows. Files without lines give no rows.
+    """
+    wanted = spark.createDataFrame([], columns).schema
+    text = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("file"))
+    out = None
+    for r in text.distinct().orderBy("file").collect():  # one row per file
+        raw = spark.read.option("header", True).option("quote", '"').csv(r["file"])
+        cast = []
+        for f in wanted.fields:
+            text_value = F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string")
+            cast.append((f.name, text_value, text_value.try_cast(f.dataType)))
+        bad = F.lit(False)
+        for _, value, typed in cast:
+            bad = bad | (value.isNotNull() & typed.isNull())
+        line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in raw.columns])) if raw.columns else F.lit(None).cast("string")
+        part = raw.select(*[typed.alias(name) for name, _, typed in cast], F.when(bad, line).alias("unreadable"))
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], f"{columns}, unreadable STRING")
 
 
 def save_json(df: DataFrame, path: str) -> None:
@@ -43,10 +63,26 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("allowNonNumericNumbers", True).json(path)
 
 
-def curve_documents(points: DataFrame, fit: DataFrame, run: list[str]) -> DataFrame:
-    """One JSON-ready row per curve with its arrays in size order; a curve has one entry per size."""
-    entry = F.struct("n", "y_mean", "y_std", "y_sem", "mask")
-    arrays = points.groupBy(*run).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+def curve_documents(tables: dict[str, DataFrame], run: list[str], metric: str) -> DataFrame:
+    """One JSON-ready row per curve from the tables of :func:`~sizeladder.operators.curves.statistics`.
+
+    Arrays go by sample size, parameters by (a, b, c); what a curve is too short for is NULL.
+    """
+    entry = F.struct("n", "y_mean", "y_std", "y_sem", "mask")  # one entry per size
+    points = tables["points"].groupBy(*run).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     p = F.col("_p")  # a field of an array of structs is the array of that field
-    return arrays.select(*run, p["n"].alias("x"), *[p[k].alias(k) for k in ("y_mean", "y_std", "y_sem", "mask")]) \
-        .join(fit, run)
+    docs = points.select(*run, F.lit(metric).alias("metric"), p["n"].alias("x"),
+                         *[p[k].alias(k) for k in ("y_mean", "y_std", "y_sem", "mask")])
+    triple = F.when(F.col("a").isNotNull(), F.array("a", "b", "c"))
+    docs = docs.join(tables["fit"].select(*run, "n_seeds", "dof", triple.alias("p_mean"), "r2", "chi2", "mu", "sigma"), run)
+    kinds = {"mean": "mean", "std": "std", "975": "p975", "025": "p025"}
+    for name, key, prefix in (("parameters", "parameter", "p_bootstrap"), ("y", "n", "y_bootstrap")):
+        sums = tables[name].groupBy(*run).agg(F.array_sort(F.collect_list(F.struct(key, *kinds.values()))).alias("_b"))
+        docs = docs.join(sums.select(*run, *[F.col("_b")[c].alias(f"{prefix}_{k}") for k, c in kinds.items()]), run, "left")
+    return docs
+
+
+def bootstrap_documents(fits: DataFrame, run: list[str]) -> DataFrame:
+    """One row per curve with its list of (a, b, c), one entry per repetition."""
+    fits = fits.groupBy(*run).agg(F.array_sort(F.collect_list(F.struct("rep", F.array("a", "b", "c").alias("p")))).alias("_f"))
+    return fits.select(*run, F.col("_f")["p"].alias("bootstrap"))

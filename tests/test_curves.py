@@ -134,7 +134,7 @@ def test_files(spark, tmp_path):
     for path, want in ((tmp_path / "m.npy", m), (f"file:{tmp_path}/f.npy", m), (f"file://{tmp_path}/v.npy", np.arange(5.0)[:, None])):
         parts = spark.read.format("npy").option("rowsPerTask", 3).load(str(path)).orderBy("sample_id").collect()
         assert np.allclose([r["data"] for r in parts], want)
-    with pytest.raises(ValueError, match="Confound dataset is empty"):
+    with pytest.raises(ValueError, match="there are none"):
         require_covariates(empty_covariates(spark), "correct-x")
     (tmp_path / "m.csv").write_text("a,b\n" + "\n".join(f"{a},{b}" for a, b in m))
     df = number_rows(read_matrix(spark, str(tmp_path / "m.csv")))

@@ -200,7 +200,7 @@ def test_prepare(spark):
         prepare(df.limit(0), "features", ["a"], "id")
     with pytest.raises(ValueError):
         feature_mode(df, "other", "a", "b")
-    with pytest.raises(Exception, match="NaN or infinite"):
+    with pytest.raises(Exception, match="not finite"):
         require_valid(df, ["a"]).collect()
 
 
