@@ -14,6 +14,17 @@ BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of one Arrow batch of texts. Spark's default of 10,000 rows per batch has no bound in bytes.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python workers get, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import md5_bits, text_of
+from .common import bounded_batches, md5_bits, text_of
 from .quality_rules import text_stats
 
 TRAIN_ROWS = 20_000
@@ -67,6 +67,7 @@ def metadata_view(source: Column, lang: Column, length: Column) -> Column:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              lang_col: str = "lang", length_col: str = "n_chars") -> DataFrame:
     """(_id, _draw, content, metadata) per row, stored."""
+    bounded_batches(docs.sparkSession)
     return store(docs.select(
         F.col(id_col).alias("_id"), md5_bits(F.lit("co"), F.col(id_col)).alias("_draw"),
         content_view(text_of(text_col)).alias("content"),

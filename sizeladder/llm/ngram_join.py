@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import BROADCAST_ROWS, small, text_of
+from .common import BROADCAST_ROWS, bounded_batches, small, text_of
 from .components import components
 
 WORDS = 5
@@ -325,6 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id of the texts with the same shingle set, n_links the number of other classes that its class
     is linked to, group_id the smallest id of all classes connected by links; kept marks that document.
     """
+    bounded_batches(docs.sparkSession)
     rows = store(sketches(docs, id_col, text_col, words), "sketches")
     classes = store(rows.groupBy("c").agg(
         F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_md5")).alias("rep"), F.count(F.lit(1)).alias("size"),

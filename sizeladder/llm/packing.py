@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import text_of
+from .common import bounded_batches, text_of
 
 SIZE = 1024
 END_ID = 2
 #: Most rows of a length that are ranked by one task.
 RANKED_ROWS = 200_000
 #: Words whose ids a task remembers before it starts afresh.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 PIECES = "_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
 
 
@@ -92,6 +92,8 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k",
            size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(_id, piece, start, length, ids_crc32) of every document."""
+    bounded_batches(docs.sparkSession)
+
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = Encoder(vocabulary), struct.pack("<I", end_id)
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import text_of
+from .common import bounded_batches, text_of
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -151,6 +151,7 @@ def verdicts(codes: DataFrame, keep: float = 0.5) -> tuple[DataFrame, RuleModel]
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
     """One row per input row: id, the counts, base_failed, quality (posterior of good), kept."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), stats_of(text_of(text_col)).alias("_s")).select("_id", "_s.*")
     rows = store(rows.withColumn("_code", vote_code()), "votes")
     table, _ = verdicts(rows, keep)
@@ -165,6 +166,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", keep: float = 0.5) -> Dat
 
     Counts are taken again on the second pass, so texts are filtered where they lie.
     """
+    bounded_batches(docs.sparkSession)
     stats = stats_of(text_of(text_col))
     table, _ = verdicts(docs.select(stats.alias("_s")).select("_s.*").select(vote_code().alias("_code")), keep)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), stats.alias("_s")).select("_doc", "_s.*")
