@@ -23,7 +23,13 @@ HEADLINE = [
     "m21_model_selection",
     "m22_power_law",
     "m23_bootstrap_fits",
+    "m08_random_forest_regressor",
+    "m09_boosting_classifier",
+    "m13_rfe_ridge_classifier",
+    "m18_poly_svm_regressor",
+    "j04_matched_two_covariates",
     "e01_learning_curve",
+    "e02_run_experiments",
 ]
 
 

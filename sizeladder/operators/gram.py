@@ -165,6 +165,7 @@ def gram_matrix(table: pa.Table) -> np.ndarray:
     """The rows of one cell back to moments: count at (0, 0), means along row and column 0, centred products else."""
     g = matrix(table.column("row"), table.num_rows)[np.argsort(table.column("i").to_numpy())]
     pivot, g = g[0, 1:], g[1:].copy()
+    g[0, 0] = np.round(g[0, 0])  # vector sums are kept as mean times count
     off = g[0, 1:] / g[0, 0]  # mean less pivot: rounding only
     g[1:, 1:] -= g[0, 0] * np.outer(off, off)
     g[0, 1:] = g[1:, 0] = pivot + off
