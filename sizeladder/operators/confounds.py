@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import dot
 from ..schema import SAMPLE
-from .gram import fields, gram_matrix, repeat_keys, ridge_weights, spectrum, table_gram
+from .gram import fields, gram_matrix, pivot_and_rest, repeat_keys, ridge_weights, spectrum, table_gram
 from .prepare import require_aligned
 
 
 def confound_coefficients(valid: DataFrame, run: list[str]) -> DataFrame:
     """Least-norm regression of every data column on (1, covariates).
 
-    Returns (run..., coef ARRAY<ARRAY<DOUBLE>>, intercept ARRAY<DOUBLE>): one entry per data column.
+    Returns (run..., coef ARRAY<ARRAY<DOUBLE>>, intercept ARRAY<DOUBLE>): one entry per data column; and the same
+    line as `base` at the covariates `pivot` near their means, where covariates with a large offset keep their digits.
     The whole table takes part; it is reduced where it lies.
     """
     g = table_gram(valid.select(*run, "c", "x"), run, ["c", "x"])
@@ -31,13 +32,17 @@ def confound_coefficients(valid: DataFrame, run: list[str]) -> DataFrame:
         scale = np.where(scale > 0, scale, 1.0)
         values, vectors = spectrum(cov[c, c] / np.outer(scale, scale))
         beta = ridge_weights(values, vectors, cov[c, x] / scale[:, None], 0.0) / scale[:, None]
-        base = mean[x] - mean[c] @ beta
+        intercept = mean[x] - mean[c] @ beta
+        pivot, rest = pivot_and_rest(table)
+        q_pivot, at_pivot = pivot[:q], pivot[q:] + rest[q:] - rest[:q] @ beta
         return pa.Table.from_arrays(
             [*repeat_keys(key, 1), pa.array([beta.T.tolist()], pa.list_(pa.list_(pa.float64()))),
-             pa.array([base.tolist()], pa.list_(pa.float64()))], names=[*run, "coef", "intercept"])
+             *[pa.array([v.tolist()], pa.list_(pa.float64())) for v in (intercept, at_pivot, q_pivot)]],
+            names=[*run, "coef", "intercept", "base", "pivot"])
 
     return tagged.groupBy(*run).applyInArrow(
-        solve, f"{fields(tagged, run)}, coef ARRAY<ARRAY<DOUBLE>>, intercept ARRAY<DOUBLE>")
+        solve, f"{fields(tagged, run)}, coef ARRAY<ARRAY<DOUBLE>>, intercept ARRAY<DOUBLE>, base ARRAY<DOUBLE>, "
+               "pivot ARRAY<DOUBLE>")
 
 
 def residual(x, coef, intercept, c):
@@ -64,7 +69,8 @@ def regress_out(data: DataFrame, covariates: DataFrame, run: list[str] | None =
                   [*run, SAMPLE])
             .withColumn("mask", F.col("_mx") & F.col("_mc")))
     coefs = F.broadcast(confound_coefficients(both.where("mask"), run))
-    clean = F.when(F.col("mask"), residual(F.col("x"), F.col("coef"), F.col("intercept"), F.col("c")))
+    moved = F.zip_with("c", "pivot", lambda v, m: v - m)
+    clean = F.when(F.col("mask"), residual(F.col("x"), F.col("coef"), F.col("base"), moved))
     return both.join(coefs, run, "left").select(*run, SAMPLE, clean.alias("data"), "mask")
 
 

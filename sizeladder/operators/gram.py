@@ -161,6 +161,12 @@ def table_gram(rows: DataFrame, cell: list[str], inputs: list[str]) -> DataFrame
     return _with_pivots(sum_vectors(parts, [*cell, "i"], "row"), pivots, cell)
 
 
+def pivot_and_rest(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The pivot of one cell, and what its means exceed it by; their sum is the mean, rounded."""
+    g = matrix(table.column("row"), table.num_rows)[np.argsort(table.column("i").to_numpy())]
+    return g[0, 1:], g[1, 1:] / np.round(g[1, 0])
+
+
 def gram_matrix(table: pa.Table) -> np.ndarray:
     """The rows of one cell back to moments: count at (0, 0), means along row and column 0, centred products else."""
     g = matrix(table.column("row"), table.num_rows)[np.argsort(table.column("i").to_numpy())]

@@ -245,12 +245,19 @@ def confounds(spark, sf):
     return regress_out(x, c).select("sample_id", rounded(F.col("data")[0], 5).alias("qty"), rounded(F.col("data")[1], 5).alias("lines"))
 
 
-@query("m19_confound_offset", ORACLES["m19_confound_regression"])
+# covariates in sixteenths and ones, so that the large offset itself rounds nothing away
+COARSE = ORDER_ROWS + """,
+coarse AS (SELECT sample_id, qty, lines, floor(c_size * 16) / 16 AS c_size, floor(c_price) AS c_price FROM order_rows),"""
+
+
+@query("m19_confound_offset", "WITH " + COARSE + ORACLES["m19_confound_regression"].removeprefix("WITH " + ORDER_ROWS + ",").replace(
+    "order_rows", "coarse"))
 def confounds_offset(spark, sf):
     """Covariates of about 1e9 with spreads of a few units."""
     o = stored(order_rows(spark, sf))
     x = with_mask(o.select("sample_id", F.array("qty", "lines").alias("data")))
-    c = with_mask(o.select("sample_id", F.array(F.col("c_size") + 2.0 ** 30, F.col("c_price") - 2.0 ** 30).alias("data")))
+    size, price = F.floor(F.col("c_size") * 16) / 16, F.floor("c_price").cast("double")
+    c = with_mask(o.select("sample_id", F.array(size + 2.0 ** 30, price - 2.0 ** 30).alias("data")))
     return regress_out(x, c).select("sample_id", rounded(F.col("data")[0], 5).alias("qty"), rounded(F.col("data")[1], 5).alias("lines"))
 
 

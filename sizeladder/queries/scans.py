@@ -180,7 +180,7 @@ ordered AS (SELECT model, features, list(n ORDER BY n) AS x, list(round(y_mean,
   list(coalesce(y_mean - y_sem > 0, FALSE) ORDER BY n) AS mask FROM curve_points GROUP BY model, features),
 fitted AS (SELECT model, features FROM ok GROUP BY model, features),
 boots AS (SELECT model, features, count(*) AS n_fits, round(avg(b), 3) AS b_mean, round(quantile_cont(c, 0.975), 3) AS c_975 FROM bfit GROUP BY model, features),
-ys AS (SELECT model, features, list(round(m, 9) ORDER BY n) AS y_bootstrap_mean FROM (
+ys AS (SELECT model, features, list(round(m, 6) ORDER BY n) AS y_bootstrap_mean FROM (
   SELECT model, features, n, avg(y) AS m FROM resampled JOIN fitted USING (model, features) GROUP BY model, features, n) GROUP BY model, features),
 seeds AS (SELECT model, features, count(DISTINCT s) AS n_seeds FROM best_rows GROUP BY model, features)
 SELECT model, features, 'r2_test' AS metric, n_seeds, unnest(x) AS x, unnest(y_mean) AS y_mean, unnest(y_std) AS y_std, unnest(mask) AS mask,
@@ -204,7 +204,7 @@ def curve_json(spark, sf):
         rounded(F.get("p_bootstrap_975", F.lit(2)), 3).alias("c_975"), F.coalesce(F.size("bootstrap"), F.lit(0)).cast("bigint").alias("n_fits"),
         F.inline(F.arrays_zip("x", "y_mean", "y_std", "mask", "y_bootstrap_mean")))
     return flat.withColumns({"y_mean": rounded(F.col("y_mean"), 10), "y_std": rounded(F.col("y_std"), 10),
-                             "y_bootstrap_mean": rounded(F.col("y_bootstrap_mean"), 9)})
+                             "y_bootstrap_mean": rounded(F.col("y_bootstrap_mean"), 6)})
 
 
 @query("s14_result_discovery", "WITH " + SCORE_ROWS + """
