@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import BROADCAST_ROWS, repeated_keys, text_of
+from .common import BROADCAST_ROWS, repeated_keys, small, text_of
 
 
 def md5_key(text: Column) -> Column:
@@ -68,13 +68,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 most: int = BROADCAST_ROWS) -> DataFrame:
     """The rows that stay, one per distinct text, with the columns of `docs`.
 
-    Rows are matched to the decisions on (id, SHA-256), which spreads a hot group by its ids.
+    Rows are matched to the decisions on (id, SHA-256). As long as the rows to drop are few enough to be sent to every
+    executor the texts stay where they are; else the join spreads a hot group by its ids.
     """
     marks = store(mark(docs, id_col, text_col, keep, most=most).select(
-        F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), "kept"), "marks")
+        F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept"), "marks")
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_row"),
-                       F.sha2(text_of(text_col), 256).alias("_print"))
-    drop = marks.where("NOT kept").select("_id", "_sha").distinct()
+                       F.unhex(F.sha2(text_of(text_col), 256)).alias("_print"))
+    drop = small(store(marks.where("NOT kept").select("_id", "_sha").distinct(), "drop"), most)
     same = rows["_row"].eqNullSafe(drop["_id"]) & (rows["_print"] == drop["_sha"])
     left = rows.join(drop, same, "left_anti")
     twice = marks.where("kept").groupBy("_id", "_sha").count().where("count > 1")

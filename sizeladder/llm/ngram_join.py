@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import BROADCAST_ROWS, bounded_batches, small, text_of
+from .common import BROADCAST_ROWS, bounded_batches, release_memory, small, text_of
 from .components import components
 
 WORDS = 5
@@ -124,6 +124,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 "c": [blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "n": np.array([len(s) for s in sets], dtype=np.int32),
                 "sig": [min_hashes(s, family).tobytes() for s in sets]})
+        release_memory()
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.unhex(F.md5(text)).alias("_md5"), text.alias("_text"))
@@ -205,6 +206,7 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, wor
             right = shingles(b, words)
             common = len(np.intersect1d(left, right, assume_unique=True))
             out.append(common >= threshold * (len(left) + len(right) - common))
+        release_memory()
         return pd.Series(out, dtype=bool)
 
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
@@ -361,10 +363,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("links").alias("n_links"), "group_id", F.col("_id").eqNullSafe(F.col("group_id")).alias("kept"), "_md5")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ROWS,
+             **options) -> DataFrame:
     """The documents without near duplicates of a smaller id, one per group, with the columns of `docs`."""
-    drop = store(near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(
-        F.col(id_col).alias("_id"), F.col("_md5").alias("_drop")).distinct(), "near_copies")
+    drop = small(store(near_duplicates(docs, id_col, text_col, most=most, **options).where("NOT kept").select(
+        F.col(id_col).alias("_id"), F.col("_md5").alias("_drop")).distinct(), "near_copies"), most)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_row"),
                        F.unhex(F.md5(text_of(text_col))).alias("_md5"))
     same = rows["_row"].eqNullSafe(drop["_id"]) & (rows["_md5"] == drop["_drop"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import store
-from .common import bounded_batches, text_of
+from .common import bounded_batches, release_memory, text_of
 
 SIZE = 1024
 END_ID = 2
@@ -105,6 +105,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                         for k, (start, length) in enumerate(cut(len(ids) // 4, size))]
             frame = pd.DataFrame(out, columns=["_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"_id": "Int64"})
+        del encode
+        release_memory()
 
     return docs.select(F.col(id_col).cast("bigint").alias("_id"), text_of(text_col).alias("_text")).mapInPandas(
         tokenise, PIECES)

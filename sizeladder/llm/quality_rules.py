@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import store
-from .common import bounded_batches, text_of
+from .common import bounded_batches, release_memory, text_of
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +77,9 @@ def text_stats(text: str) -> tuple[int, ...]:
 
 @F.pandas_udf(T.StructType([T.StructField(s, T.LongType()) for s in STATS]))
 def stats_of(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
+    stats = pd.DataFrame([text_stats(t) for t in texts], columns=STATS, dtype="int64")
+    release_memory()
+    return stats
 
 
 def vote_code() -> Column:
