@@ -21,6 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import store
+from .common import BROADCAST_ROWS, small
+
 PART_TURNS = 64
 SYSTEM = "system"
 END = "<|end|>"
@@ -49,12 +52,14 @@ def parts(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", s
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role",
-           text_col: str = "text", system: str = SYSTEM, part_turns: int = PART_TURNS) -> DataFrame:
+           text_col: str = "text", system: str = SYSTEM, part_turns: int = PART_TURNS,
+           most: int = BROADCAST_ROWS) -> DataFrame:
     """One row per conversation, participant and part: n_turns, n_own, text, masks, mask_chars."""
     name = safe(F.coalesce(F.col(speaker_col), F.lit("unknown")))
     who = (turns.select(F.col(conv_col).alias("_who"), name.alias("participant"))
            .where(F.col("participant") != system).distinct())
     p = parts(turns, conv_col, turn_col, speaker_col, text_col, part_turns)
+    who = small(store(who, "participants"), most)  # few: the texts are not moved a second time
     rows = p.join(who, F.col("_conv").eqNullSafe(F.col("_who")))
     person = F.col("participant")
     segments = F.transform("turns", lambda t: F.concat(heading(t["speaker"], person, system), t["text"], F.lit(END), F.lit("\n")))

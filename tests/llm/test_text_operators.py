@@ -93,6 +93,7 @@ def test_exact_dedup_excludes_hash_collisions(odd):
 
 
 def test_exact_dedup_keeps_one_row_per_text(odd, empty):
+    assert exact_dedup.deduplicate(odd, most=0).count() == len({r[1] or "" for r in odd_rows()})
     left = exact_dedup.deduplicate(odd)
     assert left.columns == odd.columns
     texts = [r["text"] or "" for r in left.collect()]
@@ -461,7 +462,9 @@ def test_perspectives(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "é😀"), (1, 3, "cy", None), (1, 1, "ann", "hi <|end|>"),
             (2, 0, "system", "only"), (None, 5, None, "x"), (None, None, "ann", ""), (3, 70, "ann", "late"), (3, 2, "bob", LONG)]
     rows += [(4, 1, "ann", "same turn")] * 150
-    got = chat.rotate(spark.createDataFrame([(*r, "b", 1, "t") for r in rows], TURN)).collect()
+    table = spark.createDataFrame([(*r, "b", 1, "t") for r in rows], TURN)
+    got = chat.rotate(table).collect()
+    assert Counter(map(str, got)) == Counter(map(str, chat.rotate(table, most=0).collect()))
     assert {(r["conv_id"], r["participant"]) for r in got} == {(1, "ann"), (1, "bob"), (1, "cy"), (None, "unknown"), (None, "ann"), (3, "ann"), (3, "bob"), (4, "ann")}
     one = next(r for r in got if r["conv_id"] == 1 and r["participant"] == "bob")
     assert one["text"] == ("<|system|>\nrules<|end|>\n" + "<|user name=ann|>\nhi < |end|><|end|>\n" * 2 + "<|assistant|>\né😀<|end|>\n<|user name=cy|>\n<|end|>\n")
@@ -551,6 +554,7 @@ def test_near_duplicates_of_odd_rows(odd, empty, docs, corpus):
 
 def test_one_document_per_group_stays(docs, corpus):
     want = {g for *_, g in brute_near(corpus.items())}
+    assert ngram_join.keep_one(docs, most=0).count() == len(want)
     left = ngram_join.keep_one(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(want)
 
