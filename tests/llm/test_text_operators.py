@@ -477,6 +477,50 @@ def test_perspectives(spark):
     assert chat.rotate(spark.createDataFrame([], TURN)).count() == 0
 
 
+def brute_rotation(rows, part_chars):
+    """{(conv, participant, block): (turns, own, text, masked text)} of (conv, turn, speaker, text) without nulls."""
+    talks, out = defaultdict(list), {}
+    for conv, *turn in rows:
+        talks[conv].append(tuple(turn))
+    for conv, turns in talks.items():
+        at, blocks, rules = 0, defaultdict(list), []
+        for turn, speaker, text in sorted(turns):
+            size = len("<|system|>\n" if speaker == "system" else f"<|user name={speaker}|>\n") + len(text) + 8
+            blocks[at // part_chars].append((speaker, text))
+            if speaker == "system":
+                rules.append((at // part_chars, text, size))
+            at += size
+        fit = [sum(s for *_, s in rules[:k + 1]) <= part_chars for k in range(len(rules))]
+        for person in {s for _, s, _ in turns} - {"system"}:
+            for block, part in blocks.items():
+                text, own = "", ""
+                for speaker, said in [("system", t) for (b, t, _), ok in zip(rules, fit) if ok and b < block] + part:
+                    head = {"system": "<|system|>\n", person: "<|assistant|>\n"}.get(speaker, f"<|user name={speaker}|>\n")
+                    text += head + said + "<|end|>\n"
+                    own += said + "<|end|>" if speaker == person else ""
+                out[conv, person, block] = len(part), sum(s == person for s, _ in part), text, own
+    return out
+
+
+def test_long_dialogues(spark):
+    """Whole up to the bound whatever the number of turns and the gaps; above it system turns lead every part."""
+    rnd = random.Random(5)
+    rows = [(1, 0, "system", "rules")] + [(1, 100 * k, rnd.choice(["ann", "bob"]), words(3, k)) for k in range(1, 301)]
+    rows += [(2, 10 ** 12 + k, "ann", "x" * (k % 7)) for k in range(65)] + [(3, 7, "cy", "again")] * 200
+    rows += [(3, 7, "system", "be kind"), (3, 9, "ann", "y" * 5000), (3, 8, "system", "z" * 3000), (3, 10, "cy", "end")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    for chars in (chat.PART_CHARS, 2000):
+        for most in (500_000, 0):
+            got = {}
+            for r in chat.rotate(table, part_chars=chars, most=most).collect():
+                spans = [tuple(map(int, m.split(":"))) for m in r["masks"].split(",") if m]
+                own = "".join(r["text"][a:b] for a, b in spans)
+                assert (r["conv_id"], r["participant"], r["block"]) not in got and r["mask_chars"] == len(own)
+                got[r["conv_id"], r["participant"], r["block"]] = r["n_turns"], r["n_own"], r["text"], own
+            assert got == brute_rotation(rows, chars)
+        assert (len(got) == 5) == (chars == chat.PART_CHARS)
+
+
 # --- near duplicates ---------------------------------------------------------------------------------
 
 def brute_sets(text):
