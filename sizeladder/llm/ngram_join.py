@@ -19,7 +19,9 @@ the links, so a group of m near copies makes rows in proportion to m times its b
 lost or capped. Links become groups by connected components over stored tables.
 
 Null texts count as empty. All texts without words are one class. A row is known by (id, md5 of the text): repeated rows
-and null ids keep their own place in the result. Other columns are never read. An empty table gives an empty result.
+and null ids keep their own place in the result. The one that stays of a group has the smallest id, null last, and of the texts
+under that id the smallest md5; rows that repeat both are all marked, and `keep_one` returns one of them. Other columns are
+never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -352,23 +354,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = edges.unionByName(inside.where("other IS NOT NULL").select(F.col("c").alias("a"), F.col("other").alias("b")))
 
     labels = components(edges).withColumnRenamed("node", "c")
-    named = classes.select("c", F.col("rep._id").alias("class_id"), "size", "n")
+    named = classes.select("c", F.col("rep._id").alias("class_id"), "rep", "size", "n")
     table = (named.join(counts.groupBy("c").agg(F.sum("links").alias("links")), "c", "left").join(labels, "c", "left"))
     table = store(table.withColumn("label", F.coalesce("label", "c")), "table")
-    groups = table.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    groups = table.groupBy("label").agg(F.min("rep").alias("stays"))
     verdict = store(table.join(groups, "label").select("c", "class_id", "size", "n", F.coalesce("links", F.lit(0)).alias(
-        "links"), "group_id"), "verdict")
+        "links"), F.col("stays._id").alias("group_id"), F.col("stays._md5").alias("stays_md5")), "verdict")
+    kept = F.col("_id").eqNullSafe(F.col("group_id")) & (F.col("_md5") == F.col("stays_md5"))
     return rows.select("_id", "_md5", "c").join(verdict, "c").select(
         F.col("_id").alias(id_col), "class_id", F.col("size").alias("class_size"), F.col("n").cast("bigint").alias("n_shingles"),
-        F.col("links").alias("n_links"), "group_id", F.col("_id").eqNullSafe(F.col("group_id")).alias("kept"), "_md5")
+        F.col("links").alias("n_links"), "group_id", kept.alias("kept"), "_md5")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = BROADCAST_ROWS,
              **options) -> DataFrame:
-    """The documents without near duplicates of a smaller id, one per group, with the columns of `docs`."""
-    drop = small(store(near_duplicates(docs, id_col, text_col, most=most, **options).where("NOT kept").select(
-        F.col(id_col).alias("_id"), F.col("_md5").alias("_drop")).distinct(), "near_copies"), most)
+    """The documents that stay, one per group of near duplicates, with the columns of `docs`."""
+    marks = store(near_duplicates(docs, id_col, text_col, most=most, **options).select(
+        F.col(id_col).alias("_id"), F.col("_md5").alias("_drop"), "kept"), "near_marks")
+    drop = small(store(marks.where("NOT kept").select("_id", "_drop").distinct(), "near_copies"), most)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_row"),
                        F.unhex(F.md5(text_of(text_col))).alias("_md5"))
     same = rows["_row"].eqNullSafe(drop["_id"]) & (rows["_md5"] == drop["_drop"])
-    return rows.join(drop, same, "left_anti").select("_doc.*")
+    left = rows.join(drop, same, "left_anti")
+    twice = marks.where("kept").groupBy("_id", "_drop").count().where("count > 1")
+    if not twice.isEmpty():  # whole rows were repeated
+        left = left.dropDuplicates(["_row", "_md5"])
+    return left.select("_doc.*")

@@ -603,6 +603,23 @@ def test_one_document_per_group_stays(docs, corpus):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(want)
 
 
+def test_one_row_per_group_stays_of_odd_rows(spark, odd):
+    """Null ids on all members, one id on several near copies, and rows repeated as a whole."""
+    base = words(100, 31).split(" ")
+    near = [" ".join(base[:-k] + [f"end{k}"] * k) for k in range(1, 6)]
+    other = [" ".join(words(100, 32).split(" ") + ["tail"] * k) for k in range(1, 4)]
+    rows = [(None, t) for t in near] + [(1, other[0]), (1, other[1]), (1, other[1]), (2, other[2]), (None, other[2])]
+    rows += [(7, words(100, 33))] * 3
+    table = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in rows], DOC).repartition(3)
+    for most in (500_000, 0):
+        got = ngram_join.keep_one(table, most=most).collect()
+        assert Counter(r["doc_id"] for r in got) == {None: 1, 1: 1, 7: 1}
+        digest = lambda t: hashlib.md5(t.encode()).digest()
+        assert {r["text"] for r in got} == {min(near, key=digest), min(other[:2], key=digest), rows[-1][1]}
+    first = ngram_join.keep_one(odd)
+    assert Counter(map(str, ngram_join.keep_one(first).collect())) == Counter(map(str, first.collect()))
+
+
 def test_posterior_limits():
     """The closed form equals the integral of the posterior density."""
     grid = np.linspace(0, 1, 20001)
