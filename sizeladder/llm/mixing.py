@@ -1,6 +1,7 @@
 """Mixing sources to target weights by nested hash thresholds.
 
-Every row draws a stable 32-bit hash of its id. A source's budget is a hash threshold: rows below it are taken. The
+Every row draws a stable hash, 32 bits of its id and 28 of its text, so that rows which share an id, or have none, are told
+apart. A source's budget is a hash threshold: rows below it are taken. The
 threshold is found by histograms: words are summed by source and leading hash digit with map-side combine, a running
 sum over the digits names the bucket in which the budget runs out, and only rows of that bucket are summed again by
 the next digit. After the last digit the bucket is a single hash value, taken if that brings the sum nearer to the
@@ -8,7 +9,7 @@ budget. Rows are never sorted, and a smaller budget of the same source takes a s
 
 A source that wants more than it has is taken whole once or twice and the threshold covers the rest, so no row is
 taken more than `most_copies` times. Null texts and texts without words have size 0 and are never counted as taken.
-A null source is a source of its own, last in order. Rows that repeat an id share its hash and are taken together.
+A null source is a source of its own, last in order. Only rows that repeat id and text share a hash and are taken together.
 """
 
 from __future__ import annotations
@@ -20,7 +21,14 @@ from ..session import store
 from .common import WORD, md5_bits, small, text_of
 
 #: Bits of the hash that each histogram looks at, from the leading ones.
-DIGITS = (12, 10, 10)
+DIGITS = (12, 10, 10, 14, 14)
+TEXT_BITS = 28
+
+
+def row_hash(id_col: str, text_col: str) -> Column:
+    """The id decides; the text only among rows of the same id."""
+    of_id, of_text = md5_bits(F.col(id_col), digits=8), md5_bits(text_of(text_col), digits=TEXT_BITS // 4)
+    return F.shiftleft(of_id, TEXT_BITS) + of_text
 
 
 def word_count(text_col: str) -> Column:
@@ -31,7 +39,7 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """(id, source, no_source, size, hash), stored: the histograms and the filter read only these."""
     return store(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"),
                              F.col(source_col).isNull().alias("_none"), word_count(text_col).alias("size"),
-                             md5_bits(F.col(id_col), digits=8).alias("_hash")), "sized")
+                             row_hash(id_col, text_col).alias("_hash")), "sized")
 
 
 def source_targets(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most_copies: int = 3,
@@ -108,7 +116,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     rows = sized_rows(docs, id_col, source_col, text_col)
     targets = source_targets(rows, weights, most_copies, share)
     plan = store(targets.join(thresholds(rows, targets), ["_none", "_source"], "left"), "plan")
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), md5_bits(F.col(id_col), digits=8).alias("_hash"),
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), row_hash(id_col, text_col).alias("_hash"),
                         F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"))
     copies = (F.col("whole") + F.when(F.col("_hash") < F.col("threshold"), 1).otherwise(0)).cast("int")
     return (keyed.join(small(plan.select("_none", "_source", "whole", "threshold")), ["_none", "_source"])

@@ -3,9 +3,10 @@
 The shard of a key is computed from a 60-bit hash of the key and the number of shards alone; there is no ring table.
 Going from n to n + 1 shards moves one key in n + 1, all of them into the new shard.
 
-A row's place in its shard is its rank by the hash of its id. No shard is ever in one task: rows are ranked inside
+A row's place in its shard is its rank by a hash of its id and its text's md5. No shard is ever in one task: rows are ranked inside
 narrow ranges of the hash, and the start of each range comes from a table of counts with a fixed number of rows.
-A hot key puts its rows into one shard, as consistent hashing has it, but its rows are ranked by their own ids.
+A hot key puts its rows into one shard, as consistent hashing has it, but its rows are ranked by their own ids and
+texts; only rows equal in both stay together.
 
 A null key is a key of its own; null texts count as empty. Repeated rows each get a place.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import store
 from .common import md5_bits, text_of
 
-#: Leading bits of the id's hash that form the ranges in which rows are ranked.
+#: Leading bits of the row's hash that form the ranges in which rows are ranked.
 RANGE_BITS = 12
 KEY_BITS = 60
 
@@ -54,7 +55,7 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", key_col: s
     text = text_of(text_col)
     key = md5_bits(F.col(key_col or id_col))
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
-                       F.crc32(text).alias("text_crc32"), key.alias("_key"), md5_bits(F.col(id_col)).alias("_order"))
+                       F.crc32(text).alias("text_crc32"), key.alias("_key"), md5_bits(F.col(id_col), F.md5(text)).alias("_order"))
     rows = store(rows.select("*", shard_of(F.col("_key"), shards).alias("shard"),
                              shard_of(F.col("_key"), shards + 1).alias("grown_shard"),
                              F.shiftright("_order", KEY_BITS - RANGE_BITS).cast("int").alias("_range")), "sharded")

@@ -170,6 +170,18 @@ def test_reshared_excess_reaches_no_cap(spark):
     assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in got) == brute_mix(rows)[0]
 
 
+def test_rows_that_share_an_id_are_split_at_the_budget(spark):
+    """A source of null ids, and one of a single id, miss the target by less than a row."""
+    rows = [(None if s == "a" else 7, words(20, i), "en", s, 0, *EXTRA) for s in "ab" for i in range(300)]
+    table = spark.createDataFrame(rows, DOC).repartition(3)
+    taken, targets = Counter(), {}
+    for r in rows_of(mixing.mix(table, weights=(1,), share=0.37)):
+        taken[r["source"]] += r["taken"]
+        targets[r["source"]] = r["target"]
+    assert targets.keys() == {"a", "b"} and all(abs(taken[s] - t) <= 10 for s, t in targets.items())
+    assert mixing.mixed_rows(table, weights=(1,), share=0.37).count() == sum(taken.values()) / 20
+
+
 # --- sharding ----------------------------------------------------------------------------------------
 
 def scalar_jump(key, n):
@@ -211,6 +223,15 @@ def test_hot_key_stays_together(odd):
     assert len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(len(got)))
 
 
+def test_rows_that_share_an_id_are_ranked_by_text(spark):
+    rows = [(None, words(5, i), "en", "a", 0, *EXTRA) for i in range(300)]
+    got = rows_of(sharding.assign(spark.createDataFrame(rows, DOC).repartition(3), 16))
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    order = sorted((r[1] for r in rows), key=lambda t: md5("~:" + md5(t))[:15])
+    assert len({r["shard"] for r in got}) == 1
+    assert [r["text_crc32"] for r in sorted(got, key=lambda r: r["slot"])] == [zlib.crc32(t.encode()) for t in order]
+
+
 # --- packing -----------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
