@@ -61,3 +61,9 @@ def repeated_keys(rows: DataFrame, key: str, name: str, most: int = BROADCAST_RO
     """Keys that several rows have, counted with map-side combine, stored, and hinted if they are few."""
     found = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key)
     return small(store(found, name), most)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove an intermediate table of the shared folder that no later step reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
