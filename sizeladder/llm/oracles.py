@@ -67,3 +67,32 @@ ORACLES["op10_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Full Lloyd rounds, each a step of the query; `width` is that of a part."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (SELECT v.rid, v.p, b.e, CAST(sum((x - c) * (x - c)) AS BIGINT) AS dist
+  FROM v JOIN b{r} b ON v.p = b.p AND v.k = b.k GROUP BY v.rid, v.p, b.e),
+a{r} AS MATERIALIZED (SELECT rid, p, e, dist FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid, p ORDER BY dist, e) = 1),
+s{r} AS (SELECT a.p, a.e, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} a JOIN v ON a.rid = v.rid AND a.p = v.p GROUP BY a.p, a.e, k),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.k, CASE WHEN s IS NULL THEN c ELSE (s - ((s % n) + n) % n) // n END AS c
+  FROM b{r} b LEFT JOIN s{r} s ON b.p = s.p AND b.e = s.e AND b.k = s.k)""")
+    return f"""
+WITH flat AS (SELECT vec_id, label, embedding, unnest(embedding) AS c FROM embeddings WHERE embedding IS NOT NULL),
+bad AS (SELECT DISTINCT vec_id, embedding FROM flat WHERE c IS NULL OR NOT isfinite(c)),
+kept AS MATERIALIZED (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid FROM embeddings t
+  WHERE embedding IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.vec_id IS NOT DISTINCT FROM t.vec_id
+                                              AND bad.embedding IS NOT DISTINCT FROM t.embedding)),
+cells AS (SELECT rid, unnest(range(len(embedding))) AS i, unnest(embedding) AS c, len(embedding) // {parts} AS width FROM kept),
+v AS MATERIALIZED (SELECT rid, i // width AS p, i % width AS k, CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT) AS x FROM cells),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, k, x AS c FROM v WHERE rid <= {entries}),{",".join(steps)},
+coded AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, k)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (rid)"""
+
+
+ORACLES["op13_vector_codes"] = codes_sql()
