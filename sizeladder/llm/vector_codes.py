@@ -86,11 +86,14 @@ def assign(x: np.ndarray, entries: list[list[int]], moved: list[bool] | None, co
         return code, distance
     again = np.asarray(moved)[code]
     if again.any():
-        code[again], distance[again] = assign(x[again], entries, None, None, None)
+        code[again], d = assign(x[again], entries, None, None, None)
+        distance = distance.astype(np.promote_types(distance.dtype, d.dtype))  # to Python integers where one needs them
+        distance[again] = d
     rest = np.nonzero(~again)[0]
     if len(rest):
         near, d = assign(x[rest], [entries[e] for e in active], None, None, None)
         near = active[near]
+        distance = distance.astype(np.promote_types(distance.dtype, d.dtype))
         closer = (d < distance[rest]) | ((d == distance[rest]) & (near < code[rest]))
         closer = closer.astype(bool)
         code[rest[closer]], distance[rest[closer]] = near[closer], d[closer]
