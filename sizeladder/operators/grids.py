@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_DEPTH = 30  # limit of the tree learner
-
-
 def feasible_grid(grid: dict, width: int) -> dict:
     """A grid with values that cannot be reached replaced by the largest that can, each once.
 
-    There are at most `width` components or selected features, and trees of at most MAX_DEPTH levels. Scores
-    carry the values that were used.
+    There are at most `width` components or selected features. Scores carry the values that were used.
     """
-    limits = {"pca__n_components": width, "rfe__n_features_to_select": width, "max_depth": MAX_DEPTH}
+    limits = {"pca__n_components": width, "rfe__n_features_to_select": width}
     return {k: sorted({min(v, limits[k]) for v in values}) if k in limits else values for k, values in grid.items()}
 
 

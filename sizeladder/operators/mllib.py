@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import DRAW_BITS, draw_key
 from ..session import scratch_path
-from .grids import MAX_DEPTH, grid_points
+from .grids import grid_points
 from .metrics import classification_metrics, regression_metrics
 from .scaling import scale_features, scale_targets, unscale_predictions
 
+MAX_DEPTH = 30  # of Spark's tree learner; deeper trees of large cells stop there
 RANDOM_FEATURES = 256  # size of a kernel's feature map, unless the grid names `random_features`
 BOOSTING_TOLERANCE = 1e-4  # relative gain on the held-back rows below which boosting stops
 

@@ -12,8 +12,12 @@ from ..operators.grids import grid_points
 from ..operators.baselines import majority_class, mean_target
 from ..operators.linear import fit_linear, score_linear
 from ..operators.metrics import classification_metrics, regression_metrics
-from ..operators.mllib import ESTIMATORS, sweep_mllib
 from ..operators.rfe import eliminate
+from ..operators.kernels import MODELS as MACHINES
+from ..operators.kernels import sweep_svm
+from ..operators.logistic import sweep_logistic
+from ..operators.trees import MODELS as TREES
+from ..operators.trees import sweep_trees
 
 
 @dataclass(frozen=True)
@@ -54,8 +58,8 @@ def _linear(kind: str, classifier: bool):
     return sweep
 
 
-def _mllib(name: str):
-    return lambda long, cell, grid: sweep_mllib(long, name, grid, cell)
+def _cells(sweep, name: str):
+    return lambda long, cell, grid: sweep(long, name, grid, cell)
 
 
 MODELS: dict[str, Model] = {}
@@ -72,5 +76,8 @@ register("ols-reg", True, _linear("ols", False))
 for _kind in ("ridge", "pca-ridge", "rfe-ridge"):
     register(f"{_kind}-cls", False, _linear(_kind, True))
     register(f"{_kind}-reg", True, _linear(_kind, False))
-for _name, (_classifier, _, _) in ESTIMATORS.items():
-    register(_name, not _classifier, _mllib(_name))
+for _name, (_classifier, _) in TREES.items():
+    register(_name, not _classifier, _cells(sweep_trees, _name))
+for _name, (_classifier, _) in MACHINES.items():
+    register(_name, not _classifier, _cells(sweep_svm, _name))
+register("logistic-regression-cls", False, _cells(sweep_logistic, "logistic-regression-cls"))

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from ..operators import curves
 from ..operators.baselines import majority_class, mean_target
+from ..operators.cells import parameters
 from ..operators.confounds import regress_out
+from ..operators.grids import grid_points
+from ..operators.kernels import dual_tables
+from ..operators.logistic import weight_tables
 from ..operators.prepare import with_mask
+from ..operators.scaling import scale_features, target_statistics
 from ..operators.select import select_best
 from ..operators.splits import make_sizes, make_splits
 from ..plans.grids import GRIDS
 from ..operators.metrics import regression_metrics
 from ..plans.models import MODELS, register
-from ..plans.sweep import gather, learning_curve, sweep
+from ..plans.sweep import gather, learning_curve, split_rows, sweep
+from .model_sql import boosting_sql, forest_sql, logistic_sql, optimal_sql
 from .aggregates import BOOTSTRAP, FITTED, REPEATS, RESAMPLED, power_law_sql
 from .base import (ORACLES, CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, SEEDS_SQL, SIZES_SQL, VECTOR_LONG,
                    best_rows, order_long, order_rows, order_samples, points, query, rounded, stored, vector_long)
@@ -185,25 +193,14 @@ def against_baseline(long, scores, target):
         "n", "seed", "grid_index", "n_train", "n_val", "n_test", rounded(F.col("_base")).alias("baseline"), (got >= least).alias("reached"))
 
 
-BOOST = {"n_estimators": [50], "learning_rate": [0.1], "max_depth": [3], "subsample": [1.0]}
 MINIMAL = GRIDS["minimal"]
 # (query, model, target, grid, points of the grid after values beyond the number of features are joined)
 MODEL_QUERIES = [
     ("m05_ridge_classifier_ten_classes", "ridge-cls", "ten", GRIDS["default"]["ridge-cls"], 11),
-    ("m06_logistic_regression", "logistic-regression-cls", "ten", {}, 1),
-    ("m07_random_forest_classifier", "random-forest-cls", "ten", MINIMAL["random-forest-cls"], 1),
-    ("m08_random_forest_regressor", "random-forest-reg", "reg", MINIMAL["random-forest-reg"], 1),
-    ("m09_boosting_classifier", "xgb-cls", "two", BOOST, 1),
-    ("m10_boosting_regressor", "xgb-reg", "reg", BOOST, 1),
     ("m11_pca_ridge_classifier", "pca-ridge-cls", "ten", GRIDS["default"]["pca-ridge-cls"], 44),
     ("m12_pca_ridge_regressor", "pca-ridge-reg", "reg", {"pca__n_components": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
     ("m13_rfe_ridge_classifier", "rfe-ridge-cls", "two", {"rfe__n_features_to_select": [1, 2], "ridge__alpha": [0.1, 1]}, 4),
     ("m14_rfe_ridge_regressor", "rfe-ridge-reg", "reg", {"rfe__n_features_to_select": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
-    ("m15_rbf_svm_classifier", "rbf-kernel-svm-cls", "odd", MINIMAL["rbf-kernel-svm-cls"], 2),
-    ("m16_rbf_svm_regressor", "rbf-kernel-svm-reg", "robust", MINIMAL["rbf-kernel-svm-reg"], 2),
-    ("m17_poly_svm_classifier", "poly-kernel-svm-cls", "two", MINIMAL["poly-kernel-svm-cls"], 2),
-    ("m18_poly_svm_regressor", "poly-kernel-svm-reg", "robust", MINIMAL["poly-kernel-svm-reg"], 2),
-    ("m18_poly_svm_sketch", "poly-kernel-svm-cls", "odd", {"C": [100.0], "degree": [3]}, 1),
 ]
 
 
@@ -218,6 +215,161 @@ for _args in MODEL_QUERIES:
     _register(*_args)
 
 
+# --- trees: the SQL grows them itself -------------------------------------------------------------------------
+
+FOREST_GRID = {"n_estimators": [5], "max_depth": [2, 4], "max_features": [1.0]}
+BOOST_GRID = {"n_estimators": [18], "learning_rate": [0.1, 0.8], "max_depth": [2], "max_features": [1.0], "subsample": [1.0]}
+
+
+def tree_long(spark, sf, classifier):
+    """All sizes and seeds of the orders: whether an order has more than four lines, or what it is worth."""
+    samples = order_samples(spark, sf, ("qty", "c_size", "c_price"))
+    if classifier:
+        samples = _labelled(spark, sf, ("qty", "c_size", "c_price"))
+    else:
+        samples = samples.withColumn("y", F.round("y", 4))
+    samples = stored(samples.withColumn("x", F.array(F.col("x")[0], F.col("x")[1], F.round(F.col("x")[2], 4))))
+    splits, _ = make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)
+    return stored(gather(samples, splits, RUN, rows=split_rows(ORDER_SIZES, ORDER_SEEDS)))
+
+
+TREE_TARGETS = {True: "lines > 4", False: "round(y, 4)"}
+TREE_QUERIES = [
+    ("m07_random_forest_classifier", "random-forest-cls", True, FOREST_GRID, forest_sql(TREE_TARGETS[True], True, [2, 4], 5)),
+    ("m08_random_forest_regressor", "random-forest-reg", False, FOREST_GRID, forest_sql(TREE_TARGETS[False], False, [2, 4], 5)),
+    ("m09_boosting_classifier", "xgb-cls", True, BOOST_GRID, boosting_sql(TREE_TARGETS[True], True, [0.1, 0.8], 2, 18)),
+    ("m10_boosting_regressor", "xgb-reg", False, BOOST_GRID, boosting_sql(TREE_TARGETS[False], False, [0.1, 0.8], 2, 18)),
+    ("m08_random_forest_default_grid", "random-forest-reg", False, GRIDS["default"]["random-forest-reg"], None),
+    ("m09_boosting_default_grid", "xgb-cls", True, GRIDS["default"]["xgb-cls"], None),
+    ("m10_boosting_default_grid", "xgb-reg", False, GRIDS["default"]["xgb-reg"], None),
+]
+
+
+def _all_scores(scores, classifier):
+    columns = [("acc", 6), ("f1", 6)] if classifier else [("r2", 6), ("mae", 2)]
+    return scores.select("n", F.col("s").alias("seed"), "grid_index",
+                         *[rounded(F.col(f"{m}_{k}"), d).alias(f"{m}_{k}") for m, d in columns for k in SETS])
+
+
+def _register_tree(name, model, classifier, grid, sql):
+    @query(name, sql)
+    def run(spark, sf):
+        return _all_scores(sweep(tree_long(spark, sf, classifier), model, grid, RUN), classifier)
+
+
+for _args in TREE_QUERIES:
+    _register_tree(*_args)
+
+
+# --- models without a closed form: optimality of what they return ---------------------------------------------------
+
+def two_class_long(spark, sf):
+    """Orders of more than four lines, from two inputs, at all sizes and seeds."""
+    samples = stored(_labelled(spark, sf, ("qty", "c_price")))
+    splits, _ = make_splits(samples, ORDER_SIZES, ORDER_SEEDS, RUN)
+    return stored(gather(samples, splits, RUN, rows=split_rows(ORDER_SIZES, ORDER_SEEDS)))
+
+
+@query("m06_logistic_regression", logistic_sql("lines > 4", ("qty", "c_price"), 14))
+def logistic(spark, sf):
+    long = two_class_long(spark, sf)
+    weights = weight_tables(long, {}, CELL).select(
+        "n", "seed", rounded(F.col("intercept"), 5).alias("intercept"), rounded(F.col("coef")[0], 5).alias("w_1"),
+        rounded(F.col("coef")[1], 5).alias("w_2"))
+    return _all_scores(sweep(long, "logistic-regression-cls", {}, RUN), True).drop("grid_index").join(weights, ["n", "seed"])
+
+
+def scaled_train(long, regression=False):
+    """Training rows of every cell on the scale that models see."""
+    rows = scale_features(long, CELL).where("set = 'train'")
+    return rows.join(F.broadcast(target_statistics(long.where("set = 'train'"), CELL)), CELL).withColumn(  # one row per cell
+        "y", (F.col("y") - F.col("y_mean")) / F.col("y_sd")).drop("y_mean", "y_sd") if regression else rows
+
+
+@query("m06_logistic_ten_classes", optimal_sql(VECTOR_LONG, 1))
+def logistic_ten(spark, sf):
+    """All 64 inputs: the gradient at the weights, worked out anew from the rows, vanishes."""
+    long = vector_long(spark, sf)
+    weights = stored(weight_tables(long, {}, CELL))
+    per_cell = F.broadcast(weights.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("output", "coef", "intercept"))).alias("w")))  # one row per cell
+    train = long.where("set = 'train'")
+    classes = F.broadcast(train.groupBy(*CELL).agg(F.array_sort(F.collect_set("y")).alias("classes")))
+    z = F.transform("w", lambda o: o["intercept"] + F.aggregate(F.zip_with(o["coef"], "x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    rows = scaled_train(long).join(per_cell, CELL).join(classes, CELL).withColumn("z", z).withColumn(
+        "e", F.transform("z", lambda v: F.exp(v - F.array_max("z")))).withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
+    off = F.transform("e", lambda v, k: v / F.col("total") - F.when(F.get("classes", k) == F.col("y"), 1.0).otherwise(0.0))
+    parts = F.flatten(F.transform(off, lambda v: F.concat(F.array(v), F.transform("x", lambda c: v * c))))
+    best = (F.array_position("z", F.array_max("z")) - 1).cast("int")
+    sums = rows.groupBy(*CELL).agg(Summarizer.sum(array_to_vector(parts)).alias("g"), F.count(F.lit(1)).alias("n_train"), F.first("w").alias("w"),
+                                   F.avg((F.get("classes", best) == F.col("y")).cast("double")).alias("acc"))
+    ridge = F.flatten(F.transform("w", lambda o: F.concat(F.array(F.lit(0.0)), o["coef"])))
+    worst = F.array_max(F.transform(F.zip_with(vector_to_array("g"), ridge, lambda a, b: a + b), lambda v: F.abs(v)))
+    balance = F.aggregate(F.transform("w", lambda o: o["coef"][0]), F.lit(0.0), lambda s, v: s + v)  # weights of a penalised multinomial add up to 0
+    scores = sweep(long, "logistic-regression-cls", {}, RUN)
+    return sums.join(scores.withColumn("seed", F.col("s")), CELL).select(
+        "n", "seed", F.lit(0).alias("grid_index"), "n_train", (F.abs(rounded(worst, 4)) + 0.0).alias("violation"),
+        F.abs(rounded(balance, 4)).alias("imbalance"), (F.abs(F.col("acc") - F.col("acc_train")) < 1e-9).alias("agrees"))
+
+
+def machine_conditions(long, name, grid):
+    """Optimality of two-class or regression machines, from their support vectors and the kernel written as expressions."""
+    classifier = name.endswith("cls")
+    duals = stored(dual_tables(long, name, grid, CELL))
+    points = F.broadcast(parameters(long, grid_points(grid)))  # one row per grid point
+    train = stored(scaled_train(long, not classifier))
+    support = duals.join(train.select(*CELL, "sample_id", F.col("x").alias("z")), [*CELL, "sample_id"]).join(points, "grid_index")
+    dot = F.aggregate(F.zip_with("x", "z", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    gap = F.aggregate(F.zip_with("x", "z", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    k = F.exp(-F.col("params")["gamma"] * gap) if name.startswith("rbf") else F.pow(dot / F.size("x"), F.col("params")["degree"])
+    values = (train.join(support.drop("sample_id"), CELL).groupBy(*CELL, "grid_index", "sample_id", "y")
+              .agg((F.sum(F.col("coef") * k) + F.first("bias")).alias("f"), F.first(F.col("params")["C"]).alias("c")))
+    own = values.join(duals.select(*CELL, "grid_index", "sample_id", "coef"), [*CELL, "grid_index", "sample_id"], "left").fillna({"coef": 0.0})
+    low = F.broadcast(train.groupBy(*CELL).agg(F.min("y").alias("low")))  # one row per cell
+    own = own.join(low, CELL)
+    f, a = F.col("f"), F.abs(F.col("coef"))
+    at_limit = a >= F.col("c") * (1 - 1e-12)
+    if classifier:
+        m = F.when(F.col("y") == F.col("low"), f).otherwise(-f)
+        off = F.when(a == 0, 1 - m).when(at_limit, m - 1).otherwise(F.abs(m - 1))
+        score = F.avg(F.when(F.col("y") == F.col("low"), f > 0).otherwise(f <= 0).cast("double"))
+    else:
+        r = F.col("y") - f
+        signed = r * F.signum("coef")
+        off = F.when(a == 0, F.abs(r) - 0.1).when(at_limit, 0.1 - signed).otherwise(F.abs(signed - 0.1))
+        score = 1 - F.sum(r * r) / F.count(F.lit(1))  # targets have variance 1
+    per = own.groupBy(*CELL, "grid_index").agg(
+        F.count(F.lit(1)).alias("n_train"), F.greatest(F.max(off), F.max(a - F.col("c")), F.lit(0.0)).alias("violation"),
+        F.abs(F.sum("coef")).alias("imbalance"), score.alias("own"))
+    metric = "acc_train" if classifier else "r2_train"
+    scores = sweep(long, name, grid, RUN).withColumn("seed", F.col("s"))
+    return per.join(scores, [*CELL, "grid_index"]).select(
+        "n", "seed", "grid_index", "n_train", rounded(F.col("violation"), 2).alias("violation"), rounded(F.col("imbalance"), 4).alias("imbalance"),
+        (F.abs(F.col("own") - F.col(metric)) < 1e-6).alias("agrees"))
+
+
+def odd_vectors(spark, sf):
+    return vector_long(spark, sf).withColumn("y", F.col("y") % 2)
+
+
+MACHINE_QUERIES = [
+    ("m15_rbf_svm_classifier", "rbf-kernel-svm-cls", lambda spark, sf: tree_long(spark, sf, True), MINIMAL["rbf-kernel-svm-cls"], ORDER_LONG, 2),
+    ("m16_rbf_svm_regressor", "rbf-kernel-svm-reg", lambda spark, sf: tree_long(spark, sf, False), MINIMAL["rbf-kernel-svm-reg"], ORDER_LONG, 2),
+    ("m17_poly_svm_classifier", "poly-kernel-svm-cls", lambda spark, sf: tree_long(spark, sf, True), MINIMAL["poly-kernel-svm-cls"], ORDER_LONG, 2),
+    ("m18_poly_svm_regressor", "poly-kernel-svm-reg", lambda spark, sf: tree_long(spark, sf, False), MINIMAL["poly-kernel-svm-reg"], ORDER_LONG, 2),
+    ("m18_poly_svm_sketch", "poly-kernel-svm-cls", odd_vectors, {"C": [1.0], "degree": [5]}, VECTOR_LONG, 1),
+]
+
+
+def _register_machine(query_name, name, long, grid, sql, points):
+    @query(query_name, optimal_sql(sql, points))
+    def run(spark, sf):
+        return machine_conditions(long(spark, sf), name, grid)
+
+
+for _args in MACHINE_QUERIES:
+    _register_machine(*_args)
+
+
 @query("f01_model_registry", "WITH " + ORDER_LONG + """,
 top AS (SELECT n, seed, max(y) AS yhat FROM long WHERE "set" = 'train' GROUP BY n, seed)
 SELECT n, seed, round(avg(abs(y - yhat)) FILTER ("set" = 'test'), 3) AS mae_test FROM long JOIN top USING (n, seed) GROUP BY n, seed""")
