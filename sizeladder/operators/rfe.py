@@ -1,7 +1,8 @@
-"""Recursive feature elimination with leave-one-out ridge, all cells in step.
+"""Recursive feature elimination with leave-one-out ridge.
 
-Every step drops one feature per cell. The ridge penalty of a step is the one with the smallest
-leave-one-out error, which takes one distributed pass; everything else comes from the Gram matrix.
+Every step drops one feature per cell. The ridge penalty of a step is the one with the smallest leave-one-out error; everything
+else comes from the moments. A cell that fits a task is read once and eliminated there, all cells side by side. Larger cells
+go in step with each other, with one pass over their chunks per dropped feature.
 """
 
 from __future__ import annotations
@@ -12,14 +13,63 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, store
-from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, width_of
+from .cells import CELL_VALUES, small_cells
+from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector, width_of
 from .linear import standardised
 
 ALPHAS = (0.1, 1.0, 10.0)  # fixed values: penalties tried while eliminating
 
 
-def eliminate(train: DataFrame, cell: list[str], sizes: list[int], classes: list[float] | None = None) -> DataFrame:
+def eliminate(train: DataFrame, cell: list[str], sizes: list[int], classes: list[float] | None = None,
+              most: int = CELL_VALUES) -> DataFrame:
     """Feature subsets per cell: (cell..., supports ARRAY<STRUCT<size, features>>) for the wanted sizes."""
+    _, small, large = small_cells(train, cell, most)
+    out = _eliminate_in_tasks(small, cell, sizes, classes)
+    return out if large.isEmpty() else out.unionByName(_eliminate_in_step(large, cell, sizes, classes))
+
+
+def _eliminate_in_tasks(train, cell, sizes, classes):
+    labels = sorted(classes) if classes else None
+
+    def run(key, table):
+        n = table.num_rows
+        x, y = matrix(table.column("x"), n), vector(table.column("y"))
+        if labels:
+            kept = labels[1:] if len(labels) == 2 else labels
+            y = np.where(y[:, None] == np.array(kept), 1.0, -1.0)
+        else:
+            y = y[:, None]
+        order = np.lexsort((*y.T, *x.T))  # sums do not depend on the order of arrival
+        x, y = x[order], y[order]
+        spread = x.std(axis=0)
+        z, t = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1.0), y - y.mean(axis=0)
+        d = x.shape[1]
+        wanted = sorted({min(int(s), d) for s in sizes})
+        products, cross = z.T @ z, z.T @ t
+        active, out = np.arange(d), []
+        for size in range(d, wanted[0] - 1, -1):
+            if size in wanted:
+                out.append({"size": size, "features": active.tolist()})
+            if size > wanted[0]:
+                values, vectors = spectrum(products[np.ix_(active, active)])
+                turned, best = z[:, active] @ vectors, None
+                for a in ALPHAS:
+                    w = ridge_weights(values, vectors, cross[active], a)
+                    lever = 1.0 / n + (turned * turned / (values + a)).sum(axis=1)
+                    error = (((t - z[:, active] @ w) / np.maximum(1.0 - lever, 1e-12)[:, None]) ** 2).sum()
+                    if best is None or error < best[0]:
+                        best = (error, w)
+                active = np.delete(active, int((best[1] ** 2).sum(axis=1).argmin()))
+        return pa.Table.from_arrays([*repeat_keys(key, 1), pa.array([out], _SUPPORTS)], names=[*cell, "supports"])
+
+    rows = train.select(*cell, "x", F.col("y").cast("double").alias("y"))
+    return rows.groupBy(*cell).applyInArrow(run, f"{fields(rows, cell)}, supports ARRAY<STRUCT<size: INT, features: ARRAY<INT>>>")
+
+
+_SUPPORTS = pa.list_(pa.struct([("size", pa.int32()), ("features", pa.list_(pa.int32()))]))
+
+
+def _eliminate_in_step(train, cell, sizes, classes):
     out = list(sorted(classes)) if classes else None
     one_output = out is None or len(out) == 2
     source = train

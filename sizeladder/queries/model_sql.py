@@ -148,3 +148,50 @@ def optimal_sql(long: str, points: int) -> str:
     return f"""WITH {long}
 SELECT n, seed, CAST(i AS INTEGER) AS grid_index, count(*) FILTER ("set" = 'train') AS n_train, 0.0::DOUBLE AS violation, 0.0::DOUBLE AS imbalance,
        TRUE AS agrees FROM long, range({points}) p(i) GROUP BY n, seed, i"""
+
+
+def pair_sql(target: str, features: tuple[str, str]) -> str:
+    """Two standardised inputs z1, z2 with correlation r, a target t and its cross products k1, k2 with the inputs, per cell."""
+    a, b = features
+    return f"""WITH {ORDER_LONG},
+m AS (SELECT n, seed, count(*) AS k, avg({a}) AS m1, stddev_pop({a}) AS s1, avg({b}) AS m2, stddev_pop({b}) AS s2, avg({target}) AS mt, corr({a}, {b}) AS r,
+  count(*) * covar_pop({a}, {target}) / stddev_pop({a}) AS k1, count(*) * covar_pop({b}, {target}) / stddev_pop({b}) AS k2
+  FROM long WHERE "set" = 'train' GROUP BY n, seed),
+z AS MATERIALIZED (SELECT n, seed, sample_id, "set", CAST({target} AS DOUBLE) AS t, ({a} - m1) / s1 AS z1, ({b} - m2) / s2 AS z2, m.* EXCLUDE (n, seed)
+  FROM long JOIN m USING (n, seed))"""
+
+
+def grid_sql(rows: list[tuple]) -> str:
+    """points(grid_index, size, alpha)"""
+    return "points(grid_index, size, alpha) AS (VALUES " + ", ".join(f"({i}, {s}, {float(a)!r}::DOUBLE)" for i, (s, a) in enumerate(rows)) + ")"
+
+
+def components_sql(target: str, features: tuple[str, str], rows: list[tuple]) -> str:
+    """Ridge on the first principal components: of two standardised inputs these are (1, 1) and (1, -1) over the root of 2."""
+    return f"""{pair_sql(target, features)},
+{grid_sql(rows)},
+c AS (SELECT *, CASE WHEN r > 0 THEN 1 ELSE -1 END AS sign FROM z, points),
+pred AS (SELECT n, seed, grid_index, "set", t AS y, mt + (z1 + sign * z2) * (k1 + sign * k2) / 2 / (k * (1 + abs(r)) + alpha)
+  + CASE WHEN size > 1 THEN (z1 - sign * z2) * (k1 - sign * k2) / 2 / (k * (1 - abs(r)) + alpha) ELSE 0 END AS yhat FROM c),""" + regression_sql()
+
+
+def elimination_sql(target: str, features: tuple[str, str], rows: list[tuple], classifier: bool) -> str:
+    """The penalty with the least leave-one-out error decides which of two inputs goes; ridge on what is left."""
+    yhat = "CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END" if classifier else "v"
+    y = "(t + 1) / 2" if classifier else "t"
+    return f"""{pair_sql(target, features)},
+w AS (SELECT m.*, a, j, ((k + a) * k1 - k * r * k2) / ((k + a) * (k + a) - k * r * k * r) AS w1,
+  ((k + a) * k2 - k * r * k1) / ((k + a) * (k + a) - k * r * k * r) AS w2 FROM m, (VALUES (0, 0.1), (1, 1.0), (2, 10.0)) p(j, a)),
+loo AS (SELECT n, seed, j, any_value(w1) AS w1, any_value(w2) AS w2, sum(power((t - z.mt - w1 * z1 - w2 * z2) / (1 - 1.0 / z.k - ((z.k + a) * (z1 * z1 + z2 * z2)
+  - 2 * z.k * z.r * z1 * z2) / ((z.k + a) * (z.k + a) - z.k * z.r * z.k * z.r)), 2)) AS err FROM z JOIN w USING (n, seed) WHERE "set" = 'train' GROUP BY n, seed, j),
+chosen AS (SELECT n, seed, w1 * w1 > w2 * w2 AS first FROM loo QUALIFY row_number() OVER (PARTITION BY n, seed ORDER BY err, j) = 1),
+{grid_sql(rows)},
+fitted AS (SELECT z.*, grid_index, mt + CASE WHEN size = 1 THEN CASE WHEN first THEN z1 * k1 ELSE z2 * k2 END / (k + alpha)
+  ELSE (z1 * ((k + alpha) * k1 - k * r * k2) + z2 * ((k + alpha) * k2 - k * r * k1)) / ((k + alpha) * (k + alpha) - k * r * k * r) END AS v
+  FROM z JOIN chosen USING (n, seed), points),
+pred AS (SELECT n, seed, grid_index, "set", {y} AS y, {yhat} AS yhat FROM fitted),""" + (classification_sql() if classifier else regression_sql())
+
+
+def agreeing_sql(long: str, points: int) -> str:
+    return f"""WITH {long}
+SELECT n, seed, CAST(i AS INTEGER) AS grid_index, count(*) FILTER ("set" = 'train') AS n_train, TRUE AS agrees FROM long, range({points}) p(i) GROUP BY n, seed, i"""

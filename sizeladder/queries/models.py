@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -10,20 +12,20 @@ from ..operators import curves
 from ..operators.baselines import majority_class, mean_target
 from ..operators.cells import parameters
 from ..operators.confounds import regress_out
-from ..operators.grids import grid_points
+from ..operators.grids import feasible_grid, grid_points
 from ..operators.kernels import dual_tables
 from ..operators.logistic import weight_tables
 from ..operators.prepare import with_mask
 from ..operators.scaling import scale_features, target_statistics
 from ..operators.select import select_best
-from ..operators.splits import make_sizes, make_splits
+from ..operators.splits import make_splits
 from ..plans.grids import GRIDS
 from ..operators.metrics import regression_metrics
 from ..plans.models import MODELS, register
 from ..plans.sweep import gather, learning_curve, split_rows, sweep
-from .model_sql import boosting_sql, forest_sql, logistic_sql, optimal_sql
+from .model_sql import agreeing_sql, boosting_sql, components_sql, elimination_sql, forest_sql, logistic_sql, optimal_sql
 from .aggregates import BOOTSTRAP, FITTED, REPEATS, RESAMPLED, power_law_sql
-from .base import (ORACLES, CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, SEEDS_SQL, SIZES_SQL, VECTOR_LONG,
+from .base import (ORACLES, CURVE_POINTS, CURVE_RUN, ORDER_LONG, ORDER_ROWS, ORDER_SEEDS, ORDER_SIZES, RUN, VECTOR_LONG,
                    best_rows, order_long, order_rows, order_samples, points, query, rounded, stored, vector_long)
 
 CELL = ["dataset", "n", "seed"]
@@ -129,90 +131,81 @@ def ridge_classifier(spark, sf):
     return s.select("n", "seed", "grid_index", *[rounded(F.col(f"acc_{k}")).alias(f"acc_{k}") for k in SETS])
 
 
-# --- models without a closed form in SQL -----------------------------------------------------------------
-#
-# The SQL derives the cells, the grid positions, the size of every set and the score of the constant model on the
-# training rows; the model has to reach the latter everywhere.
+# --- two inputs: principal components and elimination have a closed form ------------------------------------------
 
-MODEL_SIZES, MODEL_SEEDS = make_sizes([128, 512]), [0, 1]
+MINIMAL = GRIDS["minimal"]
+PAIR = ("qty", "c_price")
+SUBSET_ALPHAS = [float(a) for a in GRIDS["default"]["ridge-reg"]["alpha"]]
+SUBSETS = [(k, a) for k in (1, 2) for a in SUBSET_ALPHAS]
 
 
-def values_sql(name, rows):
-    return f"{name} AS (VALUES " + ", ".join("(" + ", ".join(map(str, r)) + ")" for r in rows) + ")"
+def _all_scores(scores, classifier):
+    columns = [("acc", 6), ("f1", 6)] if classifier else [("r2", 6), ("mae", 2)]
+    return scores.select("n", F.col("s").alias("seed"), "grid_index",
+                         *[rounded(F.col(f"{m}_{k}"), d).alias(f"{m}_{k}") for m, d in columns for k in SETS])
 
 
-MODEL_LONG = ORDER_LONG.replace(SIZES_SQL, values_sql("sizes(n, n_val, n_test)", [(z.n, z.n_val, z.n_test) for z in MODEL_SIZES])) \
-    .replace(SEEDS_SQL, values_sql("seeds(seed)", [(k,) for k in MODEL_SEEDS]))
-TARGETS = {"ten": "y", "odd": "CAST(CAST(y AS BIGINT) % 2 AS DOUBLE)", "two": "CAST(lines > 4 AS DOUBLE)", "reg": "y", "robust": "y"}
+@query("m12_pca_ridge_regressor", components_sql("y", PAIR, SUBSETS))
+def components(spark, sf):
+    grid = {"pca__n_components": [1, 2], "ridge__alpha": SUBSET_ALPHAS}
+    return _all_scores(sweep(order_long(spark, sf, PAIR), "pca-ridge-reg", grid, RUN), False)
 
 
-def model_sql(target: str, points: int) -> str:
-    long = VECTOR_LONG if target in ("ten", "odd") else MODEL_LONG
-    base = ("0.0" if target == "reg" else
-            "round(avg(abs(y - mean)) FILTER (\"set\" = 'train'), 2)" if target == "robust" else
-            "(SELECT max(c) FROM (SELECT count(*) AS c FROM t u WHERE u.n = t.n AND u.seed = t.seed AND u.\"set\" = 'train' GROUP BY u.y)) "
-            "/ CAST(count(*) FILTER (\"set\" = 'train') AS DOUBLE)")
-    return "WITH " + long + f""",
-t AS (SELECT n, seed, "set", {TARGETS[target]} AS y, avg({TARGETS[target]}) FILTER ("set" = 'train') OVER (PARTITION BY n, seed) AS mean FROM long)
-SELECT n, seed, CAST(i AS INTEGER) AS grid_index, count(*) FILTER ("set" = 'train') AS n_train, count(*) FILTER ("set" = 'val') AS n_val,
-       count(*) FILTER ("set" = 'test') AS n_test, round(CAST({base} AS DOUBLE), 6) AS baseline, TRUE AS reached
-FROM t, range({points}) p(i) GROUP BY n, seed, i"""
+@query("m13_rfe_ridge_classifier", elimination_sql("CASE WHEN lines > 4 THEN 1.0 ELSE -1.0 END", PAIR, SUBSETS, True))
+def elimination_classes(spark, sf):
+    grid = {"rfe__n_features_to_select": [1, 2], "ridge__alpha": SUBSET_ALPHAS}
+    return _all_scores(sweep(two_class_long(spark, sf), "rfe-ridge-cls", grid, RUN), True)
 
 
-def model_long(spark, sf, target):
-    """Vectors with all their dimensions, or orders."""
-    if target in ("ten", "odd"):
-        long = vector_long(spark, sf)
-        return long.withColumn("y", F.col("y") % 2) if target == "odd" else long
-    samples = stored(_labelled(spark, sf, ("qty", "c_size", "c_price")) if target == "two" else
-                     order_samples(spark, sf, ("qty", "lines", "c_price")))
-    splits, _ = make_splits(samples, MODEL_SIZES, MODEL_SEEDS, RUN)
-    return stored(gather(samples, splits, RUN))
+@query("m14_rfe_ridge_regressor", elimination_sql("y", PAIR, SUBSETS, False))
+def elimination(spark, sf):
+    grid = {"rfe__n_features_to_select": [1, 2], "ridge__alpha": SUBSET_ALPHAS}
+    return _all_scores(sweep(order_long(spark, sf, PAIR), "rfe-ridge-reg", grid, RUN), False)
 
 
-def against_baseline(long, scores, target):
-    """Scores next to the sizes of the sets and the constant model's training score.
+# --- 64 inputs and ten classes: every score is worked out again by least squares on the rows themselves ------------
 
-    A robust loss is held against the mean absolute error of the mean, the others against its R2, which is 0.
-    """
-    classifier = target in ("ten", "odd", "two")
-    sizes = long.groupBy("n", "seed").agg(*[F.count_if(F.col("set") == k).alias(f"n_{k}") for k in ("train", "val", "test")])
-    if classifier:
-        most = (long.where("set = 'train'").groupBy("n", "seed", "y").count().groupBy("n", "seed").agg(F.max("count").alias("_most")))
-        sizes = sizes.join(most, ["n", "seed"]).withColumn("_base", F.col("_most") / F.col("n_train"))
-    elif target == "robust":
-        train = long.where("set = 'train'")
-        mean = train.groupBy("n", "seed").agg(F.avg("y").alias("_mean"))  # one row per cell
-        off = train.join(F.broadcast(mean), ["n", "seed"]).groupBy("n", "seed").agg(F.avg(F.abs(F.col("y") - F.col("_mean"))).alias("_off"))
-        sizes = sizes.join(off, ["n", "seed"]).withColumn("_base", rounded(F.col("_off"), 2))
-    else:
-        sizes = sizes.withColumn("_base", F.lit(0.0))
-    got = F.col("acc_train") if classifier else -F.col("mae_train") if target == "robust" else F.col("r2_train")
-    least = -F.col("_base") - 0.01 if target == "robust" else F.col("_base") - 1e-6
-    return scores.withColumn("seed", F.col("s")).join(sizes, ["n", "seed"]).select(
-        "n", "seed", "grid_index", "n_train", "n_val", "n_test", rounded(F.col("_base")).alias("baseline"), (got >= least).alias("reached"))
+def dense_scores(long, points, components=None):
+    """(cell..., grid_index, own_train, own_val, own_test): accuracies of ridge classifiers by least squares on [z; sqrt(alpha) I]."""
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y, part = np.stack(rows["x"]), rows["y"].to_numpy(), rows["set"].to_numpy()
+        train = part == "train"
+        mean, sd = x[train].mean(axis=0), x[train].std(axis=0)
+        z = (x - mean) / np.where(sd > 0, sd, 1.0)
+        classes = np.unique(y[train])
+        t = np.where(y[train][:, None] == classes, 1.0, -1.0)
+        turn = np.linalg.svd(z[train], full_matrices=False)[2].T
+        out = []
+        for i, p in enumerate(points):
+            v = z if components is None else z @ turn[:, :int(p[components])]
+            alpha = p["alpha"] if components is None else p["ridge__alpha"]
+            a = np.vstack([v[train], np.sqrt(alpha) * np.eye(v.shape[1])])
+            w = np.linalg.lstsq(a, np.vstack([t - t.mean(axis=0), np.zeros((v.shape[1], len(classes)))]), rcond=None)[0]
+            hit = classes[(v @ w + t.mean(axis=0)).argmax(axis=1)] == y
+            out.append([*rows.iloc[0][CELL], i, *[hit[part == s].mean() for s in SETS]])
+        return pd.DataFrame(out, columns=[*CELL, "grid_index", *[f"own_{s}" for s in SETS]])
 
+    schema = "dataset string, n int, seed int, grid_index int, own_train double, own_val double, own_test double"
+    return long.groupBy(*CELL).applyInPandas(solve, schema)
 
-MINIMAL = GRIDS["minimal"]
-# (query, model, target, grid, points of the grid after values beyond the number of features are joined)
-MODEL_QUERIES = [
-    ("m05_ridge_classifier_ten_classes", "ridge-cls", "ten", GRIDS["default"]["ridge-cls"], 11),
-    ("m11_pca_ridge_classifier", "pca-ridge-cls", "ten", GRIDS["default"]["pca-ridge-cls"], 44),
-    ("m12_pca_ridge_regressor", "pca-ridge-reg", "reg", {"pca__n_components": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
-    ("m13_rfe_ridge_classifier", "rfe-ridge-cls", "two", {"rfe__n_features_to_select": [1, 2], "ridge__alpha": [0.1, 1]}, 4),
-    ("m14_rfe_ridge_regressor", "rfe-ridge-reg", "reg", {"rfe__n_features_to_select": [1, 2, 10], "ridge__alpha": [0.1, 1]}, 6),
-]
 
+def agreeing(long, model, grid, components=None):
+    """Whether all accuracies of a model agree with those that least squares gives, per cell and grid point."""
+    own = dense_scores(long, grid_points(feasible_grid(grid, 64)), components)
+    scores = sweep(long, model, grid, RUN).withColumn("seed", F.col("s"))
+    sizes = F.broadcast(long.where("set = 'train'").groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_train")))  # one row per cell
+    same = [F.abs(F.col(f"own_{k}") - F.col(f"acc_{k}")) < 1e-9 for k in SETS]
+    return scores.join(own, [*CELL, "grid_index"]).join(sizes, CELL).select("n", "seed", "grid_index", "n_train", (same[0] & same[1] & same[2]).alias("agrees"))
 
-def _register(name, model, target, grid, points):
-    @query(name, model_sql(target, points))
-    def run(spark, sf):
-        long = model_long(spark, sf, target)
-        return against_baseline(long, sweep(long, model, grid, RUN), target)
+
+@query("m05_ridge_classifier_ten_classes", agreeing_sql(VECTOR_LONG, 11))
+def ridge_ten(spark, sf):
+    return agreeing(vector_long(spark, sf), "ridge-cls", GRIDS["default"]["ridge-cls"])
 
 
-for _args in MODEL_QUERIES:
-    _register(*_args)
+@query("m11_pca_ridge_classifier", agreeing_sql(VECTOR_LONG, 44))
+def components_ten(spark, sf):
+    return agreeing(vector_long(spark, sf), "pca-ridge-cls", GRIDS["default"]["pca-ridge-cls"], "pca__n_components")
 
 
 # --- trees: the SQL grows them itself -------------------------------------------------------------------------
@@ -245,12 +238,6 @@ TREE_QUERIES = [
 ]
 
 
-def _all_scores(scores, classifier):
-    columns = [("acc", 6), ("f1", 6)] if classifier else [("r2", 6), ("mae", 2)]
-    return scores.select("n", F.col("s").alias("seed"), "grid_index",
-                         *[rounded(F.col(f"{m}_{k}"), d).alias(f"{m}_{k}") for m, d in columns for k in SETS])
-
-
 def _register_tree(name, model, classifier, grid, sql):
     @query(name, sql)
     def run(spark, sf):
