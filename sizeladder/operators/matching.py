@@ -1,22 +1,28 @@
 """Covariate-matched splits: every minority case gets its nearest unused majority control.
 
-Serving cases one after the other, each taking its nearest free control, needs at most the p + 1
-nearest controls for the case in place p. So only short candidate lists are ever built:
+Serving cases one after the other, each taking its nearest free control, needs at most the p + 1 nearest controls for the
+case in place p. So only short candidate lists are ever built, by a nearest-neighbour join:
 
-1. cases (bounded by the configured sample sizes) are broadcast in blocks of checked size, and each
-   task scans its share of the pool with a running top-k per case;
-2. the lists of all tasks are merged to one top-k per case;
-3. each cell's lists are resolved in priority order. A case whose list is used up stops the cell
-   there; it and all later cases go into the next pass with longer lists. Cases before it are final.
+1. standardised covariates are cut into grids whose cells halve in width from level to level, and one scan of the pool counts
+   its rows per finest cell, which gives the counts of all levels;
+2. every case looks at the finest of its own cells that holds k rows or more, and so gets k controls and a radius;
+3. at the level whose cells are as wide as that radius, it looks at the at most three cells per covariate within its reach.
+   The k nearest of these are exact.
 
-The pool is never shuffled and no list is cut short without a later pass that completes it.
+Cases and their cells are a table, sent to the pool while it has at most PROBE_ROWS rows and joined by shuffle beyond that,
+with crowded cells split by a salt. The pool is cut to the cells that are looked at before anything of it moves, and each task
+keeps the k best of what it finds per case. Of controls with the same covariates only the k first can be in a list; the others
+are left out before.
+
+Lists are resolved per split in priority order, in blocks of at most LIST_ENTRIES entries. A case whose list is used up stops the split
+there; it and all later cases go into the next pass with longer lists. Cases before it are final. No list is cut short without
+a later pass that completes it.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw_key
@@ -25,8 +31,11 @@ from ..session import materialise, store
 from .ranking import rank_by_draw
 from .splits import Size, _size_array, drawn_samples, split_status, task_kind, undersample
 
-CASE_BLOCK_VALUES = 2_000_000   # doubles of case coordinates broadcast at once (16 MB)
+PROBE_ROWS = 1_000_000   # (case, cell) rows sent to every task
+SALT_ROWS = 200_000      # pool rows of a cell that one task joins
+DIRECT_PAIRS = 2_000_000  # pairs of cases and controls below which cells are not worth their jobs
 LIST_ENTRIES = 2_000_000        # candidate entries resolved in one group
+GRID_COVARIATES, FINEST = 3, 20  # covariates that make up cells, and most halvings of the range
 
 
 def inverse_spread(samples: DataFrame, run: list[str]) -> DataFrame:
@@ -42,84 +51,118 @@ def inverse_spread(samples: DataFrame, run: list[str]) -> DataFrame:
                                            lambda s: s["w"]).alias("weights")))
 
 
-def _nearest_in_task(case_ids, case_groups, case_x, weights, k, schema):
-    """Arrow-batch scanner that keeps the k nearest pool rows of every case seen by one task."""
-    order = np.argsort(case_x[:, 0], kind="stable")
-    case_ids, case_groups, case_x = case_ids[order], case_groups[order], case_x[order]
-
-    def scan(batches):
-        m = len(case_ids)
-        best_d = np.full((m, k), np.inf)
-        best_t = np.zeros((m, k), dtype=np.int64)
-        best_i = np.full((m, k), -1, dtype=np.int64)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("sample_id").to_numpy()
-            groups = batch.column("grp").to_numpy()
-            tie = batch.column("tie").to_numpy()
-            coords = batch.column("c").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            by_first = np.argsort(coords[:, 0], kind="stable")
-            ids, groups, tie, coords = ids[by_first], groups[by_first], tie[by_first], coords[by_first]
-            for lo in range(0, m, 128):
-                hi = min(m, lo + 128)
-                reach = np.sqrt(best_d[lo:hi, -1].max() / weights[0]) * (1 + 1e-9)
-                a = np.searchsorted(coords[:, 0], case_x[lo, 0] - reach, "left")
-                b = np.searchsorted(coords[:, 0], case_x[hi - 1, 0] + reach, "right")
-                for s in range(a, b, 8192):
-                    e = min(b, s + 8192)
-                    diff = case_x[lo:hi, None, :] - coords[None, s:e, :]
-                    dist = (diff * diff * weights).sum(axis=2)
-                    dist[case_groups[lo:hi, None] != groups[None, s:e]] = np.inf
-                    for r in np.nonzero((dist <= best_d[lo:hi, -1:]).any(axis=1))[0]:
-                        near = np.nonzero((dist[r] <= best_d[lo + r, -1]) & np.isfinite(dist[r]))[0]
-                        if not len(near):
-                            continue
-                        if len(near) > 4 * k:  # keep all ties of the k-th value
-                            near = near[dist[r][near] <= np.partition(dist[r][near], k - 1)[k - 1]]
-                        d = np.concatenate([best_d[lo + r], dist[r][near]])
-                        t = np.concatenate([best_t[lo + r], tie[s:e][near]])
-                        i = np.concatenate([best_i[lo + r], ids[s:e][near]])
-                        top = np.lexsort((i, t, d))[:k]
-                        best_d[lo + r], best_t[lo + r], best_i[lo + r] = d[top], t[top], i[top]
-        rows, cols = np.nonzero(best_i >= 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(case_groups[rows]), pa.array(case_ids[rows]), pa.array(best_i[rows, cols]),
-             pa.array(best_d[rows, cols]), pa.array(best_t[rows, cols])],
-            names=schema)
-
-    return scan
+def _distance(weights: list[float]) -> Column:
+    """Squared distance between `c` and `pc` in standardised units."""
+    out = F.lit(0.0)
+    for i, w in enumerate(weights):
+        gap = F.col("c")[i] - F.col("pc")[i]
+        out = out + gap * gap * F.lit(float(w))
+    return out
+
+
+def _cell(indices: list[Column], halvings: Column) -> Column:
+    """Number of the cell at a level that is `halvings` coarser than the indices, as one bigint."""
+    out = F.lit(0).cast("bigint")
+    for i in indices:
+        out = F.shiftleft(out, FINEST) + F.floor(i / F.pow(F.lit(2.0), halvings)).cast("bigint")
+    return out
+
+
+def _crossed(cells: Column, steps: Column) -> Column:
+    """All cells with another index behind theirs."""
+    return F.flatten(F.transform(cells, lambda o: F.transform(steps, lambda q: F.shiftleft(o, FINEST) + q)))
+
+
+class _Grid:
+    """Cells over the range of a pool, in units of its widest standardised covariate."""
+
+    def __init__(self, pool: DataFrame, weights: list[float]):
+        self.axes = list(range(min(len(weights), GRID_COVARIATES)))
+        self.unit = [float(weights[i]) ** 0.5 for i in self.axes]
+        ends = pool.agg(F.count(F.lit(1)).alias("n"), *[f(F.col("c")[i]).alias(f"{f.__name__}_{i}") for i in self.axes for f in (F.min, F.max)]).first()
+        self.rows = ends["n"]
+        low, high = ([ends[f"{f}_{i}"] or 0.0 for i in self.axes] for f in ("min", "max"))
+        self.low, self.high = low, high
+        self.range = max((h - v) * u for v, h, u in zip(low, high, self.unit)) or 1.0
+        bits = max(1, self.rows).bit_length()
+        self.finest = max(1, min(FINEST, -(-bits // len(self.axes)) + 4))
+
+    def index(self, c: Column) -> list[Column]:
+        """Finest index per covariate; points outside the range count at its edge."""
+        cells = 2 ** self.finest
+        return [F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor((c[i] - F.lit(v)) * F.lit(u * cells / self.range)))).cast("bigint")
+                for i, v, u in zip(self.axes, self.low, self.unit)]
+
+    def level(self, finest: list[Column], level: Column) -> Column:
+        return _cell(finest, F.lit(self.finest) - level)
+
+    def reach(self, c: Column, radius: Column, level: Column) -> Column:
+        """Cells of a level within a radius of a point: at most three per covariate where cells are as wide as the radius."""
+        cells = F.pow(F.lit(2.0), level)
+        out = F.array(F.lit(0).cast("bigint"))
+        for i, v, u in zip(self.axes, self.low, self.unit):
+            place = (c[i] - F.lit(v)) * F.lit(u)
+            ends = [F.greatest(F.lit(0), F.least(cells - 1, F.floor(e * cells / F.lit(self.range)))).cast("bigint") for e in (place - radius, place + radius)]
+            out = _crossed(out, F.sequence(*ends))
+        return out
+
+
+def _look(probe: DataFrame, pool: DataFrame, grid: _Grid, counts: DataFrame | None, weights: list[float], k: int) -> DataFrame:
+    """The k best controls (grp, case_id, control_id, dist, tie, place) per case in the cells (level, cell) of `probe`."""
+    probe = store(probe, "probe")
+    levels = [r["level"] for r in probe.select("level").distinct().collect()]  # at most FINEST + 1
+    if not levels:
+        levels = [0]
+    cells = pool.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
+    cells = cells.select("grp", F.col(SAMPLE).alias("control_id"), "tie", F.col("c").alias("pc"), "level",
+                         grid.level([F.col("ix")[i] for i in range(len(grid.axes))], F.col("level")).alias("cell"))
+    keys = ["grp", "level", "cell"]
+    if counts is None or probe.count() <= PROBE_ROWS:
+        joined = cells.join(F.broadcast(probe), keys)
+    else:
+        # crowded cells are dealt over several tasks; they are few, as each has more than SALT_ROWS rows
+        crowded = F.broadcast(store(counts.where(F.col("n") > SALT_ROWS).select(*keys, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts")), "crowded"))
+        many = F.coalesce("salts", F.lit(1))
+        asked = probe.join(crowded, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+        dealt = cells.join(crowded, keys, "left").withColumn("salt", F.pmod(F.xxhash64("control_id"), many).cast("int")).drop("salts")
+        joined = dealt.join(asked, [*keys, "salt"])
+    found = joined.select("grp", "case_id", "control_id", _distance(weights).alias("dist"), "tie").where(~F.isnan("dist"))
+    best = Window.partitionBy("grp", "case_id").orderBy("dist", "tie", "control_id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
 
 
 def nearest_controls(cases: DataFrame, pool: DataFrame, weights: list[float], k: int) -> DataFrame:
-    """Top-k pool rows per case as (grp, case_id, control_id, dist, tie), ordered by (dist, tie, id).
+    """Top-k pool rows per case as (grp, case_id, control_id, dist, tie, place), ordered by (dist, tie, id).
 
-    `cases` is (grp, sample_id, c), `pool` (grp, sample_id, tie, c); a case only sees its own group.
-    The number of cases follows from the sample sizes; they are sent out in blocks of checked size.
+    `cases` is (grp, sample_id, c), `pool` (grp, sample_id, tie, c); a case only sees its own group. Neither goes through
+    the driver.
     """
-    w = np.asarray(weights, dtype=float)
-    per_block = max(1, CASE_BLOCK_VALUES // (len(w) + 3 * k))
-    names = ["grp", "case_id", "control_id", "dist", "tie"]
-    out = None
-    ids, groups, coords = [], [], []
-
-    def flush(out):
-        scan = _nearest_in_task(np.array(ids), np.array(groups, dtype=np.int32), np.array(coords, dtype=float),
-                                w, k, names)
-        part = pool.select("grp", SAMPLE, "tie", "c").mapInArrow(
-            scan, "grp INT, case_id BIGINT, control_id BIGINT, dist DOUBLE, tie BIGINT")
-        return part if out is None else out.unionByName(part)
-
-    rows = cases.collect() if cases.count() <= per_block else cases.toLocalIterator()
-    for row in rows:
-        ids.append(row[SAMPLE]), groups.append(row["grp"]), coords.append(row["c"])
-        if len(ids) == per_block:
-            out = flush(out)
-            ids, groups, coords = [], [], []
-    if ids:
-        out = flush(out)
-    best = Window.partitionBy("grp", "case_id").orderBy("dist", "tie", "control_id")
-    return (out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k))
+    same = Window.partitionBy("grp", "c").orderBy("tie", SAMPLE)
+    pool = pool.select("grp", SAMPLE, "tie", "c").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).drop("_r")
+    grid = _Grid(pool, weights)
+    pool = store(pool.withColumn("ix", F.array(*grid.index(F.col("c")))), "pool")
+    cases = store(cases.select("grp", F.col(SAMPLE).alias("case_id"), "c").withColumn("ix", F.array(*grid.index(F.col("c")))), "cases")
+    ix = [F.col("ix")[i] for i in range(len(grid.axes))]
+    if cases.count() * grid.rows <= DIRECT_PAIRS:
+        whole = cases.select("grp", "case_id", "c", F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("cell"))
+        return _look(whole, pool, grid, None, weights, k)
+    every = F.explode(F.sequence(F.lit(0), F.lit(grid.finest)))
+    finest = pool.groupBy("grp", "ix").agg(F.count(F.lit(1)).alias("n"))
+    counts = store(finest.withColumn("level", every).groupBy("grp", "level", grid.level(ix, F.col("level")).alias("cell"))
+                   .agg(F.sum("n").alias("n")), "counts")
+    own = cases.withColumn("level", every).withColumn("cell", grid.level(ix, F.col("level")))
+    full = own.join(counts.where(F.col("n") >= k), ["grp", "level", "cell"])
+    level = full.groupBy("grp", "case_id").agg(F.max("level").alias("level"))
+    start = cases.join(level, ["grp", "case_id"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    first = store(_look(start.select("grp", "case_id", "c", "level", grid.level(ix, F.col("level")).alias("cell")), pool, grid, counts, weights, k), "first")
+    radius = first.groupBy("grp", "case_id").agg(F.sqrt(F.max("dist") * (1 + 1e-9)).alias("radius"))
+    wide = F.floor(F.log2(F.lit(grid.range) / F.greatest(F.col("radius"), F.lit(1e-300))))
+    around = (start.join(radius, ["grp", "case_id"]).where("level > 0")
+              .withColumn("level", F.greatest(F.lit(0), F.least(F.lit(grid.finest), wide)).cast("int")))
+    around = around.select("grp", "case_id", "c", "level", F.explode(grid.reach(F.col("c"), F.col("radius"), F.col("level"))).alias("cell"))
+    # a case that started from the whole range has seen everything
+    done = first.join(start.where("level = 0").select("grp", "case_id"), ["grp", "case_id"], "left_semi")
+    return _look(around, pool, grid, counts, weights, k).unionByName(done)
 
 
 def _resolve(key, table):

@@ -158,12 +158,43 @@ def matching_distance(spark, sf):
             .select("n", "seed", rounded(F.col("average_matching_score")).alias("average_matching_score")))
 
 
-@query("j04_matched_two_covariates")
+TWO_SIZES = make_sizes([64, 256])
+
+# every class is first cut to the size of the smaller one; a case then takes the nearest free control, by both covariates
+MATCHED_TWO = "WITH RECURSIVE " + ORDER_ROWS + """,
+docs AS MATERIALIZED (SELECT sample_id, CASE WHEN qty > 160 THEN 1 ELSE 0 END AS y, c_size, round(c_price, 4) AS c_price FROM order_rows),
+sizes(n, h, hv, ht) AS (VALUES """ + ", ".join(f"({s.n}, {s.n // 2}, {s.n_val // 2}, {s.n_test // 2})" for s in TWO_SIZES) + """),
+minority AS (SELECT y, cnt FROM (SELECT y, count(*) AS cnt FROM docs GROUP BY y) ORDER BY cnt, y LIMIT 1),
+spread AS (SELECT 1.0 / var_pop(c_size) AS w1, 1.0 / var_pop(c_price) AS w2 FROM docs),
+ranked AS (SELECT sample_id, c_size, c_price, row_number() OVER (ORDER BY substr(md5(concat_ws(':', 'split', 0, sample_id)), 1, 16), sample_id) AS rank
+  FROM docs JOIN minority USING (y)),
+cases AS MATERIALIZED (SELECT n, sample_id, c_size, c_price, CASE WHEN rank <= ht THEN 'test' WHEN rank <= ht + hv THEN 'val' ELSE 'train' END AS "set",
+      CASE WHEN rank <= ht THEN h + hv + rank WHEN rank <= ht + hv THEN h + rank - ht ELSE rank - ht - hv END AS prio
+  FROM ranked, sizes, minority WHERE rank <= h + hv + ht AND cnt >= h + hv + ht),
+pool AS MATERIALIZED (SELECT sample_id, c_size, c_price, tie FROM (
+  SELECT *, substr(md5(concat_ws(':', 'tie', sample_id)), 1, 16) AS tie,
+         row_number() OVER (ORDER BY substr(md5(concat_ws(':', 'undersample', 0, sample_id)), 1, 16), sample_id) AS r
+  FROM docs WHERE y NOT IN (SELECT y FROM minority)), minority WHERE r <= cnt),
+m AS (
+  SELECT n, 0::BIGINT AS prio, NULL::BIGINT AS case_id, NULL::VARCHAR AS "set", NULL::BIGINT AS control_id, []::BIGINT[] AS used FROM (SELECT DISTINCT n FROM cases)
+  UNION ALL
+  SELECT n, prio, case_id, "set", best.id, list_append(used, best.id) FROM (
+    SELECT m.n, cases.prio, cases.sample_id AS case_id, cases."set", any_value(m.used) AS used,
+           min({'d': (cases.c_size - pool.c_size) * (cases.c_size - pool.c_size) * w1 + (cases.c_price - pool.c_price) * (cases.c_price - pool.c_price) * w2,
+                'tie': pool.tie, 'id': pool.sample_id}) AS best
+    FROM m JOIN cases ON cases.n = m.n AND cases.prio = m.prio + 1, pool, spread
+    WHERE NOT list_contains(m.used, pool.sample_id)
+    GROUP BY m.n, cases.prio, cases.sample_id, cases."set"))
+SELECT n, 0 AS seed, "set", unnest([case_id, control_id]) AS sample_id FROM m WHERE prio > 0"""
+
+
+@query("j04_matched_two_covariates", MATCHED_TWO)
 def matched_two(spark, sf):
     """Orders with many or few lines, matched on two covariates; balanced first."""
     samples = order_samples(spark, sf, ("qty",)).withColumn("y", (F.col("x")[0] > 160).cast("double"))
-    splits, _ = matched_splits(stored(samples), make_sizes([64, 256]), [0], RUN, balanced=True)
-    return splits
+    samples = samples.withColumn("c", F.array(F.col("c")[0], F.round(F.col("c")[1], 4)))
+    splits, _ = matched_splits(stored(samples), TWO_SIZES, [0], RUN, balanced=True)
+    return splits.select("n", "seed", "set", "sample_id")
 
 
 @query("t01_sorted_indices", "WITH " + ORDER_SPLITS + """

@@ -63,8 +63,8 @@ def test_polynomial_map_is_the_kernel(spark, degree, features):
 
 def test_feasible_grid_names_what_was_used():
     grid = feasible_grid({"pca__n_components": [10, 20, 50], "ridge__alpha": [1.0, 2.0], "max_depth": [5, 30, 100]}, 16)
-    assert grid == {"pca__n_components": [10, 16], "ridge__alpha": [1.0, 2.0], "max_depth": [5, 30]}
-    assert len(grid_points(grid)) == 8 and grid_points([{"a": 1}]) == [{"a": 1}]
+    assert grid == {"pca__n_components": [10, 16], "ridge__alpha": [1.0, 2.0], "max_depth": [5, 30, 100]}
+    assert len(grid_points(grid)) == 12 and grid_points([{"a": 1}]) == [{"a": 1}]
 
 
 @pytest.mark.parametrize("offset, spread", [(0.0, 1.0), (1.7e9, 1000.0), (1e6, 0.5)])

@@ -144,7 +144,9 @@ def test_matching_equals_serial_greedy(spark, monkeypatch, k, block, duplicates)
         y[1:n:3] = 0
     if block:
         monkeypatch.setattr(m, "LIST_ENTRIES", block)
-        monkeypatch.setattr(m, "CASE_BLOCK_VALUES", 40)
+        monkeypatch.setattr(m, "PROBE_ROWS", 0)
+        monkeypatch.setattr(m, "SALT_ROWS", 5)
+    monkeypatch.setattr(m, "DIRECT_PAIRS", 0)
     minority = int(y.sum())
     size = Size(2 * (minority // 2), 2 * (minority // 5), 2 * (minority // 5))
     splits, status = matched_splits(samples(spark, y, c), [size], [5], RUN, k=k)
@@ -164,3 +166,33 @@ def test_matching_equals_serial_greedy(spark, monkeypatch, k, block, duplicates)
         assert sorted(s[name]) == sorted(part + [want[i] for i in part])
     assert status.first()["average_matching_score"] >= 0
     assert status.first()["samplesize"] == 2 * h
+
+
+@pytest.mark.parametrize("width, shape, k, probe", [(1, "normal", 3, 10 ** 6), (2, "clusters", 5, 0), (3, "normal", 4, 0), (5, "normal", 2, 10 ** 6),
+                                                    (2, "far", 3, 0), (2, "one point", 4, 10 ** 6), (2, "few", 50, 0)])
+def test_nearest_controls_equal_all_pairs(spark, monkeypatch, width, shape, k, probe):
+    """Cells and radii find what a scan of all pairs finds: with crowded cells, equal points, and cases outside the pool's range."""
+    import sizeladder.operators.matching as m
+    monkeypatch.setattr(m, "DIRECT_PAIRS", 0)
+    monkeypatch.setattr(m, "PROBE_ROWS", probe)
+    monkeypatch.setattr(m, "SALT_ROWS", 20)
+    rng = np.random.RandomState(width)
+    pool = rng.normal(size=(12 if shape == "few" else 400, width))
+    cases = rng.normal(size=(40, width))
+    if shape == "clusters":
+        pool[:300] = pool[0] + rng.normal(size=(300, width)) * 1e-4
+        pool[300:350] = pool[0]
+    if shape == "far":
+        cases[:20] += 100
+    if shape == "one point":
+        pool[:] = 1.5
+    weights = list(rng.uniform(0.5, 2.0, width))
+    rows = [(i % 2, 1000 + i, int(rng.randint(10)), [float(v) for v in p]) for i, p in enumerate(pool)]
+    asked = [(i % 2, i, [float(v) for v in c]) for i, c in enumerate(cases)]
+    want = set()
+    for g, i, c in asked:
+        far = sorted((sum(w * (a - b) ** 2 for w, a, b in zip(weights, c, p)), tie, j) for h, j, tie, p in rows if h == g)
+        want |= {(i, j, place + 1) for place, (_, _, j) in enumerate(far[:k])}
+    got = m.nearest_controls(spark.createDataFrame(asked, "grp int, sample_id long, c array<double>"),
+                             spark.createDataFrame(rows, "grp int, sample_id long, tie long, c array<double>"), weights, k)
+    assert {(r["case_id"], r["control_id"], r["place"]) for r in got.collect()} == want
