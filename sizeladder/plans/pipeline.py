@@ -1,13 +1,14 @@
 """A whole set of experiments: from a catalog and experiment definitions to stored curves.
 
-The driver only walks through the configuration; every step is a Spark job over stored tables. Prepared
-and corrected roles, samples and splits are shared by all runs that need them, and scores that are
-already stored are not computed again.
+Runs that differ in their data are numbered, and every step is one Spark job for all of them: samples, splits, drawn rows and
+their inputs, and curves of all runs at once, scores of all runs of a model at once. The driver only walks through the
+configuration, by ways of drawing splits and by models. Prepared and corrected roles and splits are shared by all runs that
+need them, and scores that are already stored are not computed again.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,12 @@ from ..sources.catalog import Catalog
 from .experiments import canonical_runs, expand_experiments, validate_experiments
 from .grids import GRIDS
 from .models import MODELS
-from .sweep import BROADCAST_IDS, gather, split_rows, sweep
+from .sweep import BROADCAST_IDS, split_rows, sweep
 
 # the requested balancing is part of the key as `balance`; `balanced` in the status table is what was applied
 CURVE_KEY = ["balance" if k == "balanced" else k for k in RUN_KEY]
 SPLIT_KEY = [k for k in CURVE_KEY if k not in ("model", "grid")]
+GROUP = "_group"  # number of a split key
 
 
 class Workspace:
@@ -63,7 +65,7 @@ class Workspace:
                 self._aligned.add(pair)
 
     def samples(self, run: dict) -> tuple[DataFrame, DataFrame]:
-        """(split key..., sample_id, y, [c], valid) of one run, stored, and its features (sample_id, x)."""
+        """(sample_id, y, c, valid) of one run, c without entries where it has no covariates, and its features (sample_id, x)."""
         dataset, quantile, method, cni = run["dataset"], run["quantile"], run["method"], run["cni"]
         features = self.role(dataset, "features", run["features"], quantile, source_variant(method, "features", cni))
         roles = [features, self.role(dataset, "targets", run["target"], quantile, source_variant(method, "targets", cni))]
@@ -74,30 +76,42 @@ class Workspace:
             roles.append(covariates)
             names.append("c")
         self.check_aligned(run)
-        rows = align(*roles, names=tuple(names)).withColumn("y", F.col("y")[0])
-        narrow = rows.select(*[F.lit(run[k]).alias(k) for k in SPLIT_KEY], SAMPLE, *names[1:], "valid")
-        return store(narrow, "samples"), features.select(SAMPLE, F.col("data").alias("x"))
+        rows = align(*roles, names=tuple(names))
+        c = F.col("c") if "c" in names else F.array()
+        narrow = rows.select(F.col(SAMPLE).cast("bigint").alias(SAMPLE), F.col("y")[0].cast("double").alias("y"), c.cast("array<double>").alias("c"), "valid")
+        return narrow, features.select(F.col(SAMPLE).cast("bigint").alias(SAMPLE), F.col("data").cast("array<double>").alias("x"))
 
 
-def gather_drawn(samples: DataFrame, features: DataFrame, splits: DataFrame, mode: str, rows: int) -> DataFrame:
-    """Model input of the drawn samples, checked for missing and infinite values."""
-    ids = splits.select(SAMPLE).distinct()
+def united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def gather_drawn(samples: DataFrame, features: DataFrame, splits: DataFrame, modes: DataFrame, rows: int) -> DataFrame:
+    """Model input (group, n, seed, sample_id, set, x, y) of the drawn samples, checked for missing and infinite values.
+
+    `samples` is (group, sample_id, y, c), `features` (group, sample_id, x), `modes` (group, mode) with one row per group.
+    """
+    key = [GROUP, SAMPLE]
+    ids = splits.select(*key).distinct()
     ids = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
-    drawn = features.join(ids, SAMPLE, "left_semi")
-    return require_valid(gather(samples.join(drawn, SAMPLE), splits, SPLIT_KEY, mode, rows), ["x", "y"])
+    drawn = features.join(ids, key, "left_semi").join(samples.select(*key, "y", "c").join(ids, key, "left_semi"), key)
+    x = F.when(F.col("mode") == "only-cni", F.col("c")).when(F.col("mode") == "with-cni", F.concat("x", "c")).otherwise(F.col("x"))
+    drawn = drawn.join(F.broadcast(modes), GROUP).select(*key, x.alias("x"), "y")
+    return require_valid((F.broadcast(splits) if rows <= BROADCAST_IDS else splits).join(drawn, key), ["x", "y"])
 
 
-def stored_scores(spark: SparkSession, path: str, run: dict) -> DataFrame | None:
-    """Earlier scores of the same samples and model on any grid, or None where nothing was stored yet."""
+def stored(spark: SparkSession, path: str, name: str, runs: DataFrame) -> DataFrame | None:
+    """Rows of a stored table that belong to the numbered runs, with their number, or None where nothing was stored yet."""
     try:
-        df = spark.read.option("mergeSchema", True).parquet(f"{path}/scores")
+        df = spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    for k in [*SPLIT_KEY, "model"]:
-        df = df.where(F.col(k) == F.lit(run[k]))
-    return df.drop("model")
+    kinds = {f.name: f.dataType for f in runs.schema.fields}  # folder names come back as text or numbers
+    for k in SPLIT_KEY:
+        df = df.withColumn(k, F.col(k).cast(kinds[k]))
+    return df.join(F.broadcast(runs), SPLIT_KEY).drop(*SPLIT_KEY)  # one row per run
 
 
 def check_configuration(spark: SparkSession, catalog: Catalog, experiments: DataFrame, grids: dict, grid: str) -> None:
@@ -123,55 +137,73 @@ def run_experiments(spark: SparkSession, catalog: Catalog, experiments: DataFram
     check_configuration(spark, catalog, experiments, grids, grid)
     wanted = canonical_runs(expand_experiments(experiments, balanced, quantile, grid))
     runs = [r.asDict() for r in wanted.withColumnRenamed("balanced", "balance").collect()]
-    split_key = lambda r: tuple(str(r[k]) for k in SPLIT_KEY)
+    groups = list({tuple(str(r[k]) for k in SPLIT_KEY): r for r in runs}.values())  # one run per set of samples
+    number = {tuple(str(r[k]) for k in SPLIT_KEY): i for i, r in enumerate(groups)}
+    rows = split_rows(sizes, seeds, len(groups))
     with scratch_scope(spark):
         space = Workspace(spark, catalog)
-        for _, group in groupby(sorted(runs, key=split_key), split_key):
-            group = list(group)
-            first = group[0]
-            samples, features = space.samples(first)
-            splits, status = make_splits(samples, sizes, seeds, SPLIT_KEY, first["method"], stratify, first["balance"])
-            mode = first["method"] if first["method"] in ("with-cni", "only-cni") else "normal"
-            long = store(gather_drawn(samples, features, splits, mode, split_rows(sizes, seeds)), "gathered")
-            _add(spark, long.select(*SPLIT_KEY, "n", "seed", SAMPLE, "set"), path, "splits", first)
-            _add(spark, status, path, "status", first)
-            for run in group:
-                _one(spark, long, run, grids[run["grid"]][run["model"]], path, repeats)
-
-
-def _one(spark, long, run, grid, path, repeats):
-    existing = stored_scores(spark, path, run)
-    scores = sweep(long, run["model"], grid, SPLIT_KEY, None if existing is None else existing.drop("grid", "samplesize"))
-    reported = F.floor(F.col("n") / 2) * 2 if run["method"] == "matching" else F.col("n")
+        keys = spark.createDataFrame([(i, *[r[k] for k in SPLIT_KEY]) for i, r in enumerate(groups)], f"{GROUP} INT, " + ", ".join(
+            f"{k} {'BOOLEAN' if isinstance(groups[0][k], bool) else 'STRING'}" for k in SPLIT_KEY))
+        tables = [space.samples(r) for r in groups]
+        tagged = lambda which: united([t[which].withColumn(GROUP, F.lit(i)) for i, t in enumerate(tables)])
+        samples = store(tagged(0), "samples")
+        drawn = []
+        for method, balance in sorted({(r["method"], r["balance"]) for r in groups}):
+            mine = [i for i, r in enumerate(groups) if (r["method"], r["balance"]) == (method, balance)]
+            drawn.append(make_splits(samples.where(F.col(GROUP).isin(mine)), sizes, seeds, [GROUP], method, stratify, balance))
+        splits, status = store(united([d[0] for d in drawn]), "splits"), united([d[1] for d in drawn])
+        modes = keys.select(GROUP, F.col("method").alias("mode"))
+        long = store(gather_drawn(samples, tagged(1), splits, modes, rows), "gathered")
+        named = lambda df: df.join(F.broadcast(keys), GROUP).drop(GROUP)
+        for name, df in (("splits", splits), ("status", status)):
+            _save(named(_with_earlier(df, stored(spark, path, name, keys))), path, name, SPLIT_KEY)
+        width = {r[GROUP]: r["d"] for r in long.groupBy(GROUP).agg(F.max(F.size("x")).alias("d")).collect()}  # one row per run
+        fits: dict[tuple, list[int]] = {}
+        for r in runs:
+            g = number[tuple(str(r[k]) for k in SPLIT_KEY)]
+            if g in width:  # else no split could be drawn, as its status says
+                fits.setdefault((r["model"], r["grid"], width[g]), []).append(g)
+        halved = [i for i, r in enumerate(groups) if r["method"] == "matching"]
+        known = stored(spark, path, "scores", keys)
+        scores: dict[bool, list[DataFrame]] = {}
+        for (model, name, _), mine in sorted(fits.items()):
+            found = _score(long.where(F.col(GROUP).isin(mine)), model, name, grids[name][model],
+                           None if known is None else known.where((F.col("model") == model) & F.col(GROUP).isin(mine)), halved)
+            scores.setdefault(MODELS[model].regression, []).append(found)
+        curve = [GROUP, "model", "grid"]
+        out: dict[str, list[DataFrame]] = {}
+        for regression, parts in scores.items():
+            best = store(select_best(united(parts), curve), "best")
+            curves = statistics(best, curve, "r2_test" if regression else "acc_test", repeats)
+            for name, df in {"scores": united(parts), "best": best, **curves}.items():
+                out.setdefault(name, []).append(df)
+        for name, parts in out.items():
+            _save(named(united(parts)), path, name, CURVE_KEY)
+
+
+def _score(long: DataFrame, model: str, grid_name: str, grid: dict, known: DataFrame | None, halved: list[int]) -> DataFrame:
+    """Stored scores of one model for all its runs; `known` has earlier ones on any grid."""
+    known = None if known is None else known.drop("model")
+    scores = sweep(long, model, grid, [GROUP], None if known is None else known.drop("grid", "samplesize"))
+    reported = F.when(F.col(GROUP).isin(halved), F.floor(F.col("n") / 2) * 2).otherwise(F.col("n"))
     scores = scores.withColumn("samplesize", reported.cast("int"))
-    if existing is not None:
-        cells = long.select("n", F.col("seed").alias("s")).distinct()
-        earlier = existing.where(F.col("grid") == F.lit(run["grid"])).drop("grid").join(F.broadcast(cells), ["n", "s"], "left_anti")
+    if known is not None:
+        cells = long.select(GROUP, "n", F.col("seed").alias("s")).distinct()
+        earlier = known.where(F.col("grid") == F.lit(grid_name)).drop("grid").join(F.broadcast(cells), [GROUP, "n", "s"], "left_anti")
         scores = scores.unionByName(earlier, allowMissingColumns=True)
-    scores = store(scores, "scores").withColumn("model", F.lit(run["model"])).withColumn("grid", F.lit(run["grid"]))
-    regression = MODELS[run["model"]].regression
-    best = store(select_best(scores, CURVE_KEY), "best")
-    tables = statistics(best, CURVE_KEY, "r2_test" if regression else "acc_test", repeats)
-    for name, df in {"scores": scores, "best": best, **tables}.items():
-        _save(df, path, name, CURVE_KEY)
+    return store(scores, "scores").withColumn("model", F.lit(model)).withColumn("grid", F.lit(grid_name))
 
 
-def _add(spark: SparkSession, df: DataFrame, path: str, name: str, run: dict) -> None:
-    """Replace the cells of `df` in a stored table and keep all others of the run."""
-    try:
-        old = spark.read.option("mergeSchema", True).parquet(f"{path}/{name}")
-        for k in SPLIT_KEY:
-            old = old.where(F.col(k) == F.lit(run[k]))
-        cells = df.select("n", "seed").distinct()
-        earlier = old.join(F.broadcast(cells), ["n", "seed"], "left_anti").select(*[c for c in df.columns if c in old.columns])
-        df = store(df.unionByName(earlier, allowMissingColumns=True), name)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    _save(df, path, name, SPLIT_KEY)
+def _with_earlier(df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """The table with the cells of an earlier one that it does not have itself."""
+    if old is None:
+        return df
+    cells = df.select(GROUP, "n", "seed").distinct()
+    earlier = old.join(F.broadcast(cells), [GROUP, "n", "seed"], "left_anti").select(*[c for c in df.columns if c in old.columns])
+    return store(df.unionByName(earlier, allowMissingColumns=True), "earlier")
 
 
 def _save(df: DataFrame, path: str, name: str, key: list[str]) -> None:
-    """Replace the part of a stored table that belongs to one run; other parts stay."""
+    """Replace the parts of a stored table that belong to these runs; other parts stay."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key)
      .parquet(f"{path}/{name}"))

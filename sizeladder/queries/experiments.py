@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.splits import make_sizes
 from ..plans import experiments as plan
 from ..session import scratch_path, store
-from .base import ORDER_LONG, SEEDS_SQL, SIZES_SQL, order_rows, query, table
+from .base import ORDER_LONG, ORDER_SEEDS, ORDER_SIZES, order_rows, query, rounded, table
 
 # One experiment per document source; choices follow from the length of its documents.
 EXPERIMENTS = """
@@ -135,15 +134,25 @@ def routing(spark, sf):
     return plan.route_sources(plan.canonical_runs(plan.expand_experiments(experiments(spark, sf))))
 
 
-EXPERIMENT_SIZES, EXPERIMENT_SEEDS = make_sizes([32, 64]), [0, 1]
-EXPERIMENT_LONG = ORDER_LONG.replace(SIZES_SQL, "sizes(n, n_val, n_test) AS (VALUES " + ", ".join(f"({z.n}, {z.n_val}, {z.n_test})" for z in EXPERIMENT_SIZES) + ")") \
-    .replace(SEEDS_SQL, "seeds(seed) AS (VALUES " + ", ".join(f"({k})" for k in EXPERIMENT_SEEDS) + ")")
-
-
-@query("e02_run_experiments", "WITH " + EXPERIMENT_LONG + """,
-sets AS (SELECT n, seed AS s, count(*) AS drawn, CAST(sum(sample_id) AS BIGINT) AS id_sum FROM long GROUP BY n, seed)
-SELECT method, model, n, s, CAST(points AS BIGINT) AS points, n AS samplesize, drawn, id_sum
-FROM sets, (VALUES ('none', 'ridge-reg', 2), ('correct-x', 'ridge-reg', 2)) r(method, model, points)""")
+# one standardised feature, as it is and after its linear part in the covariate is taken out of the whole table
+EXPERIMENT = "WITH " + ORDER_LONG + """,
+line AS (SELECT covar_pop(lines, c_price) / var_pop(c_price) AS slope, avg(lines) AS ml, avg(c_price) AS mc FROM order_rows),
+roles_ AS (SELECT 'none' AS method, n, seed, sample_id, "set", lines AS x, y FROM long
+  UNION ALL SELECT 'correct-x', n, seed, sample_id, "set", lines - ml - slope * (c_price - mc), y FROM long, line),
+grid(grid_index, alpha) AS (VALUES (0, 0.1), (1, 100.0)),
+moments AS (SELECT method, n, seed, avg(x) AS m, stddev_pop(x) AS s, avg(y) AS my, count(*) AS k, covar_pop(x, y) AS cxy
+            FROM roles_ WHERE "set" = 'train' GROUP BY method, n, seed),
+pred AS (SELECT method, n, seed, grid_index, alpha, "set", y, my + k * cxy / s / (k + alpha) * (x - m) / s AS yhat
+         FROM roles_ JOIN moments USING (method, n, seed), grid),
+per AS (SELECT method, n, seed, grid_index, any_value(CAST(alpha AS DOUBLE)) AS alpha, "set", 1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*)) AS r2
+        FROM pred GROUP BY method, n, seed, grid_index, "set"),
+sets AS (SELECT n, seed, count(*) AS drawn, CAST(sum(sample_id) AS BIGINT) AS id_sum FROM long GROUP BY n, seed)
+SELECT method, 'ridge-reg' AS model, n, seed AS s, grid_index, any_value(alpha) AS alpha, n AS samplesize, any_value(drawn) AS drawn, any_value(id_sum) AS id_sum,
+       round(max(r2) FILTER ("set" = 'train'), 6) AS r2_train, round(max(r2) FILTER ("set" = 'val'), 6) AS r2_val, round(max(r2) FILTER ("set" = 'test'), 6) AS r2_test
+FROM per JOIN sets USING (n, seed) GROUP BY method, n, seed, grid_index"""
+
+
+@query("e02_run_experiments", EXPERIMENT)
 def experiment_run(spark, sf):
     """From a catalog and experiments to stored scores; a first call leaves one alpha, the second adds the missing one."""
     from ..plans.pipeline import run_experiments
@@ -156,11 +165,11 @@ def experiment_run(spark, sf):
         [("one", "orders", ["lines"], ["charge"], ["none", "correct-x"], ["price"], ["ridge-reg"], None, None, None)],
         "experiment STRING, dataset STRING, features ARRAY<STRING>, targets ARRAY<STRING>, method ARRAY<STRING>, cni ARRAY<STRING>, "
         "models ARRAY<STRING>, balanced BOOLEAN, quantile BOOLEAN, grid STRING")
-    for alphas in ([0.1], [0.1, 1.0]):
-        run_experiments(spark, catalog, e, EXPERIMENT_SIZES, EXPERIMENT_SEEDS, path, repeats=5,
-                        grids={"default": {"ridge-reg": {"alpha": alphas}}})
-    scores = spark.read.option("mergeSchema", True).parquet(path + "/scores").groupBy("method", "model", "n", "s", "samplesize").agg(
-        F.count(F.lit(1)).alias("points"))
+    for alphas in ([0.1], [0.1, 100.0]):
+        run_experiments(spark, catalog, e, ORDER_SIZES, ORDER_SEEDS, path, grids={"default": {"ridge-reg": {"alpha": alphas}}})
+    scores = spark.read.option("mergeSchema", True).parquet(path + "/scores")
     sets = (spark.read.parquet(path + "/splits").groupBy("method", "n", F.col("seed").alias("s"))
             .agg(F.count(F.lit(1)).alias("drawn"), F.sum("sample_id").alias("id_sum")))
-    return scores.join(sets, ["method", "n", "s"]).select("method", "model", "n", "s", "points", "samplesize", "drawn", "id_sum")
+    return scores.join(sets, ["method", "n", "s"]).select(
+        "method", "model", "n", "s", "grid_index", F.col("params")["alpha"].alias("alpha"), "samplesize", "drawn", "id_sum",
+        *[rounded(F.col(f"r2_{k}")).alias(f"r2_{k}") for k in ("train", "val", "test")])

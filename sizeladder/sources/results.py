@@ -33,15 +33,20 @@ def load_prepared(spark: SparkSession, path: str, dataset: str, role: str, varia
 def read_scores_csv(spark: SparkSession, paths: str | list[str], columns: str) -> DataFrame:
     """Score rows from CSV files with a header line each; columns go by name and may come in any order or be absent.
 
-    Every file is read with its own header and the tables are united by name, so files of different models can be mixed;
-    an absent column is NULL. A row with a field that is not of its column's type keeps the line in
-    `unreadable` instead of vanishing; it is NULL for good rows. Files without lines give no rows.
+    Files are grouped by their first line, and the files of one header are one scan, so the plan grows with the number of
+    headers and not of files. The tables are united by name, so files of different models can be mixed; an absent column is
+    NULL. A row with a field that is not of its column's type keeps the line in `unreadable` instead of vanishing; it is NULL
+    for good rows. Files without lines give no rows.
     """
     wanted = spark.createDataFrame([], columns).schema
-    text = spark.read.text(paths, wholetext=False).select(F.col("_metadata.file_path").alias("file"))
+    # lines of a file's first block come in order within their task
+    lines = spark.read.text(paths, wholetext=False).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place")).where("start = 0")
+    heads = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
     out = None
-    for r in text.distinct().orderBy("file").collect():  # one row per file
-        raw = spark.read.option("header", True).option("quote", '"').csv(r["file"])
+    for r in heads.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files")).orderBy("header").collect():  # one path per file
+        raw = spark.read.option("header", True).option("quote", '"').csv(r["files"])
         cast = []
         for f in wanted.fields:
             text_value = F.col(f"`{f.name}`") if f.name in raw.columns else F.lit(None).cast("string")

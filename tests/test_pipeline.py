@@ -99,3 +99,17 @@ def test_only_missing_points_are_fitted(spark, tmp_path, monkeypatch):
     assert [g for g in fitted] == [[{"alpha": 1.0}, {"alpha": 10.0}]]
     want = {(r["n"], r["grid_index"]): 0.5 if r["grid_index"] == 0 or r["n"] == 10 else r["r2_val"] for r in whole.collect()}
     assert {(r["n"], r["grid_index"]): r["r2_val"] for r in got.collect()} == want
+
+
+def test_score_files_are_one_scan_per_header(spark, tmp_path):
+    from sizeladder.sources.results import read_scores_csv
+    for i in range(12):
+        order = ["n", "r2_val", "alpha"] if i % 2 else ["alpha", "n", "r2_val"]
+        row = {"n": str(i), "r2_val": "0.5" if i != 3 else "bad", "alpha": str(i / 2)}
+        (tmp_path / f"f{i}.csv").write_text(",".join(order) + "\n" + ",".join(row[c] for c in order) + "\n")
+    (tmp_path / "nothing.csv").write_text("")
+    df = read_scores_csv(spark, [str(p) for p in tmp_path.glob("*.csv")], "n int, alpha double, r2_val double, s int")
+    assert df._jdf.queryExecution().executedPlan().toString().count("Scan csv") == 2
+    rows = {r["n"]: r for r in df.collect()}
+    assert len(rows) == 12 and all(r["alpha"] == n / 2 and r["s"] is None for n, r in rows.items())
+    assert rows[3]["r2_val"] is None and "bad" in rows[3]["unreadable"] and rows[4]["unreadable"] is None
