@@ -31,7 +31,7 @@ class Features:
 
     def __init__(self, x: np.ndarray):
         self.x = x
-        self.values, self.ranks = [], np.empty(x.shape, dtype=np.int64, order="F")
+        self.values, self.ranks = [], np.empty(x.shape, dtype=np.int32, order="F")
         for f in range(x.shape[1]):
             values, self.ranks[:, f] = np.unique(x[:, f], return_inverse=True)
             self.values.append(values)
