@@ -479,7 +479,7 @@ SELECT n, round(y_mean, 6) AS y_mean, round(y_std, 6) AS y_std, round(y_sem, 6)
 def learning(spark, sf):
     """How well line counts predict the charge of an order at growing sample sizes, and the fitted curve."""
     samples = stored(order_samples(spark, sf, ("lines",)))
-    out = learning_curve(samples, ORDER_SIZES, ORDER_SEEDS, RUN, "ridge-reg", ONE_GRID, repeats=20)
+    out = learning_curve(samples, ORDER_SIZES, ORDER_SEEDS, RUN, "ridge-reg", ONE_GRID)
     joined = out["points"].join(F.broadcast(out["fit"].select("dataset", "a", "b", "c")), "dataset")
     from ..functions.numeric import power_law as value
     return joined.select("n", *[rounded(F.col(c)).alias(c) for c in ("y_mean", "y_std", "y_sem")], "mask",

@@ -1,8 +1,10 @@
 """NumPy array files as a Spark data source, split by row range.
 
 A path is one ``.npy`` file or a folder of shards that follow each other in name order, on any file
-system Arrow can open. Each task reads the bytes of its row range and nothing else. The writer leaves one
-shard per partition and job.
+system Arrow can open. Each task reads the bytes of its row range and nothing else. The options `firstRow`, `endRow` and
+`rowIds` (numbers with commas) restrict a scan to some rows; the bytes of all others but small gaps are skipped. Filters of a query are
+not pushed down by themselves: Spark 4.1 keeps what was pushed into a Python source with its DataFrame, so that a second query
+on the same DataFrame would lose rows. The writer leaves one shard per partition and job.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
 
 ROWS_PER_TASK = 1_000_000
 BATCH_ROWS = 10_000
+GAP_ROWS = 16  # rows between two wanted ones that are read along rather than skipped
 
 
 def _resolve(path: str):
@@ -62,8 +65,23 @@ class RowRange(InputPartition):
 
 
 class NpyReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    """Rows whose id is at least `low`, below `high` and, where they are given, among `ids`."""
+
+    def __init__(self, path: str, rows: int, low: int = 0, high: int | None = None, ids: list[int] | None = None):
+        self.path, self.rows, self.low, self.high = path, rows, low, high
+        self.ids = None if ids is None else np.unique(np.array(ids, dtype=np.int64))
+
+    def _runs(self, start: int, stop: int) -> list[tuple[int, int, np.ndarray | None]]:
+        """(first, last + 1, wanted ids) of the stretches of ids to read between two ids."""
+        start = max(start, self.low)
+        stop = stop if self.high is None else min(stop, self.high)
+        if start >= stop:
+            return []
+        if self.ids is None:
+            return [(start, stop, None)]
+        ids = self.ids[(self.ids >= start) & (self.ids < stop)]
+        parts = np.split(ids, np.flatnonzero(np.diff(ids) > GAP_ROWS) + 1) if len(ids) else []
+        return [(int(p[0]), int(p[-1]) + 1, p) for p in parts]
 
     def partitions(self):
         out, offset = [], 0
@@ -71,21 +89,26 @@ class NpyReader(DataSourceReader):
         for number, file in enumerate(files):
             with system.open_input_file(file) as f:
                 n = _header(f)[0][0]
-            out += [RowRange(number, s, min(n, s + self.rows), offset) for s in range(0, n, self.rows)]
+            out += [RowRange(number, s, min(n, s + self.rows), offset) for s in range(0, n, self.rows)
+                    if self._runs(offset + s, offset + min(n, s + self.rows))]
             offset += n
-        return out
+        return out or [RowRange(0, 0, 0, 0)] * bool(files)  # a scan of no rows still has a task
 
     def read(self, part: RowRange):
         system, files = _shards(self.path)
         with system.open_input_file(files[part.file]) as f:
             header = _header(f)
-            for s in range(part.start, part.stop, BATCH_ROWS):
-                e = min(part.stop, s + BATCH_ROWS)
-                block = _rows(f, header, s, e)
-                ends = np.arange(0, (e - s + 1) * block.shape[1], block.shape[1], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(block.ravel()))
-                ids = pa.array(np.arange(part.offset + s, part.offset + e, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([ids, lists], names=["sample_id", "data"])
+            for first, last, wanted in self._runs(part.offset + part.start, part.offset + part.stop):
+                for s in range(first, last, BATCH_ROWS):
+                    e = min(last, s + BATCH_ROWS)
+                    block = _rows(f, header, s - part.offset, e - part.offset)
+                    ids = np.arange(s, e, dtype=np.int64)
+                    if wanted is not None:
+                        chosen = np.isin(ids, wanted)
+                        block, ids = block[chosen], ids[chosen]
+                    ends = np.arange(0, len(ids) * block.shape[1] + 1, block.shape[1], dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(block.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["sample_id", "data"])
 
 
 HEADER_BYTES = 128
@@ -179,7 +202,9 @@ class NpySource(DataSource):
         return "sample_id BIGINT, data ARRAY<DOUBLE>"
 
     def reader(self, schema):
-        return NpyReader(self.options["path"], int(self.options.get("rowsPerTask", ROWS_PER_TASK)))
+        o = self.options
+        ids = [int(i) for i in o["rowIds"].split(",") if i.strip()] if "rowIds" in o else None
+        return NpyReader(o["path"], int(o.get("rowsPerTask", ROWS_PER_TASK)), int(o.get("firstRow", 0)), int(o["endRow"]) if "endRow" in o else None, ids)
 
     def writer(self, schema, overwrite):
         return NpyWriter(self.options["path"], overwrite)
