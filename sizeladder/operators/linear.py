@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from .gram import chunk_of, fields, gram, gram_matrix, matrix, repeat_keys, ridge_weights, spectrum, vector, width_of
 from .grids import grid_points
+from .wide import WIDE_FEATURES, fit_wide
 
 KINDS = {"ols": (), "ridge": ("alpha",), "pca-ridge": ("pca__n_components", "ridge__alpha"),
          "rfe-ridge": ("rfe__n_features_to_select", "ridge__alpha")}
@@ -55,15 +56,21 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
 
     Output: (cell..., grid_index, params MAP, classes ARRAY, coef ARRAY (outputs x features, flattened),
     intercept ARRAY, shift ARRAY, base ARRAY, centre). `rows` tells about how many rows a cell has (default: its column n).
+    More than WIDE_FEATURES features go to :mod:`wide`, except for elimination.
     """
     points = grid_points(grid)
     rows = F.col("n") if rows is None else rows
-    chunk, chunks = chunk_of(rows, width=width_of(train))
+    width = width_of(train)
+    chunk, chunks = chunk_of(rows, width=width)
     inputs = ["x", "y"]
     source = train
     if classifier:
         classes = sorted(classes)
         source = train.withColumn("y", F.array(*[F.when(F.col("y") == c, 1.0).otherwise(-1.0) for c in classes]))
+    schema = (f"{fields(source, cell)}, grid_index INT, params MAP<STRING,DOUBLE>, classes ARRAY<DOUBLE>, "
+              "coef ARRAY<DOUBLE>, intercept ARRAY<DOUBLE>, shift ARRAY<DOUBLE>, base ARRAY<DOUBLE>, centre DOUBLE")
+    if width > WIDE_FEATURES and supports is None:
+        return fit_wide(source, cell, kind, grid, schema, classes if classifier else None)
     g = gram(source, cell, inputs, chunk, chunks)
     outputs = len(classes) if classifier else 1
     if supports is not None:
@@ -107,8 +114,6 @@ def fit_linear(train: DataFrame, cell: list[str], kind: str, grid: dict, classif
              pa.array(base, pa.list_(pa.float64())), pa.array([centre] * k, pa.float64())],
             names=[*cell, "grid_index", "params", "classes", "coef", "intercept", "shift", "base", "centre"])
 
-    schema = (f"{fields(g, cell)}, grid_index INT, params MAP<STRING,DOUBLE>, classes ARRAY<DOUBLE>, "
-              "coef ARRAY<DOUBLE>, intercept ARRAY<DOUBLE>, shift ARRAY<DOUBLE>, base ARRAY<DOUBLE>, centre DOUBLE")
     return g.groupBy(*cell).applyInArrow(solve, schema)
 
 
