@@ -257,7 +257,7 @@ def principal(train: DataFrame, cell: list[str], k: int, tolerance: float = TOLE
     rows = stored_rows(train, cell, width)
     ddl = f"{fields(rows, cell)}, component INT, value DOUBLE, vector ARRAY<DOUBLE>"
     out = rows.sparkSession.createDataFrame([], ddl)
-    for keys in groups_of_cells(rows, cell, min(width, k + SPARE + 4 * BLOCK), width):
+    for keys in groups_of_cells(rows, cell, min(width, k + SPARE + 3 * BLOCK), width):
         some = _of(rows, cell, keys)
         facts = _facts(some, cell, width)
         spaces = {key: Components(width, k, tolerance) for key in keys}
@@ -281,7 +281,7 @@ def fit_wide(train: DataFrame, cell: list[str], kind: str, grid: dict, schema: s
     most = SEARCHED
     if kind == "pca-ridge":
         wanted = int(min(max(p["pca__n_components"] for p in points), width))
-        columns = min(width, wanted + SPARE + 4 * BLOCK)
+        columns = min(width, wanted + SPARE + 3 * BLOCK)
     else:
         columns = most + COMPANIONS + (2 * len(points) + 2) * len(classes or [0])
     out = spark.createDataFrame([], schema)
