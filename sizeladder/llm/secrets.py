@@ -2,19 +2,20 @@
 
 Three patterns give the base spans. Beyond them, every run of identifier characters is scored by the log-likelihood
 ratio of two first-order character models, one of random strings and one of ordinary identifiers; a run over the
-threshold that overlaps no base span is added with kind `random`. The models are two tables of character pairs, as
+threshold that overlaps no base span is added with kind `random`, unless it is a drawn line or the alphabet in order. The models are two tables of character pairs, as
 large as the alphabet squared whatever they are trained on, counted from labelled strings.
 
 Positions come from SQL functions alone: a pattern's matches and the texts between them alternate, so the lengths of
 both give the spans, in code points of the whole text. Null texts count as empty; a text without finds has empty spans.
-Rows are scanned each on their own; repeated rows, null ids and other columns make no difference.
+Rows are scanned each on their own; repeated rows, null ids and other columns make no difference. Very long texts are
+scanned whole: n spans of one text cost about n ** 1.5 small steps. An empty table gives no row.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import md5_bits, text_of
@@ -33,6 +34,10 @@ SCORED, LEARNED = 16, 8
 THRESHOLD = 10.0
 #: Documents that labelled strings are taken from; a bound on training rows only.
 TRAIN_DOCS = 20_000
+#: Random strings that are drawn beside those that documents hold.
+DRAWS = 2_000
+#: Different characters a random run has at least; 16 random hex digits have fewer with a chance of 4e-7.
+LEAST_CHARACTERS = 5
 SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -40,23 +45,54 @@ def runs(least: int) -> str:
     return f"[A-Za-z0-9+/_=-]{{{least},}}"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, op, zero: int) -> Column:
+    """Running totals of an array of integers under an associative `op`.
+
+    An array grows by copying, so totals are built within blocks of about the square root of the length, then over
+    the blocks: n entries cost n ** 1.5 copied integers, not n ** 2.
+    """
+    def totals(part: Column) -> Column:
+        start = F.struct(F.lit(zero).alias("at"), F.lit([]).cast("array<int>").alias("all"))
+
+        def step(acc: Column, v: Column) -> Column:
+            return let(op(acc["at"], v), lambda now: F.struct(now.alias("at"), F.concat(acc["all"], F.array(now)).alias("all")))
+
+        return F.aggregate(part, start, step, lambda acc: acc["all"])
+
+    def blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(v), size), lambda at: totals(F.slice(v, at, size)))
+
+    def joined(parts: Column) -> Column:
+        before = let(totals(F.transform(parts, lambda p: F.element_at(p, -1))),
+                     lambda t: F.concat(F.array(F.lit(zero)), F.slice(t, 1, F.size(t) - 1)))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda v: op(b, v))))
+
+    return F.when(F.size(values) > 0, let(values, lambda v: let(blocks(v), joined))).otherwise(F.lit([]).cast("array<int>"))
+
+
 def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Leftmost matches that do not overlap, as (start, kind, stop, value); `value` is a group of at least `least`."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     between = F.split(text, pattern, -1)
-    found = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(SPAN).alias("spans"))
 
-    def step(acc: Column, m: Column) -> Column:
-        first = acc["at"] + F.length(m["gap"])
-        last = first + F.length(m["whole"])
-        span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), last.alias("stop"), m["value"].alias("value"))
-        keep = F.length(m["value"]) >= least
-        return F.struct(last.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(found["gap"], 1, F.size(found["whole"])), found["whole"],
+                           lambda g, w: F.length(g) + F.length(w))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found["whole"]
+        rows = F.arrays_zip(running(sizes, lambda a, b: a + b, 0).alias("stop"), found["whole"].alias("whole"),
+                            value.alias("value"))
+        return F.transform(F.filter(rows, lambda r: F.length(r["value"]) >= least), lambda r: F.struct(
+            (r["stop"] - F.length(r["whole"])).alias("start"), F.lit(kind).alias("kind"), r["stop"].alias("stop"),
+            r["value"].alias("value")))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(found, start, step, lambda acc: acc["spans"])).otherwise(
-        F.lit([]).cast(SPAN))
+    found = let(F.struct(between.alias("gap"), whole.alias("whole")), spans)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.lit([])).cast(SPAN)
 
 
 def base_spans(text: Column) -> Column:
@@ -66,8 +102,25 @@ def base_spans(text: Column) -> Column:
 
 
 def clear_of(spans: Column, others: Column) -> Column:
-    """Those of `spans` that overlap none of `others`."""
-    return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["stop"]) & (o["start"] < s["stop"])))
+    """Those of `spans`, which do not overlap each other, that overlap none of `others`; by start.
+
+    Both are put in one order, a span by its stop and the others by their start. A span is hit if the last stop of
+    those that start before it ends lies behind its own start.
+    """
+    def kept(s: Column, o: Column) -> Column:
+        event = "array<struct<at:int,later:int,own:int,span:struct<start:int,kind:int,stop:int,value:string>>>"
+        mine = F.transform(s, lambda x: F.struct(x["stop"], F.lit(0), F.lit(-1), x)).cast(event)
+        theirs = F.transform(o, lambda x: F.struct(x["start"], F.lit(1), x["stop"], F.lit(None))).cast(event)
+        return let(F.array_sort(F.concat(mine, theirs)), clear)
+
+    def clear(events: Column) -> Column:
+        last = running(F.transform(events, lambda e: e["own"]), F.greatest, -1)
+        pairs = F.filter(F.arrays_zip(events.alias("e"), last.alias("last")),
+                         lambda p: p["e"]["span"].isNotNull() & (p["last"] <= p["e"]["span"]["start"]))
+        return F.transform(pairs, lambda p: p["e"]["span"])
+
+    return let(F.struct(spans.alias("s"), others.alias("o")), lambda x: F.when(
+        (F.size(x["s"]) > 0) & (F.size(x["o"]) > 0), kept(x["s"], x["o"])).otherwise(x["s"]))
 
 
 def char_codes(value: Column) -> Column:
@@ -90,6 +143,29 @@ def labelled_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select(F.inline(both))
 
 
+def random_draws(spark: SparkSession, draws: int = DRAWS) -> DataFrame:
+    """(value, random) of random strings in the usual notations: hex of either case, base32, base62 and base64.
+
+    A document's own finds are mostly hex, which says nothing about the other characters. Each draw is a SHA-256.
+    """
+    sha = F.sha2(F.concat(F.lit("draw"), F.col("id").cast("string")), 256)
+    base64 = F.rtrim(F.lit("="), F.base64(F.unhex(sha)))
+    bits = F.transform(F.split(sha, ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0"))
+    base32 = F.array_join(F.transform(F.regexp_extract_all(F.array_join(bits, ""), F.lit("[01]{5}"), F.lit(0)), lambda b: F.substring(
+        F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(b, 2, 10).cast("int") + 1, F.lit(1))), "")
+    notations = [sha, F.upper(sha), base32, F.regexp_replace(base64, "[+/]", ""), base64]
+    value = F.get(F.array(*notations), (F.col("id") % len(notations)).cast("int"))
+    return spark.range(draws).select(value.alias("value"), F.lit(True).alias("random"))
+
+
+def patterned(value: Column) -> Column:
+    """Whether a run is a drawn line or a stretch of the alphabet: few different characters, or mostly the next one."""
+    codes = char_codes(value)
+    steps = let(codes, lambda c: F.size(F.filter(F.zip_with(
+        F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: b - a == 1), lambda x: x)))
+    return (F.size(F.array_distinct(codes)) < LEAST_CHARACTERS) | (steps * 2 > F.length(value))
+
+
 def train(labelled: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of every pair of characters, at (first - 1) * size + second - 1."""
     size = len(ALPHABET)
@@ -124,7 +200,8 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     rows = rows.select("_id", "_text", F.array_sort(base_spans(F.col("_text"))).alias("_base"))
     runs_found = clear_of(matches(F.col("_text"), runs(SCORED), 3), F.col("_base"))
-    rows = rows.select("_id", "_base", F.filter(runs_found, lambda s: log_ratio(s["value"], model) > threshold).alias("_more"))
+    rows = rows.select("_id", "_base", F.filter(
+        runs_found, lambda s: (log_ratio(s["value"], model) > threshold) & ~patterned(s["value"])).alias("_more"))
     rows = rows.select("_id", "_base", F.array_sort(F.concat("_base", "_more")).alias("_all"))
     names = F.array(*[F.lit(k) for k in KINDS])
 

@@ -426,6 +426,42 @@ def test_secrets_of_an_empty_table(empty):
     assert set(model) == {0.0} and secrets.scan(empty, model).count() == 0
 
 
+def test_many_spans_in_one_text(spark, docs):
+    """Spans of several kinds that touch, overlap and nest, against brute force; and 20,000 of two kinds."""
+    rnd = random.Random(11)
+    model = secrets.train(secrets.labelled_strings(docs).unionByName(secrets.random_draws(spark)))
+    noise = lambda n: "".join(rnd.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    kinds = [lambda: "%016x" % rnd.getrandbits(64), lambda: noise(24), lambda: "token=" + noise(14), lambda: "AKIA" + "Q7Z" * 5,
+             lambda: "%020x" % rnd.getrandbits(80) + noise(20), lambda: "plain words", lambda: "😀"]
+    texts = ["".join(rnd.choice(kinds)() + rnd.choice([" ", "", "\n"]) for _ in range(n)) for n in (1, 2, 3, 10, 90, 400)]
+    many = " ".join("%016x" % rnd.getrandbits(64) + " an_ordinary_identifier" for _ in range(20_000))
+    df = spark.createDataFrame([(i, t, None, None, None, *EXTRA) for i, t in enumerate([*texts, many])], DOC)
+    got = {r["doc_id"]: r for r in secrets.scan(df, model, threshold=-1e9).collect()}
+    for i, t in enumerate(texts):
+        base = brute_base(t)
+        more = [(m.start(), 3, m.end()) for m in re.finditer(secrets.runs(secrets.SCORED), t)
+                if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        more = [m for m in more if len(set(t[m[0]:m[2]])) >= secrets.LEAST_CHARACTERS]
+        assert got[i]["spans"] == joined(sorted(base + more))
+    assert got[len(texts)]["n_hex"] == 20_000 and got[len(texts)]["n_random"] == 20_000
+
+
+def test_drawn_lines_are_no_secrets(spark):
+    """Labelled identifiers of its own, in both cases; random strings only from the draws."""
+    rnd = random.Random(12)
+    name = lambda: "_".join(rnd.choice(["max", "size", "default", "retry", "count", "number", "config"]) for _ in range(4))
+    plain = [(name(), False) for _ in range(300)] + [(name().upper(), False) for _ in range(300)]
+    model = secrets.train(spark.createDataFrame(plain, "value string, random boolean").unionByName(secrets.random_draws(spark)))
+    lines = ["-" * 32, "=-" * 20, "_" * 500, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijkl"]
+    noise = ["".join(rnd.choice(a) for _ in range(32)) for a in (secrets.ALPHABET[:62], secrets.ALPHABET[:64], secrets.ALPHABET[:26] + "234567",
+                                                                "0123456789ABCDEF") for _ in range(50)]
+    df = spark.createDataFrame([(i, f"see {w} there", None, None, None, *EXTRA) for i, w in enumerate(lines + noise + [x for _ in range(50) for x in (name(), name().upper())])], DOC)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df, model).collect()}
+    assert not any(got[i] for i in range(len(lines)))
+    assert sum(bool(got[len(lines) + i]) for i in range(len(noise))) >= 0.98 * len(noise)
+    assert not any(got[i] for i in range(len(lines) + len(noise), len(got)))
+
+
 # --- WARC --------------------------------------------------------------------------------------------
 
 PAGE = "page_id bigint, url string, html string, payload string, digest int, header string"
@@ -653,6 +689,16 @@ def test_posterior_limits():
             assert (above >= 1e-6) == stays
 
 
+@pytest.mark.parametrize("part", [1, 3, 200])
+def test_components_with_hubs(spark, part):
+    """Stars whose middle is the smallest, the largest or any node, a chain between them, repeated and loose edges."""
+    edges = ([(0, k) for k in range(100, 700)] + [(5000, k) for k in range(1000, 1600)] + [(2300, k) for k in range(2000, 2600)]
+             + [(699, 1000), (1599, 2000), (9000, 9001), (9001, 9000), (9002, 9002)]) * 2
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a int, b int"), part).collect()}
+    nodes = {x for e in edges for x in e} - {9002}
+    assert got == {x: 9000 if x >= 9000 else 0 for x in nodes}
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)] + [(rnd.randrange(200, 400), rnd.randrange(200, 400)) for _ in range(120)]
